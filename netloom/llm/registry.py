@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from netloom.llm import simhash
+from netloom.llm import decontaminate, simhash
 from netloom.llm.common import table
 from netloom.llm.quality import quality
 
 ORACLES: dict[str, str] = {}
 
 
+def op2_decontaminate(spark, sf_dir):
+    """Every document's benchmark windows."""
+    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_simhash(spark, sf_dir):
     """Every document's fingerprint and near-duplicate component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "group_size")
@@ -19,4 +24,4 @@ def op10_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {"op8_simhash": op8_simhash, "op10_quality": op10_quality}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_simhash": op8_simhash, "op10_quality": op10_quality}

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from netloom.llm import decontaminate, simhash
-from netloom.llm.common import table
+import os
+
+from netloom.llm import decontaminate, langid, sentencepiece_wfst, simhash
+from netloom.llm.common import held_out, table
 from netloom.llm.quality import quality
 
 ORACLES: dict[str, str] = {}
+#: Folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def op1_sentencepiece(spark, sf_dir, model_file="piece_bpe_32k.model"):
+    """Every document's piece ids, and whether they decode to its text."""
+    model = sentencepiece_wfst.read_model(f"{TOKENIZERS}/{model_file}")
+    return sentencepiece_wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
 
 
 def op2_decontaminate(spark, sf_dir):
@@ -14,6 +24,13 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_langid(spark, sf_dir):
+    """Every document's language and mixture, by a model of the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    model = langid.train(docs.where("NOT held_out"))
+    return langid.identify(docs.drop("lang"), model).drop("text")
+
+
 def op8_simhash(spark, sf_dir):
     """Every document's fingerprint and near-duplicate component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "group_size")
@@ -24,4 +41,4 @@ def op10_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op8_simhash": op8_simhash, "op10_quality": op10_quality}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op8_simhash, op10_quality)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from netloom.llm import decontaminate, langid, sentencepiece_wfst, simhash
+from netloom.llm import decontaminate, langid, sentencepiece_wfst, simhash, toxicity
 from netloom.llm.common import held_out, table
 from netloom.llm.quality import quality
 
@@ -36,9 +36,16 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "group_size")
 
 
+def op9_toxicity(spark, sf_dir):
+    """Every document's toxicity and offending sentences, by a model of the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    model = toxicity.train(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op10_quality(spark, sf_dir):
     """Every document's quality counts, compression verdict and whether it is kept."""
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op8_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op8_simhash, op9_toxicity, op10_quality)}

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,12 +57,12 @@ def words(text: bytes) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Each batch in slices of SLICE_BYTES or one row, with ``column`` as bytes (None for null)."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
+        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
         start = total = 0
-        for i, text in enumerate(texts):
-            total += len(text or b"")
+        for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            total += n
             if total >= SLICE_BYTES or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+                yield batch.slice(start, i + 1 - start), texts.slice(start, i + 1 - start).to_pylist()
                 start, total = i + 1, 0
 
 

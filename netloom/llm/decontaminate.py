@@ -29,7 +29,7 @@ from netloom.llm.common import cut, slices, words
 
 WINDOW = 10
 SLACK = 2
-SEGMENT_WORDS = 1 << 19
+SEGMENT_WORDS = 1 << 18
 BLOCK_WORDS = 1 << 20
 SEGMENT_SCHEMA = (
     "segment string, doc_ids array<bigint>, doc_starts array<int>, n_words array<int>, terms array<string>, "

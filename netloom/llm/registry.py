@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from netloom.llm import decontaminate, langid, sentencepiece_wfst, simhash, toxicity
+from netloom.llm import decontaminate, langid, licences, sentencepiece_wfst, simhash, toxicity
 from netloom.llm.common import held_out, table
 from netloom.llm.quality import quality
 
@@ -31,6 +31,11 @@ def op3_langid(spark, sf_dir):
     return langid.identify(docs.drop("lang"), model).drop("text")
 
 
+def op6_licences(spark, sf_dir):
+    """Every document's license phrases and notices."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark, sf_dir):
     """Every document's fingerprint and near-duplicate component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "group_size")
@@ -48,4 +53,4 @@ def op10_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op8_simhash, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op6_licences, op8_simhash, op9_toxicity, op10_quality)}

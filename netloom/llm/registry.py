@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from netloom.llm import decontaminate, langid, licences, sentencepiece_wfst, simhash, toxicity
+from netloom.llm import decontaminate, langid, licences, reputation, sentencepiece_wfst, simhash, toxicity
 from netloom.llm.common import held_out, table
 from netloom.llm.quality import quality
 
@@ -36,6 +36,12 @@ def op6_licences(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_reputation(spark, sf_dir):
+    """Every page's host, path, rule and verdict."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return reputation.judge(pages).select("page_id", "host", "path", "rule", "verdict", "mean", "bound")
+
+
 def op8_simhash(spark, sf_dir):
     """Every document's fingerprint and near-duplicate component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "group_size")
@@ -53,4 +59,5 @@ def op10_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op6_licences, op8_simhash, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op6_licences, op7_reputation, op8_simhash, op9_toxicity, op10_quality)}
+ORACLES["op7_reputation"] = reputation.SQL

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from netloom.llm import decontaminate, langid, licences, reputation, sentencepiece_wfst, simhash, toxicity
+from netloom.llm import decontaminate, langid, licences, reputation, sentencepiece_wfst, simhash, token_rollups, tool_calls, toxicity
 from netloom.llm.common import held_out, table
 from netloom.llm.quality import quality
 
@@ -31,6 +31,19 @@ def op3_langid(spark, sf_dir):
     return langid.identify(docs.drop("lang"), model).drop("text")
 
 
+def op4_tool_calls(spark, sf_dir):
+    """Every conversation's calls with their results."""
+    return tool_calls.link_messages(table(spark, sf_dir, "conversations"))
+
+
+def op5_token_rollups(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
+    """Token totals by source, language and tokenizer version after inserts, revisions, deletes and a repeated batch."""
+    from public_tokenizers import PATTERN
+
+    ranks = token_rollups.read_ranks(f"{TOKENIZERS}/{vocabulary}")
+    return token_rollups.roll_up_documents(table(spark, sf_dir, "documents"), ranks, PATTERN, vocabulary).totals()
+
+
 def op6_licences(spark, sf_dir):
     """Every document's license phrases and notices."""
     return licences.scan(table(spark, sf_dir, "documents"))
@@ -59,5 +72,5 @@ def op10_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op6_licences, op7_reputation, op8_simhash, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op4_tool_calls, op5_token_rollups, op6_licences, op7_reputation, op8_simhash, op9_toxicity, op10_quality)}
 ORACLES["op7_reputation"] = reputation.SQL

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from netloom.plans import tables
+from netloom.plans import ordered, tables
 from netloom.queries import ORACLES, QUERIES
 
+PLANS = (tables, ordered)
 FLAGSHIP = tables.inventory_by_type
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from netloom.plans import ordered, tables
+from netloom.plans import graphs, ordered, tables
 from netloom.queries import ORACLES, QUERIES
 
-PLANS = (tables, ordered)
+PLANS = (tables, ordered, graphs)
 FLAGSHIP = tables.inventory_by_type
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from netloom.shared import cut
 
+#: Hops of a colour between two writes.
+HOPS = 3
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star round on edges (u, v) with u > v."""
@@ -128,10 +131,13 @@ def strongly_connected(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
         own = cut(arcs.select("src", "dst").join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"), "scc")
         colour = cut(left.withColumn("colour", F.col("node")), "scc")
         while True:
-            sent = own.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("sent"))
-            new = cut(colour.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("moved")), "scc")
+            new = colour.withColumn("was", F.col("colour"))
+            for _ in range(HOPS):
+                sent = own.join(new.select("node", "colour"), F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("sent"))
+                new = new.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.greatest("colour", "sent").alias("colour"), "was")
+            new = cut(new, "scc")
             colour = new.select("node", "colour")
-            if new.where("moved").isEmpty():
+            if new.where("colour <> was").isEmpty():
                 break
         back = own.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         roots = colour.where("node = colour").select(F.col("node").alias("root"), "node")

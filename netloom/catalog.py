@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from netloom.plans import graphs, ordered, tables
+from netloom.plans import circuits, graphs, ordered, tables
 from netloom.queries import ORACLES, QUERIES
 
-PLANS = (tables, ordered, graphs)
-FLAGSHIP = tables.inventory_by_type
+PLANS = (tables, ordered, graphs, circuits)
+FLAGSHIP = circuits.exhaustive_states
 
 
 def queries() -> dict:

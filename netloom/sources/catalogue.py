@@ -57,4 +57,4 @@ def import_cells(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         "cell_type", F.array_except(named("input"), F.concat(clock, clear, preset)).alias("inputs"), named("output").alias("outputs"), functions.alias("output_functions"), clock.alias("clock_pins"), clear.alias("reset_pins"),
         preset.alias("set_pins"), F.col("s").isNotNull().alias("sequential"), "s.clocked_on", "s.next_state", "s.clear", "s.preset",
-    ).distinct()
+    ).dropDuplicates(["cell_type"])

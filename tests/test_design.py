@@ -39,7 +39,7 @@ def internal(net):
 
 def test_load(toy):
     row = toy.summary().first()
-    assert (row.instances, row.nets, row.state_elements, row.terminals) == (6, 10, 2, 21 - 2)
+    assert (row.instances, row.nets, row.state_elements, row.terminals) == (6, 10, 2, 21)
     assert column(toy.nets.where("is_port"), "net") == sorted(PORTS)
     roles = {(r.instance, r.pin): (r.direction, r.role) for r in toy.terminals.collect()}
     assert roles["FF0_dfrtp", "Q"] == ("output", "state") and roles["FF0_dfrtp", "CLK"] == ("input", "clock") and roles["AND0_and2", "X"] == ("output", "data")

@@ -1,46 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds (Kiveris et al., 2014).
+"""Connected components, as the engine's graph kernel makes them."""
 
-Each round is grouped minima and joins; its result is written to the shared folder, so lineage stays short and lost
-executors cost a reread. Nothing but two numbers a round reaches the driver.
-"""
+from netloom.operators.graph import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from netloom.llm.common import cut
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round on edges (u, v) with u > v."""
-    if large:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
-
-
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
-    return row[0], row[1] or 0
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``edges`` (u long, v long); root is the component's smallest node.
-
-    Null ends and self-loops link nothing; a self-loop's node alone is not listed. No edges: no rows.
-    """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    edges = cut(edges, "components")
-    mark = _mark(edges)
-    while mark[0]:
-        edges = cut(_star(_star(edges, True), False), "components")
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+__all__ = ["connected_components"]

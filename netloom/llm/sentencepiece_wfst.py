@@ -34,7 +34,7 @@ from netloom.llm.common import with_columns
 
 SPACE = "▁"
 INFINITY = float("inf")
-STORE_SEGMENTS = 400_000
+STORE_SEGMENTS = 250_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
@@ -244,13 +244,19 @@ class Codec:
         transducer = self.transducer
 
         class Store(dict):
+            """Two generations: when the younger is full it becomes the elder, and what is still used moves on."""
+
             def __init__(self, encode):
-                self.encode = encode
+                self.encode, self.elder = encode, {}
 
             def __missing__(self, segment):
                 if len(self) > STORE_SEGMENTS:
+                    self.elder = dict(self)
                     self.clear()
-                ids = self[segment] = tuple(self.encode(segment))
+                ids = self.elder.get(segment)
+                if ids is None:
+                    ids = tuple(self.encode(segment))
+                self[segment] = ids
                 return ids
 
         parts = Store(transducer.encode_segment)

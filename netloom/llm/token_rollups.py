@@ -136,7 +136,7 @@ def roll_up_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ve
     load = counted.select(*KEYS, F.lit("insert").alias("kind"), "n_tokens", none.alias("old_tokens"))
     rollup.commit("load", load)
     rollup.commit("revise", counted.where("n_unique_line_tokens <> n_tokens").select(*KEYS, F.lit("revise").alias("kind"), F.col("n_unique_line_tokens").alias("n_tokens"), F.col("n_tokens").alias("old_tokens")))
-    copies = counted.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = cut(counted.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")  # apart from the join, so that a hot digest can be split
     rollup.commit("copies", counted.join(copies, "digest").where("doc_id <> first").select(*KEYS, F.lit("delete").alias("kind"), F.col("n_unique_line_tokens").alias("n_tokens"), none.alias("old_tokens")))
     rollup.commit("load", load)
     return rollup

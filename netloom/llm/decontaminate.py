@@ -4,8 +4,8 @@ The index is a table of segments, each made in one task from about ``SEGMENT_WOR
 terms, their sorted postings (places in the segment) and the documents' places. Segments are disjoint, so a search
 reads each once, without a shuffle. A phrase is searched from its rarest term in the segment: that term's postings,
 less the term's offset, are the candidate starts, which the other terms' offset-adjusted postings then thin out, from
-rare to common. Exact matches need every term at its offset; proximity matches allow each term to stand up to ``slack``
-places off. Documents are set apart by a gap, so no match crosses from one to the next.
+rare to common. Exact matches need every term at its offset; a proximity match is a start from which every term stands
+at most ``slack`` places off its offset. Documents are set apart by a gap, so no match crosses from one to the next.
 
 The phrase set travels to the tasks in blocks of at most ``BLOCK_WORDS`` words, so its size is bounded; further blocks
 are further passes over the index, and hits are united per document.
@@ -142,7 +142,7 @@ class Postings:
 
 
 def search_segment(row: dict, phrases: PhraseSet, slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, start) of places where every term lies within ``slack`` of its offset. The rarest term lies at its own."""
+    """(phrase, start), each once, of places from which every term lies within ``slack`` of its offset."""
     index = Postings(row, phrases.vocabulary)
     count = np.diff(index.first)
     size = np.where(phrases.terms >= 0, count[phrases.terms], np.iinfo(np.int64).max)
@@ -154,6 +154,9 @@ def search_segment(row: dict, phrases: PhraseSet, slack: int) -> tuple[np.ndarra
     phrase = np.repeat(live, width)
     base = np.repeat(index.first[term[live]] - np.r_[0, np.cumsum(width)[:-1]], width)
     start = index.key[base + np.arange(len(phrase))] - term[phrase] * index.span - rarest[phrase]
+    if slack:  # the rarest term may be off as well
+        shift = np.arange(-slack, slack + 1)
+        phrase, start = np.repeat(phrase, len(shift)), (start[:, None] + shift).ravel()
     for step in range(1, rank.shape[1]):
         place = rank[phrase, step]
         term = phrases.terms[phrase, place]
@@ -191,7 +194,7 @@ def search_row(row: dict, phrases: PhraseSet, slack: int) -> list[list]:
         out[3][d] = sorted({x["item_id"] for x in out[5][d]})
     if slack:
         near, at = search_segment(row, phrases, slack)
-        for d, p in set(zip((np.searchsorted(starts, np.maximum(at, 0) + slack, side="right") - 1).tolist(), near.tolist(), strict=True)):
+        for d, p in set(zip((np.searchsorted(starts, at + slack, side="right") - 1).tolist(), near.tolist(), strict=True)):
             out[4][d].append(phrases.owner[p])
         out[4] = [sorted(set(x)) for x in out[4]]
     return out
@@ -254,7 +257,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack:
 def digest(hits: DataFrame) -> DataFrame:
     """The per-document figures of ``decontaminate``."""
     joined = F.array_join("items", ",")
-    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: ``digest`` of documents and benchmark in DuckDB.
+SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i : i + {WINDOW} - 1], ' ') AS gram
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WINDOW} + 2, 2))) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+grams AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))),
+hits AS (SELECT DISTINCT doc_id, i, n, item FROM grams JOIN windows USING (n, gram)),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
 
 
 def brute_force(text: str | None, items: list[tuple[str, str]], size: int = WINDOW) -> tuple[int, int, int, str, bool]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from netloom.llm import decontaminate, langid, licences, reputation, sentencepiece_wfst, simhash, token_rollups, tool_calls, toxicity
 from netloom.llm.common import held_out, table
 from netloom.llm.quality import quality
@@ -21,7 +23,7 @@ def op1_sentencepiece(spark, sf_dir, model_file="piece_bpe_32k.model"):
 
 def op2_decontaminate(spark, sf_dir):
     """Every document's benchmark windows."""
-    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=0))
 
 
 def op3_langid(spark, sf_dir):
@@ -33,7 +35,8 @@ def op3_langid(spark, sf_dir):
 
 def op4_tool_calls(spark, sf_dir):
     """Every conversation's calls with their results."""
-    return tool_calls.link_messages(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link_messages(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("errors", F.array_join("errors", "; "))
 
 
 def op5_token_rollups(spark, sf_dir, vocabulary="byte_bpe_50k.tiktoken"):
@@ -74,3 +77,4 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op4_tool_calls, op5_token_rollups, op6_licences, op7_reputation, op8_simhash, op9_toxicity, op10_quality)}
 ORACLES["op7_reputation"] = reputation.SQL
+ORACLES |= {"op2_decontaminate": decontaminate.SQL, "op4_tool_calls": tool_calls.SQL}

@@ -240,3 +240,16 @@ def link_messages(messages: DataFrame) -> DataFrame:
     plain = messages.where("NOT coalesce(role = 'tool' OR (role = 'assistant' AND get_json_object(text, '$.tool_calls') IS NOT NULL), false)")
     calls, results = turns_as_calls(plain)
     return link(calls.unionByName(marked), results.unionByName(replies), {"respond": RESPOND})
+
+
+#: ``link_messages`` in DuckDB, for a table of plain chats with one row a turn; errors joined by "; ".
+SQL = """
+WITH RECURSIVE said AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+calls AS (SELECT s.*, EXISTS (SELECT 1 FROM said p WHERE p.conv_id = s.conv_id AND p.turn = s.turn - 2) AS follows FROM said s),
+levels AS (SELECT conv_id, turn, 0 AS level FROM calls WHERE NOT follows UNION ALL SELECT c.conv_id, c.turn, level + 1 FROM levels l JOIN calls c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+answers AS (SELECT conv_id, turn - 1 AS turn, text AS content FROM conversations WHERE role = 'assistant')
+SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, 'turn-' || coalesce(c.turn, a.turn) AS call_id, c.turn AS turn, a.turn + 1 AS result_turn, CASE WHEN c.turn IS NOT NULL THEN 'respond' END AS name,
+  CASE WHEN a.turn IS NULL THEN 'missing_result' WHEN c.turn IS NULL THEN 'orphan_result' ELSE 'linked' END AS status, l.level AS level, CAST(0 AS BIGINT) AS duplicates, '' AS errors,
+  CASE WHEN a.turn IS NOT NULL AND c.turn IS NOT NULL THEN '{"arguments":{' || CASE WHEN follows THEN '"history":{"$ref":"turn-' || (c.turn - 2) || '"},' ELSE '' END || '"prompt":' || CAST(to_json(c.text) AS VARCHAR) || '},"id":"turn-' || c.turn || '","name":"respond","result":' || CAST(to_json(a.content) AS VARCHAR) || '}' END AS json
+FROM calls c FULL JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn
+"""

@@ -156,10 +156,21 @@ def test_decontamination_odd_rows(spark):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a b x c d e"), (2, "a b c d e"), (3, "e d c b a q q q")], "doc_id long, text string")
+    rng = random.Random(8)
+    texts = ["a b x c d e", "a b c d e", "e d c b a q q q", "a b x y z c d e"] + [" ".join(rng.choice("abcde") for _ in range(9)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c d e")], "item_id long, text string")
-    found = {r.doc_id: (r.items, r.near_items) for r in decontaminate.decontaminate(docs, items, slack=1).collect()}
-    assert found[1] == ([], ["7"]) and found[2] == (["7"], ["7"]) and found[3][0] == []
+
+    def near(text, slack):
+        w = text.split()
+        return any(all(any(w[p] == x for p in range(max(0, s + j - slack), min(len(w), s + j + slack + 1))) for j, x in enumerate("abcde")) for s in range(-slack, len(w)))
+
+    for slack in (0, 1, 2):
+        found = {r.doc_id: (r.items, r.near_items) for r in decontaminate.decontaminate(docs, items, slack=slack).collect()}
+        for i, text in enumerate(texts):
+            assert found[i][0] == (["7"] if "a b c d e" in text else [])
+            assert not slack or found[i][1] == (["7"] if near(text, slack) else [])
+    assert found[1] == (["7"], ["7"]) and found[0][0] == []
 
 
 # language

@@ -15,6 +15,35 @@ from netloom.shared import cut
 from netloom.sources import netlist_json
 
 
+#: Fixed wording of the reasons by which a stage, and then a chain, is refused, in the order in which they are given.
+STAGE_REASONS = {
+    "cell": "sequential cell model is not authoritative",
+    "pins": "flip-flop signal pins differ from model: expected=%s, actual=%s",
+    "d_and_q": "flip-flop does not expose both D and Q",
+    "set": "asynchronous-set flip-flops are not supported by this shift-register abstraction",
+    "d_drivers": "D net has %d drivers instead of one",
+    "d_driver": "D driver is %s, not a mux2.X output",
+    "d_net": "D net is not point-to-point mux.X -> flip-flop.D: %s",
+    "q_net": "Q net is not driven exclusively by this flip-flop.Q",
+    "mux_cell": "mux cell model is not authoritative",
+    "mux_pins": "mux signal pins differ from model: expected=%s, actual=%s",
+    "mux_parts": "mux is missing one of A0/A1/S/X",
+    "own_q": "exactly one mux data input must be the stage's own Q",
+}
+CHAIN_REASONS = {
+    "stages": "a shift register needs at least two stages",
+    "head": "chain must have exactly one head, found %d",
+    "branches": "chain branches",
+    "clock": "a stage does not have exactly one clock",
+    "resets": "a stage has multiple reset controls",
+    "enable": "stages do not share one enable net",
+    "clocks": "stages do not share one buffered clock source",
+    "reset": "stages do not share one reset net",
+    "ways": "mux hold/data orientation changes within chain",
+    "loads": "Q has incorrect internal mux loads",
+}
+
+
 def typed(pins: DataFrame, cells: DataFrame) -> DataFrame:
     """Terminals (net, instance, pin, ordinal) with cell_type, known, sequential, direction and role.
 
@@ -209,21 +238,21 @@ class Design:
         complete = F.size(F.array_except(F.array(*map(F.lit, ("A0", "A1", "S", "X"))), "m_actual")) == 0
         a0, a1 = F.coalesce(F.element_at("m_pins", "A0") == q, F.lit(False)), F.coalesce(F.element_at("m_pins", "A1") == q, F.lit(False))
         listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
-        differ = lambda what, e, a: F.concat(F.lit(f"{what} signal pins differ from model: expected="), listed(e), F.lit(", actual="), listed(a))
         wanted = F.array_sort(F.array_distinct(F.concat(F.array(F.concat("flop", F.lit(".D"))), F.transform(F.slice("d_drivers", 1, 1), lambda x: F.concat_ws(".", x["instance"], x["pin"])))))
+        say = STAGE_REASONS
         reasons = [
-            F.when(~F.col("known"), "sequential cell model is not authoritative"),
-            F.when(F.coalesce(F.col("actual") != F.col("expected"), F.lit(False)), differ("flip-flop", F.col("expected"), F.col("actual"))),
-            F.when(d.isNull() | q.isNull(), "flip-flop does not expose both D and Q"),
-            F.when(F.coalesce("n_set", F.lit(0)) > 0, "asynchronous-set flip-flops are not supported by this shift-register abstraction"),
-            F.when(d.isNotNull() & (F.size("d_drivers") != 1), F.format_string("D net has %d drivers instead of one", F.size("d_drivers"))),
-            F.when((F.size("d_drivers") == 1) & ~is_mux, F.concat(F.lit("D driver is "), F.concat_ws(".", driver["instance"], driver["pin"]), F.lit(", not a mux2.X output"))),
-            F.when(d.isNotNull() & (F.col("d_members") != wanted), F.concat(F.lit("D net is not point-to-point mux.X -> flip-flop.D: "), listed(F.col("d_members")))),
-            F.when(q.isNotNull() & ~((F.size("q_drivers") == 1) & (F.get("q_drivers", F.lit(0))["instance"] == F.col("flop")) & (F.get("q_drivers", F.lit(0))["pin"] == "Q")), "Q net is not driven exclusively by this flip-flop.Q"),
-            F.when(has_mux & ~F.col("m_known"), "mux cell model is not authoritative"),
-            F.when(has_mux & (F.col("m_actual") != F.col("m_expected")), differ("mux", F.col("m_expected"), F.col("m_actual"))),
-            F.when(has_mux & ~complete, "mux is missing one of A0/A1/S/X"),
-            F.when(has_mux & complete & q.isNotNull() & (a0 == a1), "exactly one mux data input must be the stage's own Q"),
+            F.when(~F.col("known"), say["cell"]),
+            F.when(F.coalesce(F.col("actual") != F.col("expected"), F.lit(False)), F.format_string(say["pins"], listed(F.col("expected")), listed(F.col("actual")))),
+            F.when(d.isNull() | q.isNull(), say["d_and_q"]),
+            F.when(F.coalesce("n_set", F.lit(0)) > 0, say["set"]),
+            F.when(d.isNotNull() & (F.size("d_drivers") != 1), F.format_string(say["d_drivers"], F.size("d_drivers"))),
+            F.when((F.size("d_drivers") == 1) & ~is_mux, F.format_string(say["d_driver"], F.concat_ws(".", driver["instance"], driver["pin"]))),
+            F.when(d.isNotNull() & (F.col("d_members") != wanted), F.format_string(say["d_net"], listed(F.col("d_members")))),
+            F.when(q.isNotNull() & ~((F.size("q_drivers") == 1) & (F.get("q_drivers", F.lit(0))["instance"] == F.col("flop")) & (F.get("q_drivers", F.lit(0))["pin"] == "Q")), say["q_net"]),
+            F.when(has_mux & ~F.col("m_known"), say["mux_cell"]),
+            F.when(has_mux & (F.col("m_actual") != F.col("m_expected")), F.format_string(say["mux_pins"], listed(F.col("m_expected")), listed(F.col("m_actual")))),
+            F.when(has_mux & ~complete, say["mux_parts"]),
+            F.when(has_mux & complete & q.isNotNull() & (a0 == a1), say["own_q"]),
         ]
         data = F.when(a0, F.element_at("m_pins", "A1")).otherwise(F.element_at("m_pins", "A0"))
         return flop.select("flop", "mux", F.when(a0, "A0").otherwise("A1").alias("hold_pin"), F.when(a0, "A1").otherwise("A0").alias("data_pin"), data.alias("data_net"), F.element_at("m_pins", "S").alias("select_net"), "q_net", F.array_compact(F.array(*reasons)).alias("reasons"))
@@ -259,18 +288,19 @@ class Design:
             F.count_if(F.coalesce("n_reset", F.lit(0)) > 1).alias("odd_reset"), F.bool_or(F.coalesce("stray", F.lit(False))).alias("stray"), F.array_sort(F.collect_list(entry)).alias("entries"), F.min("select_net").alias("enable_net"),
             F.min("clock_net").alias("clock_net"), F.min("reset_net").alias("reset_net"),
         )
+        why = CHAIN_REASONS
         lined = F.col("heads").eqNullSafe(1) & (F.col("kids") <= 1)
         reasons = [
-            F.when(F.col("width") < 2, "a shift register needs at least two stages"),
-            F.when(F.col("heads") != 1, F.format_string("chain must have exactly one head, found %d", "heads")),
-            F.when(F.col("kids") > 1, "chain branches"),
-            F.when(lined & (F.col("odd_clock") > 0), "a stage does not have exactly one clock"),
-            F.when(lined & (F.col("odd_reset") > 0), "a stage has multiple reset controls"),
-            F.when(lined & (F.col("enables") != 1), "stages do not share one enable net"),
-            F.when(lined & (F.col("clocks") != 1), "stages do not share one buffered clock source"),
-            F.when(lined & (F.col("resets") != 1), "stages do not share one reset net"),
-            F.when(lined & (F.col("ways") != 1), "mux hold/data orientation changes within chain"),
-            F.when(lined & F.col("stray"), "Q has incorrect internal mux loads"),
+            F.when(F.col("width") < 2, why["stages"]),
+            F.when(F.col("heads") != 1, F.format_string(why["head"], "heads")),
+            F.when(F.col("kids") > 1, why["branches"]),
+            F.when(lined & (F.col("odd_clock") > 0), why["clock"]),
+            F.when(lined & (F.col("odd_reset") > 0), why["resets"]),
+            F.when(lined & (F.col("enables") != 1), why["enable"]),
+            F.when(lined & (F.col("clocks") != 1), why["clocks"]),
+            F.when(lined & (F.col("resets") != 1), why["reset"]),
+            F.when(lined & (F.col("ways") != 1), why["ways"]),
+            F.when(lined & F.col("stray"), why["loads"]),
         ]
         groups = groups.withColumn("reasons", F.array_compact(F.array(*reasons)))
         refused = refused.unionByName(groups.where("size(reasons) > 0").select("candidates", "reasons"))

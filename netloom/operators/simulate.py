@@ -201,7 +201,7 @@ class Circuit:
 
     def toggling(self, states: DataFrame, net: str) -> DataFrame:
         """``states`` with ``changed``: the flops whose next value differs between ``net`` at 0 and at 1."""
-        low, high = (self.transition(states.withColumn(net, F.lit(v))).select("*") for v in (False, True))
+        low, high = (self.transition(states.withColumn(net, F.lit(v))) for v in (False, True))
         keys = [c for c in states.columns if c != net]
         a = low.select(*keys, *[F.col(f"`next_{f}`").alias(f"low_{f}") for f in self.flops])
         b = high.select(*keys, *[F.col(f"`next_{f}`").alias(f"high_{f}") for f in self.flops])

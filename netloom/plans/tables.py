@@ -302,3 +302,12 @@ def json_field(spark, sf_dir):
 @query("sanitised_names", "SELECT p_partkey, trim(regexp_replace(p_name || '-' || p_brand || '!', '[^A-Za-z0-9_]+', '_', 'g'), '_') AS safe FROM part")
 def sanitised_names(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", names.sanitised(F.concat("p_name", F.lit("-"), "p_brand", F.lit("!"))).alias("safe"))
+
+
+@query("containment_pattern", """SELECT l_orderkey FROM (SELECT l_orderkey, list(DISTINCT l_suppkey % 5) AS deps FROM lineitem GROUP BY l_orderkey)
+  WHERE list_has_all(deps, [0, 1]) AND list_has_all([0, 1, 2], deps)""")
+def containment_pattern(spark, sf_dir):
+    """Orders whose supplier classes hold both taps and nothing beyond the taps and the counter."""
+    taps, allowed = F.array(F.lit(0), F.lit(1)).cast("array<bigint>"), F.array(F.lit(0), F.lit(1), F.lit(2)).cast("array<bigint>")
+    deps = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey") % 5).alias("deps"))
+    return deps.where((F.size(F.array_except(taps, "deps")) == 0) & (F.size(F.array_except("deps", allowed)) == 0)).select("l_orderkey")

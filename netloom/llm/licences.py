@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm.common import LOWER_WORDS, with_columns, words
+from netloom.llm.common import LOWER_WORDS, cut, with_columns, words
 
 K = 2
 #: Fixed phrases and labels.
@@ -159,7 +159,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str, str]] | None = None, k:
     """
     if phrases is None:
         phrases = [("phrase", p, label) for p, label in BASE.items()] + [("notice", p, label) for p, label in NOTICES.items()]
-    hits = matches(docs, templates(docs.sparkSession, phrases, k), k).repartition("row")
+    hits = cut(matches(docs, templates(docs.sparkSession, phrases, k), k), "grams").repartition("row")  # numbered rows, so written once
     standing = spans(hits, k, min_cover)
     rows = hits.where("template = -1").select("row", "doc_id", "n_words").withColumn("span", F.lit(None).cast("struct<label:string,kind:string,first_word:int,end_word:int,cover:double>"))
     found = standing.select("row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("n_words"), F.struct("label", "kind", "first_word", "end_word", "cover").alias("span"))

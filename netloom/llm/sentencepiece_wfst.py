@@ -34,7 +34,8 @@ from netloom.llm.common import with_columns
 
 SPACE = "▁"
 INFINITY = float("inf")
-STORE_SEGMENTS = 250_000
+#: Whole segments, parts of segments and neighbouring pieces that a Python worker keeps.
+STORE_SEGMENTS, STORE_PARTS, STORE_PAIRS = 300_000, 800_000, 500_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
@@ -102,16 +103,21 @@ class PieceTransducer:
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
         self.floor = max((-s for i, s in enumerate(model.scores) if model.kinds[i] == NORMAL), default=0.0) + UNKNOWN_PENALTY
         self.trie: dict = {}
+        self.reachable: set[str] = set()
+        self.reach: dict[str, int] = {}  # longest piece by its first two characters
         for p, i in self.id_of.items():
             if model.algorithm == BPE and len(p) > 1 and len(self.merged(p)) > 1:
                 continue  # merging never reaches this piece
+            self.reachable.add(p)
+            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
             state = self.trie
             for c in p:
                 state = state.setdefault(c, {})
             state[None] = i
         self.spanned = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.segment, self.part = self._segments()
-        self.apart_store: dict[tuple[str, str], bool] = {}
+        self.apart_store: dict[str, dict[str, bool]] = {}
+        self.apart_size = 0
         self.edge_store: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
 
     def _segments(self) -> tuple[re.Pattern, re.Pattern]:
@@ -142,18 +148,18 @@ class PieceTransducer:
 
     def merged(self, text: str, watch=None) -> list[str]:
         """Symbols left when the neighbours that make the lowest-ranked piece are joined, leftmost first, until none is left."""
-        symbols = list(text)
+        symbols, rank = list(text), self.rank.get
+        costs = [rank(a + b, INFINITY) for a, b in zip(symbols, symbols[1:], strict=False)]
         if watch:
             watch(symbols)
-        while len(symbols) > 1:
-            best, at = INFINITY, -1
-            for i in range(len(symbols) - 1):
-                r = self.rank.get(symbols[i] + symbols[i + 1], INFINITY)
-                if r < best:
-                    best, at = r, i
-            if at < 0:
-                break
+        while costs and (least := min(costs)) < INFINITY:
+            at = costs.index(least)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del costs[at]
+            if at:
+                costs[at - 1] = rank(symbols[at - 1] + symbols[at], INFINITY)
+            if at < len(costs):
+                costs[at] = rank(symbols[at] + symbols[at + 1], INFINITY)
             if watch:
                 watch(symbols)
         return symbols
@@ -162,13 +168,26 @@ class PieceTransducer:
         """M: weight 0 (True) if merging leaves the neighbours apart."""
         if left[-1] + right[0] not in self.spanned:
             return True
-        key = (left, right)
-        if key not in self.apart_store:
-            if len(self.apart_store) > STORE_SEGMENTS:
-                self.apart_store.clear()
-            join = any(a + b in self.rank for a in self.edges(left)[1] for b in self.edges(right)[0])
-            self.apart_store[key] = not join or self.merged(left + right) == [left, right]
-        return self.apart_store[key]
+        known = self.apart_store.get(left)
+        if known is None:
+            known = self.apart_store[left] = {}
+        found = known.get(right)
+        if found is None:
+            self.apart_size += 1
+            if self.apart_size > STORE_PAIRS:
+                self.apart_store, self.apart_size, known = {}, 0, {}
+            found = self.rank_of_join(left, right) is None or self.merged(left + right) == [left, right]
+            known[right] = found
+        return found
+
+    def rank_of_join(self, left: str, right: str) -> float | None:
+        """Rank of some piece across the boundary that merging might make; None if there is none."""
+        rank = self.rank
+        for b in self.edges(right)[0]:
+            for a in self.edges(left)[1]:
+                if a + b in rank:
+                    return rank[a + b]
+        return None
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int | None]]:
         """(end, piece id or None) of P's paths from ``at``, short ones first; a character of no piece is a path of its own."""
@@ -203,25 +222,35 @@ class PieceTransducer:
         return path[::-1]
 
     def _merge_path(self, text: str) -> list[str]:
-        """Best-first search where weights are 0 or infinity: the first path to the end is the shortest.
+        """Best-first search where weights are 0 or infinity, long arcs first: the first path to the end is the shortest.
 
         Each place has one finite state, so a place that led nowhere is not entered again.
         """
-        n, path, starts, seen = len(text), [], [0], set()
-        options = [[e for e, _ in self.arcs(text, 0)]]
-        while starts[-1] < n:
-            if not options[-1]:
-                options.pop(), starts.pop(), path.pop()
-                continue
-            at, end = starts[-1], options[-1].pop()
-            if end in seen or (path and not self.apart(path[-1], text[at:end])):
-                continue
-            seen.add(end)
-            path.append(text[at:end])
-            starts.append(end)
-            if end < n:
-                options.append([e for e, _ in self.arcs(text, end)])
-        return path
+        n, pieces, reach, apart = len(text), self.reachable, self.reach, self.apart
+        path: list[str] = []
+        before: list[tuple[int, int]] = []  # place and arc end of each step taken
+        seen = bytearray(n + 1)
+        at, left, own = 0, "", ""
+        end = min(n, reach.get(text[:2], 1))
+        while True:
+            while end > at:
+                if not seen[end]:
+                    own = text[at:end]
+                    if (end == at + 1 or own in pieces) and (not left or apart(left, own)):
+                        break
+                end -= 1
+            if end > at:
+                seen[end] = 1
+                path.append(own)
+                if end == n:
+                    return path
+                before.append((at, end))
+                at, left = end, own
+                end = min(n, at + reach.get(text[at : at + 2], 1))
+            else:
+                at, end = before.pop()
+                path.pop()
+                left, end = path[-1] if path else "", end - 1
 
     def encode_segment(self, text: str) -> list[int]:
         out: list[int] = []
@@ -244,23 +273,23 @@ class Codec:
         transducer = self.transducer
 
         class Store(dict):
-            """Two generations: when the younger is full it becomes the elder, and what is still used moves on."""
+            """Encodings by text; at ``limit`` it becomes the elder generation, and what is still used moves on."""
 
-            def __init__(self, encode):
-                self.encode, self.elder = encode, {}
+            def __init__(self, encode, limit):
+                self.encode, self.limit, self.elder = encode, limit // 2, {}
 
-            def __missing__(self, segment):
-                if len(self) > STORE_SEGMENTS:
+            def __missing__(self, text):
+                if len(self) > self.limit:
                     self.elder = dict(self)
                     self.clear()
-                ids = self.elder.get(segment)
+                ids = self.elder.get(text)
                 if ids is None:
-                    ids = tuple(self.encode(segment))
-                self[segment] = ids
+                    ids = tuple(self.encode(text))
+                self[text] = ids
                 return ids
 
-        parts = Store(transducer.encode_segment)
-        self.store = Store(lambda x: chain.from_iterable(map(parts.__getitem__, transducer.part.findall(x))))
+        parts = Store(transducer.encode_segment, STORE_PARTS)
+        self.store = Store(lambda x: chain.from_iterable(map(parts.__getitem__, transducer.part.findall(x))), STORE_SEGMENTS)
         kinds = model.kinds
         self.surface = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else model.unknown_surface.encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()

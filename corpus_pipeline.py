@@ -38,9 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an exact benchmark window."""
-    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), slack=0)
-    bad = hits.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    """Documents without a benchmark window, exact or within the operator's slack."""
+    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    bad = hits.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
 
 

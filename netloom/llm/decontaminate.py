@@ -235,9 +235,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack:
     n, blocks = phrase_blocks(items, size, block_words)
     if n == 1:  # postings of other terms than the one block's are never read
         phrases = next(blocks)
-        index = cut(build_index(docs, set(phrases.vocabulary), size + slack), "postings")
+        index = cut(build_index(docs, set(phrases.vocabulary), size + 2 * slack), "postings")
         return search_block(index, phrases, slack).drop("segment", "ordinal").withColumn("contaminated", F.col("n_hit") > 0)
-    index = cut(build_index(docs, None, size + slack), "postings")
+    index = cut(build_index(docs, None, size + 2 * slack), "postings")
     out = search_block(index, next(blocks), slack)
     for phrases in blocks:
         more = search_block(index, phrases, slack).where("n_hit > 0 OR size(near_items) > 0")
@@ -255,9 +255,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack:
 
 
 def digest(hits: DataFrame) -> DataFrame:
-    """The per-document figures of ``decontaminate``."""
-    joined = F.array_join("items", ",")
-    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), "contaminated")
+    """The per-document figures of ``decontaminate``; the last two, of proximity matches, are not in ``SQL``."""
+
+    def sha(names):
+        return F.sha2(F.array_join(names, ",").cast("binary"), 256)
+
+    exact = ["doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha("items").alias("items_sha256"), "contaminated"]
+    return hits.select(*exact, F.size("near_items").cast("long").alias("n_near_items"), sha("near_items").alias("near_items_sha256"))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

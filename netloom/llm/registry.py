@@ -22,8 +22,8 @@ def op1_sentencepiece(spark, sf_dir, model_file="piece_bpe_32k.model"):
 
 
 def op2_decontaminate(spark, sf_dir):
-    """Every document's benchmark windows."""
-    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=0))
+    """Every document's benchmark windows, exact and by proximity."""
+    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op3_langid(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, language ID, SimHash near-dedup, benchmark decontamination, SentencePiece.
+"""The corpus pipeline: quality rules, language ID, near-dedup by shingle sets, benchmark decontamination, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. A stage's result is written as
 Parquet in the shared folder and read back as the next one's input.
@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import decontaminate, langid, quality, registry, sentencepiece_wfst, simhash
+from netloom.llm import decontaminate, langid, near_copies, quality, registry, sentencepiece_wfst
 from netloom.llm.common import cut, held_out, table
 
 #: A document goes if its main language has a smaller share, or if it has none.
 MIN_LANGUAGE_SHARE = 0.5
+#: Column of the row numbers inside a stage.
+ROW = "__row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +30,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for each row, written once: ids can be null or stand twice."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every near-duplicate group; of rows that share that id, one."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("component_id <> doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
-    same = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    kept = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if not same.isEmpty() else kept
+    """One row of every group of near copies, that of the smallest id; rows outside the group stay, whatever their id."""
+    rows = _numbered(docs)
+    first = near_copies.first_rows(rows.select(F.col(ROW).alias("row"), "doc_id", "text"))
+    return rows.join(first.toDF(ROW), ROW, "left_semi").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,111 @@
+"""Near copies of texts: similarity of their sets of five-word shingles, by MinHash bands and exact confirmation.
+
+1. Rows with one and the same set are taken together; all further work is on distinct sets.
+2. A set has BANDS x DEPTH minima of hashed shingles; two sets that agree on a whole band meet in a bucket. At similarity
+   0.8 a pair misses all buckets in 1 - 0.8 ** DEPTH to the power BANDS of cases (0.3 %), at 0.85 in under 0.01 %.
+3. In each bucket every set is compared with the least one, by the exact similarity of the two texts' shingle sets.
+   Then all pairs of a bucket that these links left in different components are compared too, so a large group of near
+   copies costs no square, and no pair that meets is left out unless it is linked through others.
+4. Connected components join the confirmed links.
+
+Defined results: texts without words are one set; repeated rows, null ids and reused ids are rows like any other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from netloom.llm.common import cut, with_columns
+from netloom.llm.components import connected_components
+from netloom.llm.simhash import shingle_hashes
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, DEPTH = 32, 8
+#: Hashes are taken in blocks of so many, to bound a Python worker's memory.
+BLOCK = 2048
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * DEPTH, 1), np.uint64) | np.array([[[1]], [[0]]], np.uint64)
+FIELDS = [T.StructField("set", T.StringType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+
+
+def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared part of two sets' union; two empty sets are alike."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """One hash for each band of a set's minima."""
+    import xxhash
+
+    least = np.full(BANDS * DEPTH, ~np.uint64(0))
+    for i in range(0, len(found), BLOCK):
+        np.minimum(least, (found[i : i + BLOCK] * _FACTORS[0] + _FACTORS[1]).min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, DEPTH)], np.uint64).view(np.int64)
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``set`` (128-bit digest of the shingle set), its ``size`` and its ``bands``."""
+
+    def work(texts):
+        import xxhash
+
+        sets = [shingle_set(t) for t in texts]
+        return [[xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], [len(s) for s in sets], [sketch(s) for s in sets]]
+
+    return with_columns(rows, "text", work, FIELDS)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The ``pairs`` (u, v) of keys whose ``texts`` (key, text) have a similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        known = lru_cache(64)(shingle_set)
+        for batch in batches:
+            a, b = (batch.column(i).cast(pa.binary()) for i in (2, 3))
+            keep = [similarity(known(x.as_py()), known(y.as_py())) >= least for x, y in zip(a, b, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    return cut(both.mapInArrow(run, "u long, v long"), "links")
+
+
+def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (u, v) that make the same components as all pairs of ``sets`` (key, size, bands) that meet and are alike."""
+    alike = F.least("size", "other") >= F.greatest("size", "other") * F.lit(SIMILARITY)
+    slots = cut(sets.where("size > 0").select("key", "size", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "key", "size"), "bands")
+    first = slots.groupBy("bucket").agg(F.min(F.struct("key", "size")).alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first.key", "first.size")
+    placed = cut(slots.join(first.toDF("bucket", "lead", "other"), "bucket"), "bands")
+    pairs = cut(placed.where("key <> lead").where(alike).select(F.col("lead").alias("u"), F.col("key").alias("v")).distinct(), "pairs")
+    out = confirmed(pairs, texts)
+    tagged = placed.select("bucket", "key", "size").join(connected_components(out).toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    tagged = cut(tagged, "bands")
+    parts = tagged.select("bucket", "root").distinct()
+    apart = parts.toDF("bucket", "root").join(parts.toDF("bucket", "root2"), "bucket").where("root < root2")
+    met = apart.join(tagged, ["bucket", "root"]).join(tagged.toDF("bucket", "key2", "other", "root2"), ["bucket", "root2"]).where(alike)
+    more = met.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
+    return out.unionByName(confirmed(cut(more.join(pairs, ["u", "v"], "left_anti"), "pairs"), texts))
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """(row) of one row of ``rows`` (row, doc_id, text) for each group of near copies: that of the smallest doc_id (null
+    ids last), then of the smallest hash of its text, then of the smallest row number."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
+    marked = cut(sketches(rows.select("row", "text", order.alias("rank"))).drop("text"), "sketches")
+    sets = marked.groupBy("set").agg(F.min("row").alias("key"), F.min("rank").alias("rank"))
+    heads = marked.join(sets.select(F.col("key").alias("row")), "row", "left_semi").select(F.col("row").alias("key"), "size", "bands")
+    root = connected_components(links(heads, rows.select("row", "text"))).toDF("key", "root")
+    groups = sets.join(root, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("rank").alias("rank"))
+    return groups.select("rank.row")

@@ -1,8 +1,10 @@
 """The whole job, where queries and stages once did less: each of these failed before its change."""
 
+import random
+
 import duckdb
 
-from netloom.llm import decontaminate, registry
+from netloom.llm import decontaminate, near_copies, registry
 
 SF = "/root/testdata/sf0.001"
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -34,3 +36,48 @@ def test_short_phrases_do_not_cross_documents(spark):
     docs = spark.createDataFrame([(1, "alpha"), (2, "beta")], "doc_id long, text string").coalesce(1)
     found = decontaminate.decontaminate(docs, spark.createDataFrame([(9, "alpha beta")], "item_id long, text string"), size=2)
     assert found.where("size(near_items) > 0").isEmpty()
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_groups(texts):
+    """Numbers of the first text of each group, by comparing all pairs; and how many pairs are alike."""
+    sets, up, n = [shingles(t) for t in texts], list(range(len(texts))), 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if not sets[i] and not sets[j] or len(sets[i] & sets[j]) >= 0.8 * max(1, len(sets[i] | sets[j])):
+                n += 1
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    return {i for i, x in enumerate(up) if x == i}, n
+
+
+def test_near_dedup_takes_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 12):
+            copy = list(base)
+            for at in rng.sample(range(200), edits):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    want, n = brute_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert n > 100 and len(want) > 30
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
+
+
+def test_pairs_apart_from_the_buckets_first_are_compared(spark):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[:300] + [f"{k}x{i}" for i in range(60)]) for k in "abc"]
+    texts += [t + f" end{j}" for j in range(2) for t in texts]
+    want, _ = brute_groups(texts)
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    assert want == {0, 1, 2} and {r.row for r in near_copies.first_rows(rows).collect()} == want

@@ -43,10 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window, exact or within the operator's slack."""
-    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = hits.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """Rows without a benchmark window, exact or within the operator's slack."""
+    rows = _numbered(docs)
+    hits = decontaminate.decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = hits.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,18 @@ def test_pairs_apart_from_the_buckets_first_are_compared(spark):
     want, _ = brute_groups(texts)
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
     assert want == {0, 1, 2} and {r.row for r in near_copies.first_rows(rows).collect()} == want
+
+
+def test_stages_keep_and_drop_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    def text(k, extra=""):
+        return " ".join(f"{k}{i}" for i in range(80)) + extra
+
+    rows = [(1, text("a")), (None, text("a", " more")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e", " more")), (8, f"{text('f')} {ITEM}"), (8, text("g")), (None, f"{text('h')} {LOOSE}"), (9, text("i")), (9, text("i"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted(r.text[0] for r in kept) == list("abcdefghi") and {r.doc_id for r in kept if r.text[0] == "a"} == {1}
+    spark.createDataFrame([(9, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text for r in clean) == sorted(t for _, t in rows if t[0] not in "fh")

@@ -42,7 +42,7 @@ def records(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def elements(data: bytes) -> Iterator[dict]:
-    """Boundaries, single and array references and labels of a stream, coordinates in user units."""
+    """Boundaries, single and array references and labels of a stream, coordinates in user units. A path raises."""
     unit, cell, now, ordinal = 1.0, None, None, 0
     for kind, body in records(data):
         if kind == UNITS:
@@ -50,8 +50,10 @@ def elements(data: bytes) -> Iterator[dict]:
         elif kind == STRNAME:
             cell, ordinal = body.rstrip(b"\0").decode(), 0
             yield {"cell": cell, "kind": "cell", "ordinal": 0}
-        elif kind in (BOUNDARY, PATH, SREF, AREF, TEXT):
-            now = {"kind": {BOUNDARY: "boundary", PATH: "path", SREF: "ref", AREF: "array", TEXT: "label"}[kind], "rotation": 0.0, "reflect": False, "magnification": 1.0}
+        elif kind == PATH:
+            raise ValueError(f"cell {cell} has a path; paths are not expanded to outlines")
+        elif kind in (BOUNDARY, SREF, AREF, TEXT):
+            now = {"kind": {BOUNDARY: "boundary", SREF: "ref", AREF: "array", TEXT: "label"}[kind], "rotation": 0.0, "reflect": False, "magnification": 1.0}
         elif now is not None:
             if kind == LAYER:
                 now["layer"] = struct.unpack(">h", body)[0]
@@ -121,27 +123,27 @@ def flatten(rows: DataFrame, top: DataFrame | None = None, max_depth: int = 64)
     One round of joins a level of hierarchy; ``path`` is the ordinals of the references passed through.
     """
     rows = rows.cache()
-    refs = rows.where("kind = 'ref'").select("file", F.col("cell").alias("parent"), "ref", "ordinal", "ox", "oy", "rotation", "reflect")
+    refs = rows.where("kind = 'ref'").select("file", F.col("cell").alias("parent"), "ref", "ordinal", "ox", "oy", "rotation", "reflect", F.coalesce("magnification", F.lit(1.0)).alias("magnification"))
     flat = rows.where("kind IN ('boundary', 'label')").select("file", "cell", "kind", "layer", "datatype", "ring", "text", F.col("ox").alias("lx"), F.col("oy").alias("ly"))
     zero = [F.lit(0.0).alias(c) for c in ("px", "py", "pr")]
-    level = (top if top is not None else top_cells(rows)).select("file", "cell", F.array().cast("array<int>").alias("path"), *zero, F.lit(False).alias("pm"))
+    level = (top if top is not None else top_cells(rows)).select("file", "cell", F.array().cast("array<int>").alias("path"), *zero, F.lit(False).alias("pm"), F.lit(1.0).alias("pg"))
     out = None
     for depth in range(max_depth + 1):
         if level.isEmpty():
             break
         if depth == max_depth:
             raise ValueError(f"hierarchy deeper than {max_depth}")
-        x, y = affine(F.col("px"), F.col("py"), F.col("pr"), F.col("pm"), F.col("lx"), F.col("ly"))
+        x, y = affine(F.col("px"), F.col("py"), F.col("pr"), F.col("pm"), F.col("pg") * F.col("lx"), F.col("pg") * F.col("ly"))
 
         def place(p):
-            px, py = affine(F.col("px"), F.col("py"), F.col("pr"), F.col("pm"), p["x"], p["y"])
+            px, py = affine(F.col("px"), F.col("py"), F.col("pr"), F.col("pm"), F.col("pg") * p["x"], F.col("pg") * p["y"])
             return F.struct(F.round(px, 9).alias("x"), F.round(py, 9).alias("y"))
 
         here = level.join(flat, ["file", "cell"]).select("file", "path", "cell", "kind", "layer", "datatype", F.transform("ring", place).alias("ring"), "text", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
         out = here if out is None else out.unionByName(here)
-        ox, oy = affine(F.col("px"), F.col("py"), F.col("pr"), F.col("pm"), F.col("ox"), F.col("oy"))
+        ox, oy = affine(F.col("px"), F.col("py"), F.col("pr"), F.col("pm"), F.col("pg") * F.col("ox"), F.col("pg") * F.col("oy"))
         turn = F.col("pr") + F.when(F.col("pm"), -F.col("rotation")).otherwise(F.col("rotation"))
         level = level.join(refs.withColumnRenamed("parent", "cell"), ["file", "cell"]).select(
-            "file", F.col("ref").alias("cell"), F.concat("path", F.array("ordinal")).alias("path"), ox.alias("px"), oy.alias("py"), turn.alias("pr"), (F.col("pm") != F.col("reflect")).alias("pm")
+            "file", F.col("ref").alias("cell"), F.concat("path", F.array("ordinal")).alias("path"), ox.alias("px"), oy.alias("py"), turn.alias("pr"), (F.col("pm") != F.col("reflect")).alias("pm"), (F.col("pg") * F.col("magnification")).alias("pg")
         )
     return out

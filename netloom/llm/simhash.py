@@ -11,12 +11,29 @@
 Links inside a bucket are found for every pair that may differ in component; pairs already linked through others are
 skipped, so a group of thousands of copies costs no square. Nothing is capped, sampled or collected.
 
+``first_rows`` is the same search for a similarity of shingle sets (Jaccard, 0.8 by default) that 3 of 64 bits can't reach:
+
+1. Rows of one set of five-word shingles are taken together. A set has a fingerprint of 256 bits. At 0.8 two sets agree
+   on about 85 % of them (the angle between them), at no similarity on half.
+2. Each of ``tables`` picks some bits, as many as the number of sets asks for, and two sets that agree on all of them
+   meet in its bucket. There are so many tables that a pair at the threshold meets in none in 1 % of cases.
+3. A bucket's first 128 bits are searched by the Gray-ordered tree. It gives a spanning forest of the pairs within
+   the radius; sets known to be linked are skipped. Each pair is confirmed by the exact similarity of the two texts' sets.
+   A few tables go first, so that large groups are linked before the many tables are searched.
+4. A forest skips pairs that others stand for. Where one of its pairs is not confirmed, all pairs of that bucket within
+   the radius and not linked are confirmed one by one. Components join the confirmed links.
+5. A bucket over ``max_bucket`` is cut into parts, and every two parts are searched together, so no task holds a group.
+
 Defined results: null and empty texts (and those of white space) have fingerprint zero and link like any other;
 repeated rows each get a result; a null doc_id gets its group's smallest id, or null if the group has no id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+from math import acos, ceil, comb, log2, pi, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +49,12 @@ RADIUS = 3
 FANOUT = 8
 MAX_BUCKET = 1 << 18
 CHUNK = 1 << 13
+#: Of the search by similarity: words of a shingle, least similarity, words of 64 bits of a fingerprint and of the part searched.
+SET_SHINGLE, SIMILARITY, WIDE, SEARCHED = 5, 0.8, 4, 2
+#: Share of pairs at the threshold that meet in no table, and standard deviations of the radius over their mean distance.
+MISSED, MARGIN = 0.01, 3.0
+#: Tables that go first.
+EARLY = 4
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -80,10 +103,26 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (each the smallest row of its set) after linking rows a with b."""
-    pairs = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])], 1), axis=0)
+def gray_order(bucket: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Order of rows by (bucket, Gray rank of codes of one or more words, the first word highest)."""
+    keys, odd = [bucket], np.zeros(len(codes), bool)
+    for word in codes.T:
+        rank = gray_rank(word)
+        keys.append(np.where(odd, ~rank, rank))
+        odd = odd ^ (np.bitwise_count(word) % 2 == 1)
+    return np.lexsort(keys[::-1])
+
+
+def _count(x: np.ndarray) -> np.ndarray:
+    """Set bits of each row of words."""
+    return np.bitwise_count(x[:, 0]) if x.shape[1] == 1 else np.bitwise_count(x).sum(1, dtype=np.uint16)
+
+
+def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (each the smallest row of its set) after linking rows a with b, and which of the pairs joined two sets."""
+    pairs, at = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])], 1), axis=0, return_index=True)
     up: dict[int, int] = {}
+    joined = []
 
     def top(x: int) -> int:
         while (y := up.get(x, x)) != x:
@@ -91,26 +130,28 @@ def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x = y
         return x
 
-    for x, y in pairs.tolist():
+    for i, (x, y) in zip(at.tolist(), pairs.tolist(), strict=True):
         x, y = top(x), top(y)
         if x != y:
             up[max(x, y)] = min(x, y)
+            joined.append(i)
     if not up:
-        return label
+        return label, np.array(joined, np.int64)
     moved = np.arange(len(label))
     for x in up:
         moved[x] = top(x)
-    return moved[label]
+    return moved[label], np.array(joined, np.int64)
 
 
 class GrayIndex:
-    """Hierarchical index over the rows of one or more buckets, sorted by (bucket, Gray rank)."""
+    """Hierarchical index over the rows of one or more buckets, sorted by ``gray_order``; codes are rows of 64-bit words."""
 
     def __init__(self, bucket: np.ndarray, codes: np.ndarray, fanout: int = FANOUT):
         self.codes, self.fanout = codes, fanout
         first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         self.levels = []  # from the leaves up: first row of each node, first child, mask and pattern of agreed bits
-        start, group, agree, value = np.arange(len(codes)), np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(codes)])), np.full(len(codes), ~np.uint64(0)), codes
+        start, group, agree, value = np.arange(len(codes)), np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(codes)])), np.full(codes.shape, ~np.uint64(0)), codes
+        self.group_of_row = group
         self.levels.append({"row": start, "agree": agree, "value": value})
         while len(start) > len(first):
             begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -120,34 +161,46 @@ class GrayIndex:
             agree = np.bitwise_and.reduceat(agree, child) & ~(every ^ some)
             value, start, group = some & agree, start[child], group[child]
             self.levels.append({"row": start, "agree": agree, "value": value, "child": np.r_[child, len(place)]})
-        self.group_of_row = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(codes)]))
         for low, high in zip(self.levels, self.levels[1:], strict=False):  # what the node above has not settled
             parent = np.repeat(np.arange(len(high["row"])), np.diff(high["child"]))
             low["mask"] = low["agree"] & ~high["agree"][parent]
         self.levels[-1]["mask"] = self.levels[-1]["agree"]
+        self.ends = [np.r_[x["row"][1:], len(codes)] for x in self.levels]
+
+    def components(self, radius: int = RADIUS, label: np.ndarray | None = None, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every row the first row of its linked set in its bucket, and the pairs of rows that joined sets.
 
-    def components(self, radius: int = RADIUS, chunk: int = CHUNK) -> np.ndarray:
-        """For every row the first row of its linked set in its bucket."""
+        ``label``: the first row of each row's set as known so far; without it each row is a set."""
         n = len(self.codes)
-        same = np.r_[False, (self.group_of_row[1:] == self.group_of_row[:-1]) & (np.bitwise_count(self.codes[1:] ^ self.codes[:-1]) <= radius)]
-        label = np.maximum.accumulate(np.where(same, 0, np.arange(n)))  # neighbours in Gray order are linked at once
-        ends = [np.r_[x["row"][1:], n] for x in self.levels]
+        near = np.flatnonzero(np.r_[False, (self.group_of_row[1:] == self.group_of_row[:-1]) & (_count(self.codes[1:] ^ self.codes[:-1]) <= radius)])
+        if label is None:  # neighbours in Gray order are linked at once
+            label = np.arange(n)
+            label[near] = 0
+            label, joined = np.maximum.accumulate(label), [(near - 1, near)]
+        else:
+            label, used = _union(label, near - 1, near)
+            joined = [(near[used] - 1, near[used])]
         for at in range(0, n, chunk):
-            query = np.arange(at, min(n, at + chunk))
-            found_a, found_b = self.search(query, label, ends, radius)
-            if len(found_a):
-                label = _roots(label, found_a, found_b)
-        return label
-
-    def search(self, query: np.ndarray, label: np.ndarray, ends: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+            a, b = self.search(np.arange(at, min(n, at + chunk)), label, radius)
+            if len(a):
+                label, used = _union(label, a, b)
+                joined.append((a[used], b[used]))
+        return label, *(np.concatenate([x[i] for x in joined]) for i in (0, 1))
+
+    def apart(self, radius: int, label: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows within ``radius`` that have different labels."""
+        for at in range(0, len(self.codes), chunk):
+            yield self.search(np.arange(at, min(len(self.codes), at + chunk)), label, radius)
+
+    def search(self, query: np.ndarray, label: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Later rows within ``radius`` of the query rows and not yet of their set."""
-        node, far = self.group_of_row[query], np.zeros(len(query), np.uint8)
+        node, far = self.group_of_row[query], np.zeros(len(query), np.uint16)
         for depth in range(len(self.levels) - 1, -1, -1):
             level = self.levels[depth]
             least, most = np.minimum.reduceat(label, level["row"]), np.maximum.reduceat(label, level["row"])
-            far = far + np.bitwise_count((self.codes[query] ^ level["value"][node]) & level["mask"][node])
+            far = far + _count((self.codes[query] ^ level["value"][node]) & level["mask"][node])
             mine = label[query]
-            keep = (far <= radius) & (ends[depth][node] > query + 1) & ~((least[node] == mine) & (most[node] == mine))
+            keep = (far <= radius) & (self.ends[depth][node] > query + 1) & ~((least[node] == mine) & (most[node] == mine))
             query, node, far = query[keep], node[keep], far[keep]
             if depth and len(query):
                 child = level["child"]
@@ -160,33 +213,35 @@ class GrayIndex:
 
 def stars(bucket: np.ndarray, codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (code, code of its set's root) over whole buckets in any order."""
-    order = np.lexsort((gray_rank(codes), bucket))
+    order = gray_order(bucket, codes[:, None])
     bucket, codes = bucket[order], codes[order]
-    root = GrayIndex(bucket, codes).components(radius)
+    root, _, _ = GrayIndex(bucket, codes[:, None]).components(radius)
     linked = root != np.arange(len(codes))
     return codes[linked], codes[root[linked]]
 
 
-def _link_partition(batches, radius: int):
-    """Rows (bucket, fp) sorted by bucket in; stars out. Holds whole buckets, as few as fill a few batches."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def emit(keys, codes):
-        a, b = stars(keys, codes, radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
-
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by bucket, the first column: whole buckets, as few as fill a few batches."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         if held[0][0][0] == held[-1][0][-1]:
             continue
-        keys, codes = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        last = np.searchsorted(keys, keys[-1])
-        held = [(keys[last:], codes[last:])]
-        yield emit(keys[:last], codes[:last])
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        last = np.searchsorted(columns[0], columns[0][-1])
+        held = [[c[last:] for c in columns]]
+        yield [c[:last] for c in columns]
     if held:
-        yield emit(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _link_partition(batches, radius: int):
+    """Rows (bucket, fp) sorted by bucket in; stars out."""
+    for keys, codes in _whole_buckets(batches):
+        a, b = stars(keys, codes.view(np.uint64), radius)
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
 
 def _blocks(bits: list[int], n: int) -> list[list[int]]:
@@ -243,3 +298,187 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
     by_code = rooted.select("fp", "root").join(whole, "root").select("fp", "component_id", "group_size")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(by_code, "fp").select("doc_id", "fp", shown, "component_id", "group_size")
+
+
+# by similarity
+
+
+def agreement(similarity: float) -> float:
+    """Share of bits on which the fingerprints of two sets of one size agree on average."""
+    return 1 - acos(2 * similarity / (1 + similarity)) / pi
+
+
+def radius_of(similarity: float, bits: int = 64 * SEARCHED) -> int:
+    """Differing bits up to which a pair is looked at: the mean at ``similarity`` and MARGIN standard deviations."""
+    p = 1 - agreement(similarity)
+    return min(bits, int(bits * p + MARGIN * sqrt(bits * p * (1 - p))))
+
+
+def tables(n: int, similarity: float = SIMILARITY, missed: float = MISSED) -> np.ndarray:
+    """The bits that each table picks (a row a table): log2(n) - 5 of them, 16 at least, so that buckets of unlike sets
+    stay small at every ``n``, and as many tables as ``missed`` asks for at that length."""
+    width = 64 * WIDE
+    bits, p = min(48, max(16, ceil(log2(max(n, 2))) - 5)), 1 - agreement(similarity)
+    differ = np.arange(width + 1)
+    share = np.array([comb(width, int(d)) * p ** int(d) * (1 - p) ** (width - int(d)) for d in differ])
+    meet = np.prod([np.maximum(width - differ - i, 0) / (width - i) for i in range(bits)], axis=0)
+    count = next(c for c in range(1, 1 << 20) if share @ (1 - meet) ** c <= missed)
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(width, bits, replace=False) for _ in range(count)])
+
+
+def shingle_set(text: bytes | None, size: int = SET_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared part of two sets' union; two empty sets are alike."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
+
+
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """WIDE words of majority bits over the hashes of a set, each word by another mixing of them."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(found), 1 << 13):
+        part = found[i : i + (1 << 13), None] + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(31)
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")
+
+
+WORDS = [f"f{i}" for i in range(WIDE)]
+
+
+def sketches(rows: DataFrame, size: int = SET_SHINGLE) -> DataFrame:
+    """``rows`` with ``set`` (128-bit digest of the shingle set), its ``size`` and the words of its fingerprint."""
+
+    def work(texts):
+        import xxhash
+
+        sets = [shingle_set(t, size) for t in texts]
+        marks = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+        return [[xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], [len(s) for s in sets], *(pa.array(c) for c in marks.T.copy())]
+
+    fields = [T.StructField("set", T.StringType()), T.StructField("size", T.LongType()), *(T.StructField(c, T.LongType()) for c in WORDS)]
+    return with_columns(rows, "text", work, fields)
+
+
+def dealt(sets: DataFrame, picks: np.ndarray, first: int = 0) -> DataFrame:
+    """(bucket, key, root, f0, f1): each set of ``sets`` (key, root, words) in its bucket of every table of ``picks``;
+    ``first`` is the number of the first table."""
+    count, bits = picks.shape
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                key, root, *words = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                flat = np.unpackbits(np.ascontiguousarray(np.stack(words, 1)).view(np.uint8), axis=1, bitorder="little")
+                weight = 1 << np.arange(bits, dtype=np.int64)
+                for t in range(count):
+                    bucket = flat[:, picks[t]].astype(np.int64) @ weight + ((first + t) << bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, key, root, *words[:SEARCHED])], names=names)
+
+    names = ["bucket", "key", "root", *WORDS[:SEARCHED]]
+    return sets.select("key", "root", *WORDS).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def parted(placed: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """``placed`` with buckets over ``max_bucket`` rows cut into parts by key: a bucket of its own for every two of them."""
+    cell = F.pmod("bucket", F.lit(1 << 16))  # counted first by fewer, wider cells, whose partial sums are small
+    wide = placed.groupBy(cell.alias("cell")).count().where(F.col("count") > max_bucket).select("cell")
+    wide = cut(wide, "cells")
+    if wide.isEmpty():
+        return placed
+    hot = cut(placed.join(wide, cell == F.col("cell"), "left_semi").groupBy("bucket").count().where(F.col("count") > max_bucket).select("bucket", F.ceil(F.col("count") / max_bucket).alias("parts")), "hot")
+    if hot.isEmpty():
+        return placed
+    own = F.pmod(F.xxhash64("key"), F.col("parts"))
+    split = placed.join(hot, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    split = split.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).select(placed.columns)
+    return placed.join(hot, "bucket", "left_anti").unionByName(split)
+
+
+def close_pairs(placed: DataFrame, radius: int, every: bool = False) -> DataFrame:
+    """(bucket, u, v) of keys within ``radius`` bits and of different roots: a spanning forest of each bucket, or all pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for bucket, key, root, *words in _whole_buckets(batches):
+            codes = np.stack(words, 1).view(np.uint64)
+            order = gray_order(bucket, codes)
+            bucket, key, root, codes = bucket[order], key[order], root[order], codes[order]
+            index = GrayIndex(bucket, codes)
+            _, first, which = np.unique(np.stack([bucket, root], 1), axis=0, return_index=True, return_inverse=True)
+            label = first[which.ravel()]
+            if every:
+                found = index.apart(radius, label)
+            else:
+                found = [index.components(radius, None if len(first) == len(key) else label)[1:]]
+            for a, b in found:
+                columns = bucket[a], np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "u", "v"])
+
+    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, u long, v long")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, size: int = SET_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """The ``pairs`` (u, v) of keys whose ``texts`` (key, text) have a similarity of ``least`` or more; ``sizes`` (key, size)
+    rule out most of the others without the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        known = lru_cache(64)(lambda text: shingle_set(text, size))
+        for batch in batches:
+            a, b = (batch.column(i).cast(pa.binary()) for i in (2, 3))
+            keep = [jaccard(known(x.as_py()), known(y.as_py())) >= least for x, y in zip(a, b, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    alike = F.least("m", "n") >= F.greatest("m", "n") * F.lit(least)
+    pairs = pairs.join(sizes.toDF("u", "m"), "u").join(sizes.toDF("v", "n"), "v").where(alike).select("u", "v")
+    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def similar_links(sets: DataFrame, texts: DataFrame, size: int = SET_SHINGLE, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Confirmed edges (u, v) that make the same components as all pairs of ``sets`` (key, size, words) which meet in a table,
+    lie within the radius and are alike."""
+    picks, radius = tables(sets.count(), similarity), radius_of(similarity)
+    sizes, none = sets.select("key", "size"), sets.sparkSession.createDataFrame([], "u long, v long")
+    edges, tested, failed = none, none, []
+
+    def rooted():
+        return sets.join(connected_components(edges).toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    def confirm(found: DataFrame):
+        pairs = cut(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        return pairs, cut(confirmed(pairs, texts, sizes, size, similarity), "links")
+
+    for start, end in ((0, EARLY), (EARLY, len(picks))):
+        placed = parted(cut(dealt(rooted() if start else sets.withColumn("root", F.col("key")), picks[start:end], start), "dealt"), max_bucket)
+        found = cut(close_pairs(placed, radius), "found")
+        pairs, good = confirm(found)
+        edges, tested = edges.unionByName(good), tested.unionByName(pairs)
+        failed.append(found.join(pairs.join(good, ["u", "v"], "left_anti"), ["u", "v"]).select("bucket").distinct())
+    bad = cut(failed[0].unionByName(failed[1]), "buckets")
+    if bad.isEmpty():
+        return edges
+    placed = parted(cut(dealt(rooted(), picks), "dealt"), max_bucket).join(bad, "bucket", "left_semi")
+    return edges.unionByName(confirm(close_pairs(placed, radius, every=True))[1])
+
+
+def first_rows(rows: DataFrame, size: int = SET_SHINGLE, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(row) of one row of ``rows`` (row, doc_id, text) for each group of near copies: that of the smallest doc_id (null
+    ids last), then of the smallest hash of its text, then of the smallest row number.
+
+    Texts without words are one group; repeated rows, null ids and reused ids are rows like any other."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
+    marked = cut(sketches(rows.select("row", "text", order.alias("rank")), size).drop("text"), "sketches")
+    sets = marked.groupBy("set").agg(F.min("row").alias("key"), F.min("rank").alias("rank"))
+    sets = cut(sets, "sets")
+    heads = cut(marked.join(sets.select(F.col("key").alias("row")), "row", "left_semi").where("size > 0").select(F.col("row").alias("key"), "size", *WORDS), "heads")
+    root = connected_components(similar_links(heads, rows.select("row", "text"), size, similarity, max_bucket)).toDF("key", "root")
+    groups = sets.join(root, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("rank").alias("rank"))
+    return groups.select("rank.row")

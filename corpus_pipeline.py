@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, language ID, near-dedup by shingle sets, benchmark decontamination, SentencePiece.
+"""The corpus pipeline: quality rules, language ID, SimHash near-dedup, benchmark decontamination, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. A stage's result is written as
 Parquet in the shared folder and read back as the next one's input.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import decontaminate, langid, near_copies, quality, registry, sentencepiece_wfst
+from netloom.llm import decontaminate, langid, quality, registry, sentencepiece_wfst, simhash
 from netloom.llm.common import cut, held_out, table
 
 #: A document goes if its main language has a smaller share, or if it has none.
@@ -38,7 +38,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near copies, that of the smallest id; rows outside the group stay, whatever their id."""
     rows = _numbered(docs)
-    first = near_copies.first_rows(rows.select(F.col(ROW).alias("row"), "doc_id", "text"))
+    first = simhash.first_rows(rows.select(F.col(ROW).alias("row"), "doc_id", "text"))
     return rows.join(first.toDF(ROW), ROW, "left_semi").select(docs.columns)
 
 

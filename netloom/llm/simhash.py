@@ -17,11 +17,11 @@ skipped, so a group of thousands of copies costs no square. Nothing is capped, s
    on about 85 % of them (the angle between them), at no similarity on half.
 2. Each of ``tables`` picks some bits, as many as the number of sets asks for, and two sets that agree on all of them
    meet in its bucket. There are so many tables that a pair at the threshold meets in none in 1 % of cases.
-3. A bucket's first 128 bits are searched by the Gray-ordered tree. It gives a spanning forest of the pairs within
-   the radius; sets known to be linked are skipped. Each pair is confirmed by the exact similarity of the two texts' sets.
-   A few tables go first, so that large groups are linked before the many tables are searched.
-4. A forest skips pairs that others stand for. Where one of its pairs is not confirmed, all pairs of that bucket within
-   the radius and not linked are confirmed one by one. Components join the confirmed links.
+3. A bucket is searched by the Gray-ordered tree. It gives a spanning forest of the pairs within the radius; sets known
+   to be linked are skipped. Each pair is confirmed by the exact similarity of the two texts' sets. A few tables go
+   first, so that large groups are linked before the many tables are searched.
+4. A forest skips pairs that others stand for. Among sets that forests link to a pair which was not confirmed, all pairs
+   within the radius and not linked are confirmed, each in the first table where it meets. Components join the links.
 5. A bucket over ``max_bucket`` is cut into parts, and every two parts are searched together, so no task holds a group.
 
 Defined results: null and empty texts (and those of white space) have fingerprint zero and link like any other;
@@ -31,7 +31,6 @@ repeated rows each get a result; a null doc_id gets its group's smallest id, or
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from math import acos, ceil, comb, log2, pi, sqrt
 
 import numpy as np
@@ -49,12 +48,14 @@ RADIUS = 3
 FANOUT = 8
 MAX_BUCKET = 1 << 18
 CHUNK = 1 << 13
-#: Of the search by similarity: words of a shingle, least similarity, words of 64 bits of a fingerprint and of the part searched.
-SET_SHINGLE, SIMILARITY, WIDE, SEARCHED = 5, 0.8, 4, 2
+#: Of the search by similarity: words of a shingle, least similarity, words of 64 bits of a fingerprint.
+SET_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 4
 #: Share of pairs at the threshold that meet in no table, and standard deviations of the radius over their mean distance.
-MISSED, MARGIN = 0.01, 3.0
+MISSED, MARGIN = 0.01, 2.4
 #: Tables that go first.
 EARLY = 4
+#: Bytes of texts and sets that a Python worker keeps while it confirms pairs.
+KEPT_BYTES = 64 << 20
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -308,17 +309,17 @@ def agreement(similarity: float) -> float:
     return 1 - acos(2 * similarity / (1 + similarity)) / pi
 
 
-def radius_of(similarity: float, bits: int = 64 * SEARCHED) -> int:
+def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
     """Differing bits up to which a pair is looked at: the mean at ``similarity`` and MARGIN standard deviations."""
     p = 1 - agreement(similarity)
     return min(bits, int(bits * p + MARGIN * sqrt(bits * p * (1 - p))))
 
 
 def tables(n: int, similarity: float = SIMILARITY, missed: float = MISSED) -> np.ndarray:
-    """The bits that each table picks (a row a table): log2(n) - 5 of them, 16 at least, so that buckets of unlike sets
+    """The bits that each table picks (a row a table): log2(n) - 8 of them, 16 at least, so that buckets of unlike sets
     stay small at every ``n``, and as many tables as ``missed`` asks for at that length."""
     width = 64 * WIDE
-    bits, p = min(48, max(16, ceil(log2(max(n, 2))) - 5)), 1 - agreement(similarity)
+    bits, p = min(48, max(16, ceil(log2(max(n, 2))) - 8)), 1 - agreement(similarity)
     differ = np.arange(width + 1)
     share = np.array([comb(width, int(d)) * p ** int(d) * (1 - p) ** (width - int(d)) for d in differ])
     meet = np.prod([np.maximum(width - differ - i, 0) / (width - i) for i in range(bits)], axis=0)
@@ -368,43 +369,55 @@ def sketches(rows: DataFrame, size: int = SET_SHINGLE) -> DataFrame:
 
 
 def dealt(sets: DataFrame, picks: np.ndarray, first: int = 0) -> DataFrame:
-    """(bucket, key, root, f0, f1): each set of ``sets`` (key, root, words) in its bucket of every table of ``picks``;
-    ``first`` is the number of the first table."""
+    """(bucket, key, root, words): each set of ``sets`` (key, root, words) in its bucket of every table from the ``first``."""
     count, bits = picks.shape
+    names = ["bucket", "key", "root", *WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]):
+        weight = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                key, root, *words = (c.to_numpy(zero_copy_only=False) for c in part.columns)
-                flat = np.unpackbits(np.ascontiguousarray(np.stack(words, 1)).view(np.uint8), axis=1, bitorder="little")
-                weight = 1 << np.arange(bits, dtype=np.int64)
-                for t in range(count):
-                    bucket = flat[:, picks[t]].astype(np.int64) @ weight + ((first + t) << bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, key, root, *words[:SEARCHED])], names=names)
-
-    names = ["bucket", "key", "root", *WORDS[:SEARCHED]]
+                columns = batch.slice(at, 4096).columns
+                words = np.stack([c.to_numpy() for c in columns[2:]], 1)
+                flat = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                for t in range(first, count):
+                    bucket = flat[:, picks[t]].astype(np.int64) @ weight + (t << bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), *columns], names=names)
+
     return sets.select("key", "root", *WORDS).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def parted(placed: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """``placed`` with buckets over ``max_bucket`` rows cut into parts by key: a bucket of its own for every two of them."""
+    """``placed`` with buckets over ``max_bucket`` rows cut into parts by key: a bucket (below zero) for every two of them."""
     cell = F.pmod("bucket", F.lit(1 << 16))  # counted first by fewer, wider cells, whose partial sums are small
-    wide = placed.groupBy(cell.alias("cell")).count().where(F.col("count") > max_bucket).select("cell")
-    wide = cut(wide, "cells")
+    wide = cut(placed.groupBy(cell.alias("cell")).count().where(F.col("count") > max_bucket).select("cell"), "cells")
     if wide.isEmpty():
         return placed
-    hot = cut(placed.join(wide, cell == F.col("cell"), "left_semi").groupBy("bucket").count().where(F.col("count") > max_bucket).select("bucket", F.ceil(F.col("count") / max_bucket).alias("parts")), "hot")
+    counts = placed.join(wide, cell == F.col("cell"), "left_semi").groupBy("bucket").count().where(F.col("count") > max_bucket)
+    hot = cut(counts.select("bucket", F.ceil(F.col("count") / max_bucket).alias("parts")), "hot")
     if hot.isEmpty():
         return placed
-    own = F.pmod(F.xxhash64("key"), F.col("parts"))
-    split = placed.join(hot, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    split = split.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).select(placed.columns)
-    return placed.join(hot, "bucket", "left_anti").unionByName(split)
+    split = placed.join(hot, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    return placed.join(hot, "bucket", "left_anti").unionByName(split.withColumn("bucket", pair.bitwiseOR(F.lit(-(1 << 63)))).select(placed.columns))
+
 
+def _first_met(differ: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether no table before ``table`` picks only bits that are 0 in ``differ``; always, below zero."""
+    keep = np.ones(len(differ), bool)
+    for at in range(0, len(differ), 1 << 12):
+        part = slice(at, at + (1 << 12))
+        agree = ~(differ[part, None] & masks).any(2)
+        keep[part] = (table[part] < 0) | (agree.argmax(1) == table[part])
+    return keep
 
-def close_pairs(placed: DataFrame, radius: int, every: bool = False) -> DataFrame:
-    """(bucket, u, v) of keys within ``radius`` bits and of different roots: a spanning forest of each bucket, or all pairs."""
+
+def close_pairs(placed: DataFrame, picks: np.ndarray, radius: int, every: bool = False) -> DataFrame:
+    """(u, v), keys within ``radius`` bits and of different roots: a spanning forest of each bucket, or all pairs."""
+    bits = picks.shape[1]
+    masks = np.zeros((len(picks), 64 * WIDE), np.uint8)
+    np.put_along_axis(masks, picks, 1, 1)
+    masks = np.packbits(masks, axis=1, bitorder="little").view("<u8")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for bucket, key, root, *words in _whole_buckets(batches):
@@ -419,10 +432,28 @@ def close_pairs(placed: DataFrame, radius: int, every: bool = False) -> DataFram
             else:
                 found = [index.components(radius, None if len(first) == len(key) else label)[1:]]
             for a, b in found:
-                columns = bucket[a], np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "u", "v"])
+                if every:
+                    keep = _first_met(codes[a] ^ codes[b], bucket[a] >> bits, masks)
+                    a, b = a[keep], b[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b]))], names=["u", "v"])
+
+    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+
+
+class _Sets(dict):
+    """Shingle sets by text; emptied at KEPT_BYTES."""
+
+    def __init__(self, size: int):
+        self.size, self.bytes = size, 0
 
-    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, u long, v long")
+    def __missing__(self, text: bytes) -> np.ndarray:
+        found = shingle_set(text, self.size)
+        self.bytes += len(text) + found.nbytes
+        if self.bytes > KEPT_BYTES:
+            self.clear()
+            self.bytes = len(text) + found.nbytes
+        self[text] = found
+        return found
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, size: int = SET_SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -430,10 +461,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, size: int =
     rule out most of the others without the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        known = lru_cache(64)(lambda text: shingle_set(text, size))
+        known = _Sets(size)
         for batch in batches:
             a, b = (batch.column(i).cast(pa.binary()) for i in (2, 3))
-            keep = [jaccard(known(x.as_py()), known(y.as_py())) >= least for x, y in zip(a, b, strict=True)]
+            keep = [jaccard(known[x.as_py()], known[y.as_py()]) >= least for x, y in zip(a, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     alike = F.least("m", "n") >= F.greatest("m", "n") * F.lit(least)
@@ -447,26 +478,24 @@ def similar_links(sets: DataFrame, texts: DataFrame, size: int = SET_SHINGLE, si
     lie within the radius and are alike."""
     picks, radius = tables(sets.count(), similarity), radius_of(similarity)
     sizes, none = sets.select("key", "size"), sets.sparkSession.createDataFrame([], "u long, v long")
-    edges, tested, failed = none, none, []
+    edges = tested = none
 
-    def rooted():
-        return sets.join(connected_components(edges).toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    def rooted(found: DataFrame):
+        return cut(sets.join(connected_components(edges).toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted") if found is not none else sets.withColumn("root", F.col("key"))
 
-    def confirm(found: DataFrame):
-        pairs = cut(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        return pairs, cut(confirmed(pairs, texts, sizes, size, similarity), "links")
+    def search(rows: DataFrame, start: int, end: int, every: bool = False):
+        found = close_pairs(parted(dealt(rows, picks[:end], start), max_bucket), picks[:end], radius, every)
+        pairs = cut(found.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        good = cut(confirmed(pairs, texts, sizes, size, similarity), "links")
+        return tested.unionByName(pairs), edges.unionByName(good)
 
     for start, end in ((0, EARLY), (EARLY, len(picks))):
-        placed = parted(cut(dealt(rooted() if start else sets.withColumn("root", F.col("key")), picks[start:end], start), "dealt"), max_bucket)
-        found = cut(close_pairs(placed, radius), "found")
-        pairs, good = confirm(found)
-        edges, tested = edges.unionByName(good), tested.unionByName(pairs)
-        failed.append(found.join(pairs.join(good, ["u", "v"], "left_anti"), ["u", "v"]).select("bucket").distinct())
-    bad = cut(failed[0].unionByName(failed[1]), "buckets")
-    if bad.isEmpty():
-        return edges
-    placed = parted(cut(dealt(rooted(), picks), "dealt"), max_bucket).join(bad, "bucket", "left_semi")
-    return edges.unionByName(confirm(close_pairs(placed, radius, every=True))[1])
+        tested, edges = search(rooted(edges), start, end)
+    failed = tested.join(edges, ["u", "v"], "left_anti")
+    group = cut(connected_components(tested), "groups")
+    doubtful = group.join(failed.select(F.col("u").alias("node")), "node", "left_semi").select("root").distinct()
+    again = group.join(doubtful, "root", "left_semi").select(F.col("node").alias("key"))
+    return search(rooted(edges).join(again, "key", "left_semi"), 0, len(picks), every=True)[1]
 
 
 def first_rows(rows: DataFrame, size: int = SET_SHINGLE, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:

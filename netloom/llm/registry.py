@@ -7,8 +7,8 @@ import os
 from pyspark.sql import functions as F
 
 from netloom.llm import decontaminate, langid, licences, reputation, sentencepiece_wfst, simhash, token_rollups, tool_calls, toxicity
-from netloom.llm.common import held_out, table
-from netloom.llm.quality import quality
+from netloom.llm.common import cut, held_out, table
+from netloom.llm.quality import fit_bands, judge, measure
 
 ORACLES: dict[str, str] = {}
 #: Folder of the public tokenizers' files.
@@ -72,7 +72,8 @@ def op9_toxicity(spark, sf_dir):
 
 def op10_quality(spark, sf_dir):
     """Every document's quality counts, compression verdict and whether it is kept."""
-    return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    measured = cut(measure(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
+    return judge(measured, fit_bands(measured))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op4_tool_calls, op5_token_rollups, op6_licences, op7_reputation, op8_simhash, op9_toxicity, op10_quality)}

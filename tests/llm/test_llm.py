@@ -4,11 +4,12 @@ import hashlib
 import json
 import os
 import random
+import re
 
 import numpy as np
 import pytest
 
-from netloom.llm import components, decontaminate, langid, licences, quality, registry, reputation, sentencepiece_wfst, simhash, token_rollups, tool_calls, toxicity
+from netloom.llm import components, decontaminate, langid, licences, registry, reputation, sentencepiece_wfst, simhash, token_rollups, tool_calls, toxicity
 from netloom.llm.common import words
 
 SF = "/root/testdata/sf0.001"
@@ -28,47 +29,6 @@ def real(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-# quality
-
-
-def plain_quality(text):
-    text = text or ""
-    import re
-
-    found = re.findall(r"[^\x20\x09-\x0D]+", text)
-    windows = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
-    hit = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)} if len(windows) < 3000 else None
-    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), None if hit is None else len(hit)
-
-
-def test_quality_counts_match_brute_force(spark):
-    for r in quality.quality(real(spark)).where("n_chars < 9000").collect():
-        want = plain_quality(r.text)
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == want[:4]
-        assert want[4] is None or r.n_repeat_words == want[4]
-        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-
-
-def test_quality_bands():
-    import random
-    import zstandard
-
-    compress = zstandard.ZstdCompressor(level=3, write_content_size=False).compress
-    rng = random.Random(1)
-    noise = bytes(rng.randrange(256) for _ in range(20_000))
-    assert quality.compression(b"same line again\n" * 2000, compress)[2] == "repetitive"
-    assert quality.compression(noise, compress)[2] == "incompressible"
-
-
-def test_quality_odd_rows(spark):
-    rows = quality.quality(docs_of(spark, ODD)).orderBy("doc_id").collect()
-    assert len(rows) == len(ODD) and sum(r.doc_id == 4 for r in rows) == 2
-    empty = [r for r in rows if r.doc_id in (1, 2)]
-    assert all(r.n_words == 0 and not r.kept and r.base_failed for r in empty)
-    assert quality.quality(docs_of(spark, []).where("false")).count() == 0
-
-
 # simhash
 
 
@@ -436,7 +396,7 @@ def test_pipeline_matches_its_stages_by_hand(spark):
     assert set(rows) == {r.doc_id for r in after.select("doc_id").collect()}
     texts = {r.doc_id: r.text for r in documents.collect()}
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    kept = [r for r in documents.collect() if plain_quality(r.text)[0] >= 50]
+    kept = [r for r in documents.collect() if len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) >= 50]
     assert {i for i in rows} <= {r.doc_id for r in kept}
     assert all(r.round_trip for r in rows.values())
     assert not any(decontaminate.brute_force(texts[i], items)[4] for i in rows)

@@ -4,11 +4,20 @@ Labelled page outcomes are counted per host, registered domain and suffix. A bet
 overall rate is the suffixes' prior mean, a suffix's posterior mean is its domains' prior mean, and a domain's its
 hosts'. How strongly each level is pulled (the prior's size) is estimated from how much the level's rates spread beyond
 binomial noise (method of moments), within PRIOR_MIN..PRIOR_MAX. A page is allowed if the lower posterior bound of its
-host's good rate, mean - z * sd, reaches ``threshold``.
+host's good rate, mean - z * sd, reaches ``threshold``: LOSS_BAD / (LOSS_BAD + LOSS_GOOD), from what a bad page that is
+let in costs against a good page that is kept out. With equal losses a host needs better than even odds.
 
-Rules (host, path prefix) go before reputation; the longest fitting rule decides.
+Outcomes are an argument of ``judge``. Without them, pages that a rule decides are the labelled ones.
+
+Rules (host, path prefix) go before reputation; the longest fitting rule decides. Up to INLINE_RULES are one expression;
+more, or a table of them, are joined on the host's endings.
+
+A host's suffix is its last label, or its last two where a table of suffixes has them, or where the last is a country's
+(two letters) and the one before is one of GENERIC. A user name, a port and a final dot are no part of it. An IP address is
+its own domain, of the suffix ``ip``.
 
 Defined results: a null url or one without ``://`` has an empty host and path and the reputation of the empty suffix;
+very long urls are taken whole; a null page_id is a page like any other; extra columns stay, those named as a result go;
 without any labelled page the rate is 1/2 and the bound that of the prior alone; repeated rows each get a result; hosts
 that hold a third of all pages are counted in partial sums and joined by Spark's skew handling.
 """
@@ -18,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import cut
+
 #: Fixed rules: verdict, rule (host, then path).
 RULES = (
     ("allow", "org/"),
@@ -26,12 +37,14 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Suffixes of more than one label; a host's suffix is its longest listed one, else its last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: Labels that with a country's make a suffix.
+GENERIC = ("ac", "co", "com", "edu", "gov", "net", "org")
+IP = r"^([0-9]+\.){3}[0-9]+$|^\["
 PRIOR_MIN, PRIOR_MAX = 2.0, 200.0
 Z = 1.0
-THRESHOLD = 0.4
-MAX_RULES = 10_000
+LOSS_BAD, LOSS_GOOD = 1.0, 1.0
+THRESHOLD = LOSS_BAD / (LOSS_BAD + LOSS_GOOD)
+INLINE_RULES = 200
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,22 +58,48 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.element_at(labels, -1))
+def site_of(host: Column) -> Column:
+    """The host without user name, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
+def suffix_of(site: Column) -> Column:
+    """The suffix by rule."""
+    labels = F.split(site, r"\.")
+    last, before = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
+    long = (F.length(last) == 2) & F.coalesce(before, F.lit("")).isin(*GENERIC)
+    return F.when(site.rlike(IP), "ip").when(long, F.concat_ws(".", before, last)).otherwise(last)
+
 
+def endings(site: Column) -> Column:
+    """All endings of whole labels."""
+    labels = F.split(site, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
-def domain_of(host: Column, suffix: Column) -> Column:
-    """The suffix and one label before it; the suffix itself if there is none."""
-    labels, n = F.split(host, r"\."), F.size(F.split(suffix, r"\.")) + 1
-    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.least(n, F.size(labels))), ".")
 
+def domain_of(site: Column, suffix: Column) -> Column:
+    """The suffix and one label before it; the suffix itself if there is none; an IP address."""
+    labels, n = F.split(site, r"\."), F.size(F.split(suffix, r"\.")) + 1
+    named = F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.least(n, F.size(labels))), ".")
+    return F.when(suffix == "ip", site).otherwise(named)
 
-def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``pages`` (host, path) with ``rule`` (the longest that fits, or null) and ``rule_verdict``."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules; load them as a table and join on host suffixes")
+
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` (host, each once) with suffix and domain; the longest ending in ``suffixes`` (suffix) goes before the rule."""
+    hosts = hosts.withColumn("site", site_of(F.col("host")))
+    suffix = suffix_of(F.col("site"))
+    if suffixes is not None:
+        listed = hosts.select("host", F.explode(endings(F.col("site"))).alias("suffix")).join(suffixes.select("suffix").distinct(), "suffix")
+        hosts = hosts.join(listed.groupBy("host").agg(F.max_by("suffix", F.length("suffix")).alias("listed")), "host", "left")
+        suffix = F.coalesce("listed", suffix)
+    return hosts.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("site"), F.col("suffix"))).drop("site", "listed")
+
+
+def with_rule(pages: DataFrame, rules=RULES, inline: int = INLINE_RULES) -> DataFrame:
+    """``pages`` (host, path) with ``rule`` (the longest that fits, or null) and ``rule_verdict``; ``rules``: (verdict, rule)
+    rows or a table of them. Of one rule with two verdicts the later in order counts."""
+    if isinstance(rules, DataFrame) or len(rules) > inline:
+        return _with_rule_table(pages, rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "verdict string, rule string"))
     if not rules:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "rule_verdict": F.lit(None).cast("string")})
     fitting = []
@@ -72,6 +111,15 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.verdict")}).drop("_best")
 
 
+def _with_rule_table(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    named = rules.select(F.split_part("rule", F.lit("/"), F.lit(1)).alias("ending"), F.struct(F.length("rule").alias("size"), "rule", "verdict").alias("_rule"))
+    named = named.withColumn("_path", F.expr("substring(_rule.rule, length(ending) + 1)"))
+    urls = pages.select("host", "path").distinct()
+    fits = urls.withColumn("ending", F.explode(endings(F.col("host")))).join(named, "ending").where(F.col("path").startswith(F.col("_path")))
+    best = fits.groupBy("host", "path").agg(F.max("_rule").alias("_best"))
+    return pages.join(best, ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.verdict")}).drop("_best")
+
+
 def _prior_size(level: DataFrame, mean: str) -> DataFrame:
     """One row: m, the size of the level's beta prior. ``level``: n, k and the prior mean of every group."""
     p, n = F.col(mean), F.col("n")
@@ -83,26 +131,27 @@ def _prior_size(level: DataFrame, mean: str) -> DataFrame:
     return level.where("n > 0").agg(F.round(F.greatest(F.lit(PRIOR_MIN), F.least(F.lit(PRIOR_MAX), F.coalesce(m, F.lit(PRIOR_MAX)))), 6).alias("m"))
 
 
-def reputation(pages: DataFrame, z: float = Z) -> DataFrame:
-    """(host, n, k, alpha, beta, mean, bound) of every host of ``pages`` (host, good: true, false or null if unlabelled)."""
+def reputation(pages: DataFrame, z: float = Z, suffixes: DataFrame | None = None) -> DataFrame:
+    """(host, n, k, alpha, beta, mean, bound) of every host of ``pages`` (host, good: true, false or null if unlabelled).
+
+    Each level is written once, and the next ones read that."""
     hosts = pages.groupBy("host").agg(F.count("good").alias("n"), F.count_if(F.col("good")).alias("k"))
-    suffix = suffix_of(F.col("host"))
-    hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = cut(with_domains(hosts, suffixes), "hosts")
 
     def total(df, *keys):
-        return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        return cut(df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k")), keys[-1])
 
     domains = total(hosts, "suffix", "domain")
-    suffixes = total(domains, "suffix")
-    overall = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("p0"))
+    endings = total(domains, "suffix")
+    overall = endings.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("p0"))
 
     def shrink(level: DataFrame, prior: str, out: str) -> DataFrame:
         sized = level.withColumn("m", _prior_size(level, prior).scalar())
         return sized.withColumn(out, (F.col("m") * F.col(prior) + F.col("k")) / (F.col("m") + F.col("n")))
 
-    suffixes = shrink(suffixes.withColumn("p0", overall.scalar()), "p0", "p_suffix").select("suffix", "p_suffix")
-    domains = shrink(domains.join(suffixes, "suffix"), "p_suffix", "p_domain").select("suffix", "domain", "p_domain")
-    hosts = shrink(hosts.join(domains, ["suffix", "domain"]), "p_domain", "mean")
+    endings = cut(shrink(endings.withColumn("p0", overall.scalar()), "p0", "p_suffix").select("suffix", "p_suffix"), "suffix-rates")
+    domains = cut(shrink(domains.join(endings, "suffix"), "p_suffix", "p_domain").select("suffix", "domain", "p_domain"), "domain-rates")
+    hosts = shrink(cut(hosts.join(domains, ["suffix", "domain"]), "host-rates"), "p_domain", "mean")
     alpha, beta = F.col("m") * F.col("p_domain") + F.col("k"), F.col("m") * (1 - F.col("p_domain")) + F.col("n") - F.col("k")
     sized = F.col("alpha") + F.col("beta")
     return (
@@ -112,18 +161,19 @@ def reputation(pages: DataFrame, z: float = Z) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z, good: Column | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z, good: Column | None = None, suffixes: DataFrame | None = None) -> DataFrame:
     """``pages`` (url) with host, path, rule, verdict, mean and bound.
 
     ``good`` labels a page's outcome (boolean, null for unlabelled); by default a page that a rule decides is labelled by
     the rule's verdict.
     """
-    clash = [c for c in ("host", "path", "rule", "verdict", "rule_verdict", "good", "bound", "mean", "_best") if c in pages.columns and c != "url"]
-    seen = with_rule(pages.drop(*clash).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
-    seen = seen.withColumn("good", (F.col("rule_verdict") == "allow") if good is None else good)
-    known = reputation(seen.select("host", "good"), z).select("host", "mean", "bound")
+    clash = [c for c in ("host", "path", "rule", "verdict", "rule_verdict", "_good", "bound", "mean", "_best") if c in pages.columns and c != "url"]
+    label = {} if good is None else {"_good": good}
+    seen = with_rule(pages.withColumns(label).drop(*clash).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
+    outcome = (F.col("rule_verdict") == "allow") if good is None else F.col("_good")
+    known = reputation(seen.select("host", outcome.alias("good")), z, suffixes).select("host", "mean", "bound")
     verdict = F.coalesce("rule_verdict", F.when(F.col("bound") >= threshold, "allow").otherwise("block"))
-    return seen.join(known, "host").withColumn("verdict", verdict).drop("good", "rule_verdict")
+    return seen.join(known, "host").withColumn("verdict", verdict).drop("_good", "rule_verdict")
 
 
 #: The same in DuckDB.
@@ -142,11 +192,12 @@ judged AS (
   SELECT *, CASE rule {" ".join(f"WHEN '{r}' THEN '{v}'" for v, r in RULES)} END AS rule_verdict FROM ruled),
 hosts AS (
   SELECT host, count(rule_verdict) AS n, count(*) FILTER (WHERE rule_verdict = 'allow') AS k,
-    CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN ({", ".join(f"'{s}'" for s in LONG_SUFFIXES)})
-      THEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') ELSE string_split(host, '.')[-1] END AS suffix
+    string_split(regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', ''), '.') AS labels
   FROM judged GROUP BY host),
 named AS (
-  SELECT *, array_to_string(list_slice(string_split(host, '.'), -(len(string_split(suffix, '.')) + 1), -1), '.') AS domain FROM hosts),
+  SELECT *, CASE suffix WHEN 'ip' THEN array_to_string(labels, '.') ELSE array_to_string(list_slice(labels, -(len(string_split(suffix, '.')) + 1), -1), '.') END AS domain
+  FROM (SELECT *, CASE WHEN regexp_matches(array_to_string(labels, '.'), '{IP}') THEN 'ip'
+    WHEN length(labels[-1]) = 2 AND coalesce(labels[-2], '') IN ({", ".join(f"'{s}'" for s in GENERIC)}) THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix FROM hosts)),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM named GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 overall AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p FROM suffixes),

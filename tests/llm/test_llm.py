@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from netloom.llm import components, decontaminate, langid, licences, registry, reputation, sentencepiece_wfst, simhash, token_rollups, tool_calls, toxicity
+from netloom.llm import components, decontaminate, langid, licences, registry, sentencepiece_wfst, simhash, token_rollups, tool_calls, toxicity
 from netloom.llm.common import words
 
 SF = "/root/testdata/sf0.001"
@@ -317,37 +317,6 @@ def test_licence_notices_with_edits(spark):
     assert found[3].base_labels == "cc-by" and found[3].labels == "cc-by,cc-by-nc-4.0"
 
 
-# reputation
-
-
-def test_reputation(spark):
-    urls = [(i, f"http://good.example.net/{i}") for i in range(30)] + [(i, f"http://bad.example.net/{i}") for i in range(30, 60)]
-    urls += [(100, "http://good.example.net/x"), (101, "http://bad.example.net/x"), (102, "HTTP://A.Org/b?c#d"), (103, None), (104, "nonsense"), (105, "http://x.example.org/es/1"), (106, "https://org"), (107, "http://forg/"), (108, "a://b://c/d"), (109, "http://EXAMPLE.org/en/12?x"), (109, "http://EXAMPLE.org/en/12?x")]
-    from pyspark.sql import functions as F
-
-    pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("host", F.lit("clash"))
-    good = F.when(F.col("page_id") < 60, F.col("page_id") < 30)
-    rows = reputation.judge(pages, good=good).collect()
-    found = {r.page_id: r for r in rows}
-    assert len(rows) == len(urls)
-    assert found[100].verdict == "allow" and found[101].verdict == "block" and found[100].bound > found[101].bound
-    assert (found[102].host, found[102].path, found[102].rule, found[102].verdict) == ("a.org", "/b", "org/", "allow")
-    assert (found[103].host, found[103].path, found[103].rule) == (found[104].host, found[104].path, found[104].rule) == ("", "", None)
-    assert (found[105].rule, found[105].verdict) == ("example.org/es/", "block") and found[106].rule is None and found[107].rule is None
-    assert (found[108].host, found[108].path) == ("b:", "//c/d") and found[109].rule == "example.org/en/1"
-    assert reputation.judge(pages.where("false")).count() == 0
-    assert reputation.judge(pages, rules=()).where("verdict NOT IN ('allow', 'block')").isEmpty()
-
-
-def test_registered_domain(spark):
-    from pyspark.sql import functions as F
-
-    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.com",), ("com",), ("",), ("x.y.z.com",)], "host string")
-    suffix = reputation.suffix_of(F.col("host"))
-    got = [(r[0], r[1]) for r in hosts.select(suffix, reputation.domain_of(F.col("host"), suffix)).collect()]
-    assert got == [("co.uk", "b.co.uk"), ("com", "b.com"), ("com", "com"), ("", ""), ("com", "z.com")]
-
-
 # toxicity
 
 

@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence is toxic with probability sigmoid(bias + sum of its distinct words' weights), and
-the document's score is the noisy-or of its sentences: 1 - prod(1 - p). Only documents carry labels; the weights are
-fitted to them through the noisy-or, and then tell which sentences offend.
+A document is a bag of sentences. The evidence of a sentence is the sum of its distinct words' weights; it is toxic with
+probability sigmoid(bias + evidence) - sigmoid(bias), and 0 without evidence or with evidence against it. The document's
+score is the noisy-or of its sentences, 1 - prod(1 - p), so sentences that say nothing add nothing however many they are.
+Only documents carry labels; the weights are fitted to them through the noisy-or, and then tell which sentences offend.
 
 Fitting takes a bounded sample of the labelled rows, ``sample_rows`` at most, chosen by hash of the id. Words are
 counted over the sample in Spark; those that lean to one label by ``min_z`` standard errors, ``max_words`` at most by
-strength, become features. Scoring reads every document.
+strength, become features. What reaches the driver of a sample document are its distinct sets of features in a sentence,
+with their numbers. Scoring reads every document.
 
 Defined results: null and empty texts have no sentences and the score of no evidence, 0; without any usable label, or
 with one kind only, all scores are 0; equal sentences are all located; repeated rows each get a result.
@@ -53,16 +55,20 @@ class ToxicityModel:
         """Byte spans and probabilities of a text's sentences."""
         found = sentences(text)
         get = self.weights.get
-        total = np.array([sum(map(float, filter(None, map(get, set(w))))) if not self.weights.keys().isdisjoint(w) else 0.0 for _, _, w in found])
-        return [(a, b) for a, b, _ in found], sigmoid(self.bias + total)
+        total = np.array([sum(sorted(filter(None, map(get, set(w))))) if not self.weights.keys().isdisjoint(w) else 0.0 for _, _, w in found])
+        return [(a, b) for a, b, _ in found], probability(total, self.bias)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def probability(evidence: np.ndarray, bias: float) -> np.ndarray:
+    return np.where(evidence > 0, sigmoid(bias + evidence) - sigmoid(np.array(bias)), 0.0)
+
+
 def noisy_or(p: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+    return float(np.abs(np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -89,38 +95,55 @@ def features(counts: DataFrame, n0: int, n1: int, min_z: float = MIN_Z, max_word
 
 
 def bags(rows: DataFrame, vocabulary: list[bytes]) -> list:
-    """Of every sample document: its label, its number of sentences, and its sentences' features."""
+    """Of every sample document: its label, and the distinct sets of features of its sentences with their numbers."""
     number = {w: i for i, w in enumerate(vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]):
         for part, texts in slices(batches, "text"):
-            found = [sentences(t) for t in texts]
-            hits = [[h for _, _, w in s if (h := sorted({number[x] for x in w if x in number}))] for s in found]
-            arrays = [part.column(part.schema.get_field_index("toxic")), pa.array(map(len, found), pa.int32()), pa.array(hits, pa.list_(pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "n", "hits"])
-
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, n int, hits array<array<int>>").collect()
+            hits = [Counter(h for _, _, w in sentences(t) if (h := tuple(sorted({number[x] for x in w if x in number})))) for t in texts]
+            arrays = [
+                part.column(part.schema.get_field_index("toxic")),
+                pa.array([list(h) for h in hits], pa.list_(pa.list_(pa.int32()))),
+                pa.array([list(h.values()) for h in hits], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "hits", "times"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "toxic int, hits array<array<int>>, times array<int>").collect()
+
+
+class Likelihood:
+    """The noisy-or's mean log likelihood of a sample and its gradient, with a floor for mislabelled documents."""
+
+    def __init__(self, sample: list, n_words: int, noise: float = 0.02):
+        self.n_words, self.noise = n_words, noise
+        self.label = np.array([r[0] for r in sample], float)
+        self.doc = np.array([d for d, r in enumerate(sample) for _ in r[1]], np.int64)
+        self.times = np.array([t for r in sample for t in r[2]], float)
+        self.term = np.array([t for r in sample for h in r[1] for t in h], np.int64)
+        self.owner = np.repeat(np.arange(len(self.doc)), [len(h) for r in sample for h in r[1]])
+
+    def __call__(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        """The value, and its slope by the weights and, last, the bias. At no evidence the slope is that from above."""
+        evidence = np.bincount(self.owner, w[self.term], len(self.doc))
+        live, p1, p0 = evidence >= 0, sigmoid(b + evidence), sigmoid(np.array(b))
+        p = np.where(live, p1 - p0, 0.0)
+        clean = np.exp(np.bincount(self.doc, self.times * np.log1p(-p), len(self.label)))
+        toxic = self.noise + (1 - 2 * self.noise) * (1 - clean)
+        value = np.mean(np.where(self.label > 0, np.log(toxic), np.log(1 - toxic)))
+        by_doc = (self.label / toxic - (1 - self.label) / (1 - toxic)) * (1 - 2 * self.noise) * clean  # by -log(clean)
+        by_p = np.where(live, by_doc[self.doc] * self.times / (1 - p), 0.0)
+        by_evidence = by_p * p1 * (1 - p1)
+        by_bias = (by_evidence - by_p * p0 * (1 - p0)).sum()
+        return float(value), np.r_[np.bincount(self.term, by_evidence[self.owner], self.n_words), by_bias] / len(self.label)
 
 
 def fit(sample: list, n_words: int, steps: int = 400, rate: float = 0.1, l1: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias that make the noisy-or's likelihood greatest, with a floor for mislabelled documents."""
-    label = np.array([r[0] for r in sample], float)
-    hit_doc = np.array([d for d, r in enumerate(sample) for _ in r[2]], np.int64)
-    plain = np.array([r[1] - len(r[2]) for r in sample], float)
-    term = np.array([t for r in sample for h in r[2] for t in h], np.int64)
-    owner = np.repeat(np.arange(len(hit_doc)), [len(h) for r in sample for h in r[2]])
+    """Weights and bias that make the likelihood great, by Adam's steps with shrinkage; the bias stays at -4 or under."""
+    likelihood = Likelihood(sample, n_words)
     w, b = np.zeros(n_words), -4.0
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
-    noise = 0.02
     for step in range(1, steps + 1):
-        score = b + np.bincount(owner, w[term], len(hit_doc))
-        p, p0 = sigmoid(score), sigmoid(np.array(b))
-        log_not = np.bincount(hit_doc, -np.logaddexp(0, score), len(label)) - plain * np.logaddexp(0, b)
-        clean = np.exp(log_not)
-        doc = noise + (1 - 2 * noise) * (1 - clean)
-        slope = (label / doc - (1 - label) / (1 - doc)) * (1 - 2 * noise) * clean  # by -log_not
-        by_score = slope[hit_doc] * p
-        grad = np.r_[np.bincount(term, by_score[owner], n_words), by_score.sum() + (slope * plain * p0).sum()] / len(label)
+        _, grad = likelihood(w, b)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w = w + move[:-1]

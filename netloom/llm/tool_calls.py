@@ -2,28 +2,39 @@
 
 Calls and results are hash-joined by (conversation, call identifier). Calls are ordered topologically by the calls that
 their arguments refer to ({"$ref": id}); arguments are validated against the tool's JSON schema; a linked call is
-serialised as canonical JSON (sorted keys, no white space, integral floats as integers, UTF-8).
+serialised as canonical JSON (sorted keys, no white space, integral floats as integers, UTF-8; half of a surrogate pair
+stays an escape).
 
-Conversations of up to ``MAX_CALLS`` calls are ordered in one pass, call references only, no texts. Larger ones are
-ordered by rounds of joins, one for each level, so no conversation has to fit in a task.
+Conversations of up to ``MAX_CALLS`` calls are ordered in one pass, call references only, no texts. In larger ones, chains
+of calls with one reference are first followed to their ends by doubling steps; what has several references is then ordered
+by rounds of joins, one for each level of those, so no conversation has to fit in a task.
+
+Tools come as a dict of schemas or as a table (name, schema); a dict of up to ``MAX_TOOLS`` is broadcast, else Spark joins.
+Schemas may use the keywords of ``KEYWORDS``; others are refused, since a check that is left out would say that all is well.
 
 Defined results: a call without an identifier is ``no_id`` and links to nothing; of several calls or results of one
 identifier the earliest counts, and the others are ``duplicate``; a result without a call is ``orphan_result``; a call
 on or behind a cycle of references has no level; a reference to an unknown call counts as none and is an error;
-arguments that are no JSON object are an error; an unknown tool is an error. Extra columns are dropped.
+arguments that are no JSON object are an error, and so are those with NaN, an infinity or a number beyond the doubles, or
+nested over ``MAX_DEPTH``; an unknown tool is an error; very long texts are taken whole. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import operator
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.common import cut
+from netloom.operators.graph import pointer_roots
 
 MAX_CALLS = 10_000
 MAX_TOOLS = 10_000
@@ -31,6 +42,10 @@ CALLS = "conv_id bigint, call_id string, turn bigint, name string, arguments str
 RESULTS = "conv_id bigint, call_id string, turn bigint, content string"
 
 
+MAX_DEPTH = 200
+HALF = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
     """Canonical JSON text of a value."""
 
@@ -41,14 +56,39 @@ def canonical(value) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text = json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None), "integer": int, "number": (int, float)}
-
-
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What of type, enum, required, properties, additionalProperties and items ``value`` breaks."""
+#: Keywords of schemas that are checked, and those that say nothing about validity.
+KEYWORDS = (
+    "type", "enum", "const", "anyOf", "allOf", "oneOf", "not", "required", "properties", "additionalProperties", "items", "minItems", "maxItems",
+    "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum",
+)
+NOTES = ("title", "description", "default", "examples", "format", "$schema", "$id", "$comment")
+BOUNDS = {"minimum": operator.ge, "maximum": operator.le, "exclusiveMinimum": operator.gt, "exclusiveMaximum": operator.lt}
+SIZES = {"minItems": (list, operator.ge), "maxItems": (list, operator.le), "minLength": (str, operator.ge), "maxLength": (str, operator.le)}
+
+
+def check_schema(schema) -> None:
+    """Refuse what ``violations`` can't check."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict) or (unknown := set(schema) - set(KEYWORDS) - set(NOTES)):
+        raise ValueError(f"schema keywords that are not checked: {sorted(unknown)}" if isinstance(schema, dict) else f"no schema: {schema!r}")
+    kinds = schema.get("type", [])
+    if set([kinds] if isinstance(kinds, str) else kinds) - set(KINDS):
+        raise ValueError(f"unknown type: {kinds}")
+    re.compile(schema.get("pattern", ""))
+    for part in [*schema.get("properties", {}).values(), *(x for k in ("anyOf", "allOf", "oneOf") for x in schema.get(k, [])), *(schema[k] for k in ("not", "items", "additionalProperties") if k in schema)]:
+        check_schema(part)
+
+
+def violations(value, schema, at: str = "$") -> list[str]:
+    """What of a checked schema ``value`` breaks."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     out = []
     kinds = schema.get("type")
     if kinds is not None:
@@ -56,20 +96,29 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
         fits = [isinstance(value, KINDS[k]) and not (isinstance(value, bool) and k in ("integer", "number")) or (k == "integer" and isinstance(value, float) and value.is_integer()) for k in kinds]
         if not any(fits):
             return [f"{at}: not of type {'|'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not one of the enum")
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        out.append(f"{at}: not the constant")
+    for name, fits in (("anyOf", lambda n, of: n > 0), ("allOf", lambda n, of: n == of), ("oneOf", lambda n, of: n == 1)):
+        if name in schema and not fits(sum(not violations(value, x, at) for x in schema[name]), len(schema[name])):
+            out.append(f"{at}: breaks {name}")
+    if "not" in schema and not violations(value, schema["not"], at):
+        out.append(f"{at}: breaks not")
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        out += [f"{at}: breaks {k}" for k, holds in BOUNDS.items() if k in schema and not holds(value, schema[k])]
+    out += [f"{at}: breaks {k}" for k, (kind, holds) in SIZES.items() if k in schema and isinstance(value, kind) and not holds(len(value), schema[k])]
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        out.append(f"{at}: breaks pattern")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties", True) is False:
-                out.append(f"{at}.{k}: not allowed")
+            out += violations(value[k], known.get(k, more), f"{at}.{k}")
     if isinstance(value, list) and "items" in schema:
         for i, x in enumerate(value):
             out += violations(x, schema["items"], f"{at}[{i}]")
-    return out
+    return [HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", x) for x in out] if at == "$" else out
 
 
 def references(value) -> list[str]:
@@ -81,9 +130,27 @@ def references(value) -> list[str]:
     return [r for v in value for r in references(v)] if isinstance(value, list) else []
 
 
+def _no_number(text: str):
+    raise ValueError(f"no number: {text}")
+
+
+def _number(text: str) -> float:
+    return x if math.isfinite(x := float(text)) else _no_number(text)
+
+
+def depth(text: str) -> int:
+    """How deep brackets nest outside of strings."""
+    level = most = 0
+    for c in re.sub(r'"(?:[^"\\]|\\.)*"', "", text, flags=re.S):
+        level += (c in "[{") - (c in "]}")
+        most = max(most, level)
+    return most
+
+
 def parse_object(text: str | None) -> dict | None:
+    """The JSON object of a text; None if it is none, too deep, or holds a number that is no finite double."""
     try:
-        value = json.loads(text, parse_constant=lambda x: None) if text is not None else None
+        value = json.loads(text, parse_constant=_no_number, parse_float=_number) if text is not None and depth(text) <= MAX_DEPTH else None
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -91,10 +158,29 @@ def parse_object(text: str | None) -> dict | None:
 
 def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of messages (conv_id, turn, role, text) in the usual chat form: an assistant's text
-    {"tool_calls": [{"id", "name", "arguments"}]}, a tool's text {"tool_call_id", "content"}."""
-    call = "array<struct<id:string,name:string,arguments:string>>"
-    parsed = messages.where("role = 'assistant'").select("conv_id", "turn", F.explode(F.from_json("text", f"tool_calls {call}")["tool_calls"]).alias("c"))
-    calls = parsed.select("conv_id", F.col("c.id").alias("call_id"), "turn", F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
+    {"tool_calls": [{"id", "name", "arguments"}]}, a tool's text {"tool_call_id", "content"}. Arguments are an object or
+    its text; a value is passed on as its own JSON, so a number that is no double stays an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            out = []
+            for conv, turn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    value = json.loads(text) if depth(text) <= 2 * MAX_DEPTH else None
+                except (ValueError, RecursionError):
+                    value = None
+                found = value.get("tool_calls") if isinstance(value, dict) else None
+                for call in found if isinstance(found, list) else ():
+                    call = call if isinstance(call, dict) else {}
+                    arguments = call.get("arguments")
+                    plain = [call.get(k) if isinstance(call.get(k), str) else None for k in ("id", "name")]
+                    plain = [x if x is None else HALF.sub("\ufffd", x) for x in plain]
+                    out.append((conv, plain[0], turn, plain[1], HALF.sub("\ufffd", arguments) if isinstance(arguments, str) else None if arguments is None else json.dumps(arguments)))
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["conv_id", "call_id", "turn", "name", "arguments"])
+
+    marked = messages.where("role = 'assistant' AND text LIKE '%tool_calls%'")
+    calls = marked.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text").mapInArrow(run, CALLS)
     reply = messages.where("role = 'tool'").select("conv_id", "turn", F.from_json("text", "tool_call_id string, content string").alias("r"))
     return calls, reply.select("conv_id", F.col("r.tool_call_id").alias("call_id"), "turn", F.col("r.content").alias("content"))
 
@@ -116,26 +202,40 @@ def turns_as_calls(messages: DataFrame, name: str = "respond") -> tuple[DataFram
     return calls, results
 
 
-def parse_calls(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def tool_table(spark: SparkSession, schemas: dict[str, dict] | DataFrame) -> DataFrame:
+    """(name, schema as text) of a dict of schemas, or of a table of them."""
+    if isinstance(schemas, DataFrame):
+        return schemas.select("name", "schema")
+    for schema in schemas.values():
+        check_schema(schema)
+    found = spark.createDataFrame([(k, json.dumps(v)) for k, v in schemas.items()], "name string, schema string")
+    return F.broadcast(found) if len(schemas) <= MAX_TOOLS else found
+
+
+def parse_calls(calls: DataFrame, schemas: dict[str, dict] | DataFrame) -> DataFrame:
     """``calls`` with args (canonical text or null), refs and errors."""
-    if len(schemas) > MAX_TOOLS:
-        raise ValueError(f"over {MAX_TOOLS} tools")
-    shared = calls.sparkSession.sparkContext.broadcast(schemas)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        @lru_cache(1024)
+        def read(text):
+            schema = json.loads(text)
+            check_schema(schema)
+            return schema
+
         for batch in batches:
             args, refs, errors = [], [], []
-            for name, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                value, schema = parse_object(text), shared.value.get(name)
-                wrong = ["arguments: no JSON object"] if value is None else violations(value, schema) if schema is not None else []
+            for text, schema in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                value = parse_object(text)
+                wrong = ["arguments: no JSON object"] if value is None else violations(value, read(schema)) if schema is not None else []
                 args.append(None if value is None else canonical(value))
-                refs.append(sorted(set(references(value))) if value is not None else [])
+                refs.append(sorted({HALF.sub("\ufffd", r) for r in references(value)}) if value is not None else [])
                 errors.append(wrong + (["unknown tool"] if schema is None else []))
             new = [pa.array(args, pa.string()), pa.array(refs, pa.list_(pa.string())), pa.array(errors, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=["conv_id", "call_id", "turn", "name", "args", "refs", "errors"])
 
     fields = "conv_id bigint, call_id string, turn bigint, name string, args string, refs array<string>, errors array<string>"
-    return calls.select("conv_id", "call_id", "turn", "name", "arguments").mapInArrow(run, fields)
+    named = calls.join(tool_table(calls.sparkSession, schemas), "name", "left")
+    return named.select("conv_id", "call_id", "turn", "name", "arguments", "schema").mapInArrow(run, fields)
 
 
 def _levels(edges: dict[str, list[str]]) -> dict[str, int | None]:
@@ -174,21 +274,28 @@ def order(calls: DataFrame, max_calls: int = MAX_CALLS) -> DataFrame:
 
 
 def _order_by_rounds(calls: DataFrame) -> DataFrame:
-    """Levels by rounds: a call is settled once all calls that it refers to are."""
-    edges = calls.select("conv_id", "call_id", F.explode("refs").alias("ref"))
-    known = calls.select("conv_id", F.col("call_id").alias("ref"))
-    edges = cut(edges.join(known, ["conv_id", "ref"]), "references")
-    waiting = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("need"))
-    done = cut(calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    while True:
-        met = edges.join(done.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("met"), F.max("level").alias("top"))
-        new = met.join(waiting, ["conv_id", "call_id"]).where("met = need").select("conv_id", "call_id", (F.col("top") + 1).cast("int").alias("level"))
-        new = cut(new.join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "levels")
-        if new.isEmpty():
-            break
+    """Levels by rounds: a call is settled once all calls that it refers to are. Chains of single references count as one step."""
+    ends = ["conv_id", "call_id"]
+    edges = calls.select(*ends, F.explode("refs").alias("ref"))
+    edges = cut(edges.join(calls.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"]).distinct(), "references")
+    need = edges.groupBy(*ends).agg(F.count("*").alias("need"), F.min("ref").alias("ref"))
+    node, key = calls.select(*ends, F.to_json(F.struct("conv_id", "call_id")).alias("node")), F.to_json(F.struct("conv_id", F.col("ref").alias("call_id")))
+    parents = node.join(need.where("need = 1").withColumn("parent", key), ends, "left").select("node", "parent")
+    anchored = node.join(pointer_roots(parents), "node").where("root IS NOT NULL").select(*ends, "node", F.col("root").alias("anchor"), F.col("dist").alias("steps"))
+    anchored = cut(anchored, "anchors")  # calls whose chain runs into a cycle have none
+    many = need.where("need > 1").select(*ends, "need")
+    arcs = edges.join(many, ends).join(anchored.select("conv_id", F.col("call_id").alias("ref"), "anchor", "steps"), ["conv_id", "ref"])
+    arcs = cut(arcs.join(node, ends).select("node", "need", "anchor", F.col("steps") + 1), "arcs").toDF("node", "need", "anchor", "steps")
+    new = cut(node.join(need, ends, "left_anti").select("node", F.lit(0).cast("long").alias("level")), "levels")
+    done, met = new, None
+    while not new.isEmpty():
+        step = arcs.join(new.withColumnRenamed("node", "anchor"), "anchor").select("node", "need", F.lit(1).cast("long").alias("met"), (F.col("level") + F.col("steps")).alias("top"))
+        met = cut((step if met is None else met.unionByName(step)).groupBy("node", "need").agg(F.sum("met").alias("met"), F.max("top").alias("top")), "met")
+        new = cut(met.where("met = need").select("node", F.col("top").alias("level")), "levels")
+        met = met.where("met < need")
         done = done.unionByName(new)
-    rest = calls.select("conv_id", "call_id").join(done, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(None).cast("int"))
-    return done.unionByName(rest)
+    levels = anchored.join(cut(done, "levels").withColumnRenamed("node", "anchor"), "anchor").select(*ends, (F.col("level") + F.col("steps")).cast("int").alias("level"))
+    return calls.select(*ends).join(levels, ends, "left")
 
 
 def _first(rows: DataFrame, value: list[str]) -> DataFrame:
@@ -197,7 +304,7 @@ def _first(rows: DataFrame, value: list[str]) -> DataFrame:
     return rows.where("call_id IS NOT NULL AND conv_id IS NOT NULL").groupBy("conv_id", "call_id").agg(least, F.count("*").alias("times")).select("conv_id", "call_id", "x.*", "times")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], max_calls: int = MAX_CALLS) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | DataFrame, max_calls: int = MAX_CALLS) -> DataFrame:
     """One row per call identifier, orphan result, and call or result without an identifier: conv_id, call_id, turn,
     result_turn, name, status, level, duplicates, errors, json (canonical text of linked calls)."""
     parsed = cut(parse_calls(calls, schemas), "calls")
@@ -223,7 +330,7 @@ def _serialise(rows: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def text(status: pd.Series, args: pd.Series, call_id: pd.Series, name: pd.Series, content: pd.Series) -> pd.Series:
         def one(s, a, i, n, c):
-            return None if s != "linked" else canonical({"arguments": None if a is None else json.loads(a), "id": i, "name": n, "result": c})
+            return None if s != "linked" else f'{{"arguments":{a or "null"},"id":{canonical(i)},"name":{canonical(n)},"result":{canonical(c)}}}'
 
         return pd.Series(map(one, status, args, call_id, name, content), dtype=object)
 

@@ -246,6 +246,50 @@ def test_conversations_as_calls(spark):
     assert tool_calls.link_messages(chat(spark, [])).count() == 0
 
 
+def test_tool_calls_with_odd_arguments(spark):
+    texts = {
+        "half": '{"a": "\\ud800", "\\udfff": 1}', "huge": '{"a": 1e999}', "nan": '{"a": NaN}', "deep": '{"a": ' + "[" * 3000 + "]" * 3000 + "}", "brackets": '{"a": "' + "[" * 3000 + '"}',
+        "long": json.dumps({"a": "x" * 2_000_000}), "digits": '{"a": ' + "9" * 400 + "}", "float": '{"a": 1e2, "b": -0.0}', "text": "not json", "empty": "", "none": None,
+    }
+    calls = spark.createDataFrame([(1, k, 0, "get", v) for k, v in texts.items()], tool_calls.CALLS)
+    results = spark.createDataFrame([(1, k, 1, "\u2028 é") for k in texts], tool_calls.RESULTS)
+    found = {r.call_id: r for r in tool_calls.link(calls, results, {"get": {"type": "object"}}).collect()}
+    assert {k for k, r in found.items() if r.errors} == {"huge", "nan", "deep", "text", "empty", "none"}
+    assert '"arguments":{"a":"\\ud800","\\udfff":1}' in found["half"].json and '"arguments":{"a":100,"b":0}' in found["float"].json
+    assert '"arguments":null' in found["huge"].json and "9" * 400 in found["digits"].json and len(found["long"].json) > 2_000_000
+    assert all(json.loads(r.json)["result"] == "\u2028 é" for r in found.values())
+    marked = '{"tool_calls": [{"id": "x", "name": "get", "arguments": {"n": 1e999}}, {"id": "y", "name": "get", "arguments": {"s": "\\ud800"}}, 5]}'
+    rows = {r.call_id: r for r in tool_calls.link_messages(chat(spark, [(1, 0, "assistant", marked), (1, 1, "assistant", '{"tool_calls": ["'), (1, 2, "tool", '{"tool_call_id": "x", "content": "1"}')])).collect() if r.turn == 0}
+    assert rows["x"].errors == ["arguments: no JSON object", "unknown tool"] and '"arguments":null' in rows["x"].json and rows[None].status == "no_id" and "y" in rows
+
+
+def test_schemas(spark):
+    schema = {
+        "type": "object", "title": "t", "additionalProperties": {"type": "integer", "minimum": 3},
+        "properties": {"c": {"const": 1}, "e": {"enum": [1, "a"]}, "s": {"type": "string", "pattern": "^a+$", "maxLength": 3}, "l": {"type": "array", "minItems": 1, "items": {"anyOf": [{"type": "string"}, {"type": "null"}]}}, "o": {"oneOf": [{"type": "number"}, {"type": "integer"}]}, "n": {"not": {"type": "null"}}},
+    }
+    tool_calls.check_schema(schema)
+    good = {"c": 1.0, "e": "a", "s": "aaa", "l": ["x", None], "o": 1.5, "n": 0, "more": 3}
+    assert tool_calls.violations(good, schema) == []
+    for k, bad in {"c": True, "e": True, "s": "aaaa", "l": [], "o": 1, "n": None, "more": 2.5}.items():
+        assert tool_calls.violations(good | {k: bad}, schema), k
+    for wrong in ({"type": "any"}, {"properties": {"x": {"dependentRequired": {}}}}, {"pattern": "("}, 5):
+        with pytest.raises((ValueError, re.error)):
+            tool_calls.check_schema(wrong)
+    table = spark.createDataFrame([("get", json.dumps(schema))], "name string, schema string")
+    calls = spark.createDataFrame([(1, "a", 0, "get", '{"c": 2}'), (1, "b", 0, None, "{}")], tool_calls.CALLS)
+    assert {r.call_id: r.errors for r in tool_calls.parse_calls(calls, table).collect()} == {"a": ["$.c: not the constant"], "b": ["unknown tool"]}
+
+
+def test_long_chains_and_several_references_are_ordered_alike(spark):
+    rng = random.Random(2)
+    rows = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(70)]
+    rows += [(2, f"n{i:02d}", rng.sample([f"n{j:02d}" for j in range(i)], min(i, rng.choice([0, 1, 1, 1, 2, 3])))) for i in range(40)] + [(2, "loop", ["loop", "n00"]), (2, "behind", ["loop"])]
+    refs = spark.createDataFrame(rows, "conv_id long, call_id string, refs array<string>")
+    small, large = ({(r.conv_id, r.call_id): r.level for r in tool_calls.order(refs, limit).collect()} for limit in (1000, 1))
+    assert small == large and small[1, "c69"] == 69 and small[2, "loop"] is None and small[2, "behind"] is None and max(v for v in small.values() if v) > 3
+
+
 # token rollups
 
 

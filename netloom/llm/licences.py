@@ -3,17 +3,23 @@
 Every document's rolling word k-gram hashes are joined with the templates' k-gram positions; equal words confirm each
 match. A match of document place p and template place t votes for the diagonal p - t. Votes are counted per diagonal,
 neighbouring diagonals (insertions and deletions shift a copy by a few words) are merged into spans, and a span stands
-if its confirmed k-grams cover enough of the template. A phrase of k words or a few more must be covered whole.
+if its confirmed k-grams cover enough of the template. Phrases and short notices, of under LONG_WORDS words, take grams of
+SHORT_K words, license texts of LONG_K. A phrase must be covered whole. Of license texts that share a place and differ in
+how much of them is covered, the better one stays.
 
-Matching grams shuffle by document; the text does not. The template table is broadcast under a checked bound and joined
-by shuffle beyond it.
+Matching grams shuffle by document; the text does not. The template table is broadcast under a checked bound. Beyond it
+the documents' grams are written once, only (row, place, hash) is shuffled to the templates, and matches are confirmed
+against the written rows.
 
-Defined results: null and empty texts have no words and no spans; a phrase of fewer than k words is refused; repeated
-rows each get a result; a place that two templates cover counts for both.
+Defined results: null and empty texts have no words and no spans; very long texts are taken whole; a template of fewer
+than SHORT_K words is refused; repeated rows each get a result; a place that two templates cover counts for both; columns
+of ``docs`` other than doc_id are dropped.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,7 +28,8 @@ from pyspark.sql import types as T
 
 from netloom.llm.common import LOWER_WORDS, cut, with_columns, words
 
-K = 2
+SHORT_K, LONG_K, LONG_WORDS = 2, 5, 20
+KS = (SHORT_K, LONG_K)
 #: Fixed phrases and labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -42,27 +49,34 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
 }
-#: Share of a notice's grams that a span must confirm.
+#: Folder of public license texts and notices; a file's name is its label.
+TEXTS = Path(__file__).parent / "licence_texts"
+#: Share of a notice's or text's grams that a span must confirm.
 MIN_COVER = 0.75
 #: Diagonals up to so many words apart, and matches up to so many words on, are one span.
 MAX_SHIFT, MAX_GAP = 3, 12
-#: Template grams that may be broadcast.
+#: Template grams that may be broadcast; an argument of ``scan``.
 MAX_BROADCAST_GRAMS = 100_000
-CACHE_WORDS = 300_000
+#: Bytes of words whose hashes a Python worker keeps.
+CACHE_BYTES = 16 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > CACHE_WORDS:
+        self.size += len(word) + 100
+        if self.size > CACHE_BYTES:
             self.clear()
+            self.size = len(word) + 100
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
-def gram_hashes(found: list[bytes], store: dict, k: int = K) -> np.ndarray:
+def gram_hashes(found: list[bytes], store: dict, k: int) -> np.ndarray:
     """Rolling hashes of every k consecutive words."""
     h = np.fromiter(map(store.__getitem__, found), np.uint64, len(found))
     if len(h) < k:
@@ -73,20 +87,27 @@ def gram_hashes(found: list[bytes], store: dict, k: int = K) -> np.ndarray:
     return out.view(np.int64)
 
 
-def templates(spark: SparkSession, phrases: list[tuple[str, str, str]], k: int = K) -> DataFrame:
-    """(template, kind, label, n_grams, place, hash, gram) of (kind, phrase, label) rows."""
+def default_templates() -> list[tuple[str, str, str]]:
+    """(kind, words, label) of the base phrases, the notices and the license texts."""
+    texts = [("text", f.read_text(), f.stem) for f in sorted(TEXTS.glob("*.txt"))]
+    return [("phrase", p, label) for p, label in BASE.items()] + [("notice", p, label) for p, label in NOTICES.items()] + texts
+
+
+def templates(spark: SparkSession, phrases: list[tuple[str, str, str]]) -> DataFrame:
+    """(template, kind, label, n_words, n_grams, place, hash, gram) of (kind, words, label) rows."""
     store, rows = _WordHashes(), []
     for i, (kind, phrase, label) in enumerate(phrases):
         found = words(phrase.encode())
-        if len(found) < k:
-            raise ValueError(f"{phrase!r} has fewer than {k} words")
+        if len(found) < SHORT_K:
+            raise ValueError(f"{phrase!r} has fewer than {SHORT_K} words")
+        k = SHORT_K if kind == "phrase" or len(found) < LONG_WORDS else LONG_K
         for place, h in enumerate(gram_hashes(found, store, k).tolist()):
-            rows.append((i, kind, label, len(found) - k + 1, place, h, " ".join(w.decode() for w in found[place : place + k])))
-    return spark.createDataFrame(rows, "template int, kind string, label string, n_grams int, place int, hash long, gram string")
+            rows.append((i, kind, label, k, len(found) - k + 1, place, h, " ".join(w.decode() for w in found[place : place + k])))
+    return spark.createDataFrame(rows, "template int, kind string, label string, k int, n_grams int, place int, hash long, gram string")
 
 
-def grams(docs: DataFrame, k: int = K) -> DataFrame:
-    """``docs`` (doc_id, text) with row (its number), n_words, hashes, and the byte range of every k-gram."""
+def grams(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with row (its number), n_words, and the hash, place and byte range of every gram of KS words."""
 
     def work(texts):
         from pyspark import TaskContext
@@ -94,20 +115,23 @@ def grams(docs: DataFrame, k: int = K) -> DataFrame:
         store = work.store = getattr(work, "store", None) or _WordHashes()
         base = work.rows = getattr(work, "rows", TaskContext.get().partitionId() << 40)
         work.rows += len(texts)
-        counts, hashes, starts, ends = [], [], [], []
+        counts, columns = [], [[], [], [], []]
         for text in texts:
             found = (text or b"").translate(LOWER_WORDS).split()
             counts.append(len(found))
-            hashes.append(gram_hashes(found, store, k))
             marks = np.frombuffer((text or b"").translate(IS_WORD), np.uint8)
-            edge = np.flatnonzero(np.diff(marks, prepend=np.uint8(0), append=np.uint8(0)))
-            starts.append(edge[::2][: len(hashes[-1])].astype(np.int32))
-            ends.append(edge[1::2][k - 1 :].astype(np.int32))
-        offsets = pa.array(np.cumsum([0, *map(len, hashes)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (hashes, starts, ends)]
+            edge = np.flatnonzero(np.diff(marks, prepend=np.uint8(0), append=np.uint8(0))).astype(np.int32)
+            hashes = [gram_hashes(found, store, k) for k in KS]
+            columns[0].append(np.concatenate(hashes))
+            columns[1].append(np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]))
+            columns[2].append(np.concatenate([edge[::2][: len(h)] for h in hashes]))
+            columns[3].append(np.concatenate([edge[1::2][k - 1 :] for k in KS]))
+        offsets = pa.array(np.cumsum([0, *map(len, columns[0])]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in columns]
         return [pa.array(range(base, base + len(texts)), pa.int64()), pa.array(counts, pa.int64()), *lists]
 
-    fields = [T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]
+    fields = [T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]
+    fields += [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("places", "starts", "ends")]
     return with_columns(docs.select("doc_id", "text"), "text", work, fields)
 
 
@@ -119,25 +143,39 @@ def _lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def matches(docs: DataFrame, table: DataFrame, k: int = K) -> DataFrame:
-    """(row, doc_id, n_words, template, kind, label, n_grams, place, at) of every confirmed gram, and one row without a
-    template for each document."""
-    found = grams(docs, k)
-    begin = table.limit(1).select(F.lit(-1).alias("template"), F.lit("").alias("kind"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("n_grams"), F.lit(0).alias("place"), F.lit(None).cast("long").alias("hash"), F.lit("").alias("gram"))
-    every = table.unionByName(begin).withColumn("hash", F.coalesce("hash", F.lit(0)))
-    if table.count() <= MAX_BROADCAST_GRAMS:
-        every = F.broadcast(every)
-    rolled = found.select("row", "doc_id", "n_words", "text", "starts", "ends", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("pos", "hash"))
-    part = F.expr("cast(substring(cast(text as binary), starts[pos - 1] + 1, ends[pos - 1] - starts[pos - 1]) as string)")
-    same = F.regexp_replace(_lower_ascii(part), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ") == F.col("gram")
-    hit = rolled.join(every, "hash").where(((F.col("pos") == 0) & (F.col("template") == -1)) | ((F.col("pos") > 0) & (F.col("template") >= 0) & same))
-    return hit.select("row", "doc_id", "n_words", "template", "kind", "label", "n_grams", "place", (F.col("pos") - 1).alias("at"))
+def _is_gram(i: Column) -> Column:
+    """Whether the words of the i-th gram (from 1) are those of the template's."""
+    part = F.expr("cast(substring(cast(text as binary), starts[i - 1] + 1, ends[i - 1] - starts[i - 1]) as string)".replace("i - 1", f"{i} - 1"))
+    return F.regexp_replace(_lower_ascii(part), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ") == F.col("gram")
+
+
+MATCH = ["row", "doc_id", "n_words", "template", "kind", "label", "k", "n_grams", "place", "at"]
 
 
-def spans(hits: DataFrame, k: int = K, min_cover: float = MIN_COVER) -> DataFrame:
+def matches(docs: DataFrame, table: DataFrame, broadcast_grams: int = MAX_BROADCAST_GRAMS) -> DataFrame:
+    """MATCH columns of every confirmed gram, and one row of template -1 for each document."""
+    found = grams(docs)
+    if table.count() > broadcast_grams:
+        return _matches_by_shuffle(cut(found, "grams"), table)
+    begin = table.limit(1).select(F.lit(-1).alias("template"), F.lit("").alias("kind"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("k"), F.lit(0).alias("n_grams"), F.lit(0).alias("place"), F.lit(None).cast("long").alias("hash"), F.lit("").alias("gram"))
+    every = F.broadcast(table.unionByName(begin).withColumn("hash", F.coalesce("hash", F.lit(0))))
+    rolled = found.select("row", "doc_id", "n_words", "text", "places", "starts", "ends", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("pos", "hash"))
+    hit = rolled.join(every, "hash").where(((F.col("pos") == 0) & (F.col("template") == -1)) | ((F.col("pos") > 0) & (F.col("template") >= 0) & _is_gram("pos")))
+    return hit.withColumn("at", F.expr("get(places, pos - 1)")).select(*MATCH)
+
+
+def _matches_by_shuffle(found: DataFrame, table: DataFrame) -> DataFrame:
+    rolled = found.select("row", F.posexplode("hashes").alias("i", "hash"))
+    met = cut(rolled.join(table, "hash").drop("hash"), "met")
+    confirmed = met.join(found.drop("hashes"), "row").withColumn("pos", F.col("i") + 1).where(_is_gram("pos")).withColumn("at", F.expr("places[i]")).select(*MATCH)
+    none = {"template": F.lit(-1), "kind": F.lit(""), "label": F.lit(None).cast("string"), "k": F.lit(0), "n_grams": F.lit(0), "place": F.lit(0), "at": F.lit(None).cast("int")}
+    return confirmed.unionByName(found.select("row", "doc_id", "n_words").withColumns(none))
+
+
+def spans(hits: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """Standing spans: row, template, kind, label, first_word, end_word (exclusive), cover, votes."""
     diagonal = hits.where("template >= 0").withColumn("diagonal", F.col("at") - F.col("place"))
-    voted = diagonal.groupBy("row", "template", "kind", "label", "n_grams", "diagonal").agg(
+    voted = diagonal.groupBy("row", "template", "kind", "label", "k", "n_grams", "diagonal").agg(
         F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("place").alias("places")
     )
     # phrases stand on one diagonal; notices on runs of neighbouring ones
@@ -146,21 +184,20 @@ def spans(hits: DataFrame, k: int = K, min_cover: float = MIN_COVER) -> DataFram
     run = F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(order)
     merged = (
         voted.withColumn("run", run)
-        .groupBy("row", "template", "kind", "label", "n_grams", "run")
-        .agg(F.sum("votes").alias("votes"), F.min("low").alias("first_word"), (F.max("high") + k).alias("end_word"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("seen"))
+        .groupBy("row", "template", "kind", "label", "k", "n_grams", "run")
+        .agg(F.sum("votes").alias("votes"), F.min("low").alias("first_word"), (F.max("high") + F.col("k")).alias("end_word"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("seen"))
     )
     cover = merged.withColumn("cover", F.col("seen") / F.col("n_grams"))
     return cover.where(F.when(F.col("kind") == "phrase", F.col("cover") == 1).otherwise(F.col("cover") >= min_cover)).drop("run", "seen")
 
 
-def scan(docs: DataFrame, phrases: list[tuple[str, str, str]] | None = None, k: int = K, min_cover: float = MIN_COVER) -> DataFrame:
+def scan(docs: DataFrame, phrases: list[tuple[str, str, str]] | None = None, min_cover: float = MIN_COVER, broadcast_grams: int = MAX_BROADCAST_GRAMS) -> DataFrame:
     """One row per document: n_words, spans (label, kind, first_word, end_word, cover), and the digest columns n_base,
     first_word, last_word, base_labels, labels and score (the best cover of a standing span, else 0).
     """
-    if phrases is None:
-        phrases = [("phrase", p, label) for p, label in BASE.items()] + [("notice", p, label) for p, label in NOTICES.items()]
-    hits = cut(matches(docs, templates(docs.sparkSession, phrases, k), k), "grams").repartition("row")  # numbered rows, so written once
-    standing = spans(hits, k, min_cover)
+    table = templates(docs.sparkSession, default_templates() if phrases is None else phrases)
+    hits = cut(matches(docs, table, broadcast_grams), "grams").repartition("row")  # numbered rows, so written once
+    standing = spans(hits, min_cover)
     rows = hits.where("template = -1").select("row", "doc_id", "n_words").withColumn("span", F.lit(None).cast("struct<label:string,kind:string,first_word:int,end_word:int,cover:double>"))
     found = standing.select("row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("n_words"), F.struct("label", "kind", "first_word", "end_word", "cover").alias("span"))
     base = F.filter("spans", lambda s: s["kind"] == "phrase")
@@ -169,6 +206,11 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str, str]] | None = None, k:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda s: s["label"]))), ",")
 
     one = rows.unionByName(found).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("span")).alias("spans"))
+
+    def beaten(s):
+        return F.exists("spans", lambda t: (s["kind"] == "text") & (t["kind"] == "text") & (t["first_word"] < s["end_word"]) & (s["first_word"] < t["end_word"]) & (t["cover"] > s["cover"]))
+
+    one = one.withColumn("spans", F.filter("spans", lambda s: ~beaten(s)))
     return one.select(
         "doc_id",
         "n_words",

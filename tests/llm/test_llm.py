@@ -375,12 +375,44 @@ def brute_licences(text):
     return len(found), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None), ",".join(sorted({x for _, x in hits}))
 
 
+def brute_cover(found, template, k):
+    """Distinct template grams in any order that the text has: the most that a span can cover."""
+    grams = [tuple(template[i : i + k]) for i in range(len(template) - k + 1)]
+    have = {tuple(found[i : i + k]) for i in range(len(found) - k + 1)}
+    return sum(g in have for g in grams) / len(grams)
+
+
+def brute_labels(text):
+    """Labels of templates that stand whole in the text, and of those that may stand by their grams."""
+    found = [w.decode() for w in words((text or "").encode())]
+    sure, maybe = set(), set()
+    for kind, phrase, label in licences.default_templates():
+        template = [w.decode() for w in words(phrase.encode())]
+        k = 2 if kind == "phrase" or len(template) < 20 else 5
+        if any(found[i : i + len(template)] == template for i in range(len(found) - len(template) + 1)):
+            sure.add(label)
+        if kind != "phrase" and brute_cover(found, template, k) >= 0.75:
+            maybe.add(label)
+    return sure, sure | maybe
+
+
 def test_licences_match_brute_force(spark):
     rows = ODD + [(10, "Under CC-BY, cc BY; MIT License (the apache\nlicense) GNU general public license", "en"), (11, "cc by cc by cc by", "en"), (12, "general public license mit", "en")]
+    texts = {f.stem: f.read_text() for f in sorted(licences.TEXTS.glob("*.txt"))}
+    rows += [(100 + i, f"Some words before. {t}\nand after", "en") for i, t in enumerate(texts.values())]
     for docs in (docs_of(spark, rows), real(spark)):
-        texts = [(r.doc_id, r.text) for r in docs.collect()]
-        got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licences.scan(docs).collect()), key=str)
-        assert got == sorted(((i, *brute_licences(t)) for i, t in texts), key=str)
+        texts_of = [(r.doc_id, r.text) for r in docs.collect()]
+        found = licences.scan(docs).collect()
+        got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in found), key=str)
+        assert got == sorted(((i, *brute_licences(t)) for i, t in texts_of), key=str)
+        by_id = dict(texts_of)
+        for r in found:
+            sure, maybe = brute_labels(by_id[r.doc_id])
+            assert sure <= set(r.labels.split(",")) | {""} and set(filter(None, r.labels.split(","))) <= maybe and r.score == max((s.cover for s in r.spans), default=0)
+    assert {r.doc_id: r.labels for r in licences.scan(docs_of(spark, rows[-len(texts) :])).collect()}[100 + list(texts).index("gpl-3.0")] == "gpl,gpl-3.0"
+    plain, shuffled = (sorted(map(repr, licences.scan(docs_of(spark, rows), broadcast_grams=n).collect())) for n in (10**6, 0))
+    assert plain == shuffled
+    assert licences.scan(docs_of(spark, rows).where("false")).count() == 0
 
 
 def test_licence_notices_with_edits(spark):

@@ -1,16 +1,19 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is a table of segments, each made in one task from about ``SEGMENT_WORDS`` words of whole documents: its
-terms, their sorted postings (places in the segment) and the documents' places. Segments are disjoint, so a search
+The index is a table of segments, each made in one task from about ``SEGMENT_WORDS`` words of whole documents: all its
+terms, their sorted postings (places in the segment) and the documents' places. It can be kept for later benchmarks
+(``search``). Segments are disjoint, so a search
 reads each once, without a shuffle. A phrase is searched from its rarest term in the segment: that term's postings,
 less the term's offset, are the candidate starts, which the other terms' offset-adjusted postings then thin out, from
 rare to common. Exact matches need every term at its offset; a proximity match is a start from which every term stands
 at most ``slack`` places off its offset. Documents are set apart by a gap, so no match crosses from one to the next.
 
-The phrase set travels to the tasks in blocks of at most ``BLOCK_WORDS`` words, so its size is bounded; further blocks
-are further passes over the index, and hits are united per document.
+The phrase set travels to the tasks in blocks of about ``BLOCK_WORDS`` words, so its size is bounded; further blocks
+are further passes over the index, and hits are united per document. Long items are cut into pieces of ``PIECE_WORDS``
+windows, so one item may fill many blocks.
 
-Defined results: null or empty texts have no words and no hits; a null phrase id or text makes no phrase; repeated
+Defined results: columns of the documents other than doc_id are dropped; very long texts are taken whole, in a segment of
+their own; null or empty texts have no words and no hits; a null phrase id or text makes no phrase; repeated
 rows each get a result; an empty phrase table leaves every document clean.
 """
 
@@ -31,30 +34,29 @@ WINDOW = 10
 SLACK = 2
 SEGMENT_WORDS = 1 << 18
 BLOCK_WORDS = 1 << 20
-SEGMENT_SCHEMA = (
-    "segment string, doc_ids array<bigint>, doc_starts array<int>, n_words array<int>, terms array<string>, "
-    "term_starts array<int>, gaps array<int>"
-)
+PIECE_WORDS = 1 << 14
+
+
+def _schema(docs_or_index: DataFrame, text: str) -> str:
+    """A schema text in which ID stands for the type of the documents' ids."""
+    kind = docs_or_index.schema["doc_id"].dataType if "doc_id" in docs_or_index.columns else docs_or_index.schema["doc_ids"].dataType.elementType
+    return text.replace("ID", kind.simpleString())
+
+
+SEGMENT_SCHEMA = "segment string, doc_ids array<ID>, doc_starts array<int>, n_words array<int>, terms array<string>, term_starts array<int>, gaps array<int>"
 HIT_SCHEMA = (
-    "segment string, ordinal int, doc_id bigint, n_words bigint, n_hit bigint, items array<string>, near_items array<string>, "
+    "segment string, ordinal int, doc_id ID, n_words bigint, n_hit bigint, items array<string>, near_items array<string>, "
     "spans array<struct<item_id:string,start:int,length:int>>"
 )
 
 
-def _segment(ids: list, tokens: list[list[bytes]], gap: int, vocabulary: set | None) -> list:
+def _segment(ids: list, tokens: list[list[bytes]], gap: int) -> list:
     """One index row: documents are laid end to end with ``gap`` free places after each."""
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     starts = np.cumsum(np.r_[0, lengths + gap])[:-1]
     number: dict[bytes, int] = {}
-    if vocabulary is None:
-        codes = [number.setdefault(w, len(number)) for doc in tokens for w in doc]
-    else:
-        number = {w: i for i, w in enumerate(sorted(vocabulary))}
-        codes = [number.get(w, -1) for doc in tokens for w in doc]
-    code = np.array(codes, np.int32)
+    code = np.array([number.setdefault(w, len(number)) for doc in tokens for w in doc], np.int32)
     place = np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(len(code))
-    known = code >= 0
-    code, place = code[known], place[known]
     order = np.argsort(code, kind="stable")
     code, place = code[order], place[order]
     used, first = np.unique(code, return_index=True)
@@ -64,15 +66,18 @@ def _segment(ids: list, tokens: list[list[bytes]], gap: int, vocabulary: set | N
     return [ids, starts, lengths, [w.decode("utf-8", "replace") for w in names[used]], np.r_[first, len(code)], gaps]
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, gap: int = WINDOW + SLACK, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """Segments of ``docs`` (doc_id, text). With a ``vocabulary``, postings of other terms are left out (they are counted)."""
+def build_index(docs: DataFrame, gap: int = WINDOW + 2 * SLACK, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """Segments of ``docs`` (doc_id, text), with free places of ``gap``, at least a window and two slacks, between documents."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        kinds = [pa.string(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         names = ["segment", "doc_ids", "doc_starts", "n_words", "terms", "term_starts", "gaps"]
 
         def emit():
-            row = [uuid.uuid4().hex, *_segment(ids, tokens, gap, vocabulary)]
+            row = [uuid.uuid4().hex, *_segment(ids, tokens, gap)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         ids, tokens, total = [], [], 0
@@ -88,20 +93,16 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, gap: int
         if ids:
             yield emit()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SEGMENT_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, _schema(docs, SEGMENT_SCHEMA))
 
 
 def windows(items: list[tuple[str, str]], size: int = WINDOW) -> tuple[list[str], list[tuple[bytes, ...]]]:
     """Item and words of every window: ``size`` consecutive words, or all words of a shorter item."""
-    owner, phrases = [], []
+    seen: dict[tuple, None] = {}
     for item, text in items:
-        if item is None or text is None:
-            continue
-        found = words(text.encode())
-        for w in dict.fromkeys(tuple(found[i : i + size]) for i in range(max(1, len(found) - size + 1)) if found):
-            owner.append(item)
-            phrases.append(w)
-    return owner, phrases
+        found = words((text or "").encode()) if item is not None else []
+        seen.update(((item, tuple(found[i : i + size])), None) for i in range(max(1, len(found) - size + 1)) if found)
+    return [item for item, _ in seen], [w for _, w in seen]
 
 
 class PhraseSet:
@@ -202,12 +203,14 @@ def search_row(row: dict, phrases: PhraseSet, slack: int) -> list[list]:
 
 def search_block(index: DataFrame, phrases: PhraseSet, slack: int = SLACK) -> DataFrame:
     """Hits of one bounded block of phrases: one row per document of the index."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     shared = index.sparkSession.sparkContext.broadcast(phrases)
+    id_type = to_arrow_type(index.schema["doc_ids"].dataType.elementType)
 
     def run(batches: Iterator[pa.RecordBatch]):
-
         kind = pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())])
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(kind)]
+        kinds = [pa.string(), pa.int32(), id_type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(kind)]
         names = ["segment", "ordinal", "doc_id", "n_words", "n_hit", "items", "near_items", "spans"]
         for batch in batches:
             for i in range(batch.num_rows):
@@ -216,28 +219,46 @@ def search_block(index: DataFrame, phrases: PhraseSet, slack: int = SLACK) -> Da
                 out = [[row["segment"]] * len(out[0]), range(len(out[0])), *out]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
-    return index.mapInArrow(run, HIT_SCHEMA)
+    return index.mapInArrow(run, _schema(index, HIT_SCHEMA))
+
+
+def pieces(items: DataFrame, size: int = WINDOW, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """(item_id, piece, n, text): texts of ``items`` in pieces of ``piece_words`` windows; every window is in a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = words(text.encode())
+                starts = range(0, max(1, len(found) - size + 1) if found else 0, piece_words)
+                cuts = [found[i : i + piece_words + size - 1] for i in starts]
+                columns = [item] * len(cuts), range(len(cuts)), [len(c) for c in cuts], [b" ".join(c).decode("utf-8", "replace") for c in cuts]
+                kinds = pa.string(), pa.int32(), pa.int64(), pa.string()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item_id", "piece", "n", "text"])
+
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInArrow(run, "item_id string, piece int, n long, text string")
 
 
 def phrase_blocks(items: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[int, Iterator[PhraseSet]]:
     """How many blocks of about ``block_words`` window words ``items`` (item_id, text) makes, and the blocks one by one."""
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = rows.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
-    n = max(1, -(-total * size // block_words))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return n, (PhraseSet([tuple(r) for r in rows.where(block == i).distinct().collect()], size) for i in range(n))
+    rows = cut(pieces(items, size, min(PIECE_WORDS, max(1, block_words // size))), "pieces")
+    n = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) * size // block_words))
+    block = F.pmod(F.xxhash64("item_id", "piece"), F.lit(n))
+    return n, (PhraseSet([tuple(r) for r in rows.where(block == i).select("item_id", "text").distinct().collect()], size) for i in range(n))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = SLACK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: n_words, n_hit (words in an exact window), items (ids with an exact window), near_items (ids
     with a window within ``slack``), spans of the exact windows, contaminated.
     """
+    return search(cut(build_index(docs, size + 2 * slack), "postings"), items, size, slack, block_words)
+
+
+def search(index: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = SLACK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``decontaminate`` over a written index whose gap is ``size`` + 2 ``slack`` at least."""
     n, blocks = phrase_blocks(items, size, block_words)
-    if n == 1:  # postings of other terms than the one block's are never read
-        phrases = next(blocks)
-        index = cut(build_index(docs, set(phrases.vocabulary), size + 2 * slack), "postings")
-        return search_block(index, phrases, slack).drop("segment", "ordinal").withColumn("contaminated", F.col("n_hit") > 0)
-    index = cut(build_index(docs, None, size + 2 * slack), "postings")
+    if n == 1:
+        return search_block(index, next(blocks), slack).drop("segment", "ordinal").withColumn("contaminated", F.col("n_hit") > 0)
     out = search_block(index, next(blocks), slack)
     for phrases in blocks:
         more = search_block(index, phrases, slack).where("n_hit > 0 OR size(near_items) > 0")
@@ -247,7 +268,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack:
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
     places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     out = kept.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), "items", "near_items", "spans")

@@ -115,6 +115,22 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.decontaminate(docs_of(spark, ODD), items.where("false")).where("contaminated").isEmpty()
 
 
+def test_long_items_text_ids_and_an_index_kept(spark):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(40)}" for _ in range(500)]
+    items = [("long", " ".join(long)), ("short", "w1 w2"), ("twice", " ".join(long[:30] * 2))]
+    docs = [(f"d{i}", " ".join(long[s : s + 30] + ["none"])) for i, s in enumerate(range(0, 470, 13))] + [("all", " ".join(long)), (None, "w1 w2"), ("empty", "")]
+    frame, table = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    index = decontaminate.cut(decontaminate.build_index(frame), "index")
+    for block in (decontaminate.BLOCK_WORDS, 300):
+        got = {r.doc_id: r for r in decontaminate.digest(decontaminate.search(index, table, block_words=block)).collect()}
+        for i, text in docs:
+            assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == decontaminate.brute_force(text, items)
+    assert decontaminate.decontaminate(frame.where("false"), table).count() == 0
+    clash = frame.selectExpr("*", "'x' AS near_items", "1 AS segment", "2 AS n_hit", "3 AS spans")
+    assert decontaminate.decontaminate(clash, table).count() == len(docs)
+
+
 def test_proximity(spark):
     rng = random.Random(8)
     texts = ["a b x c d e", "a b c d e", "e d c b a q q q", "a b x y z c d e"] + [" ".join(rng.choice("abcde") for _ in range(9)) for _ in range(120)]

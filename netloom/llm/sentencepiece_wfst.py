@@ -2,7 +2,9 @@
 
 Compiled from the model file, on the driver:
 
-* the normaliser N: white space to the space mark, optional dummy prefix and squeezed spaces (identity otherwise);
+* the normaliser N = R o W: R rewrites by the model's character map, a trie whose final states emit the replacement, the
+  longest match at each place and any other character as it is (user-defined pieces go before it); W turns spaces into
+  space marks, squeezes runs of them and adds the dummy prefix, as the model says;
 * the piece transducer P: a trie of the pieces, each final state emitting its id. A unigram piece weighs minus its score.
   The pieces of a merge (BPE) model have no additive scores: there P is composed with an acceptor M over neighbouring
   pieces that gives weight 0 to a pair which merging leaves apart and infinity to one which it would join across;
@@ -11,16 +13,17 @@ Compiled from the model file, on the driver:
 Each input is composed with N o P o M o B lazily, and the single-source shortest path in the (min, +) semiring is its
 encoding. Under M every prefix has one finite state, so a merge model's path is unique and equals what merging by rank
 yields. Where no piece spans two neighbouring characters (before a run of space marks, around a line break) every path
-passes through one state; the composition is cut there and the shortest paths of the parts are kept in a bounded store.
+passes through one state; the composition is cut there and the shortest paths of the parts are kept in a store that is
+bounded in bytes.
 
-Defined results: null text has null ids and decodes to null; empty text has no ids; repeated rows each get a result.
+Defined results: very long texts are taken whole; extra columns stay, but those named as a result are replaced; null text has null ids and decodes to null; empty text has no ids; repeated rows each get a result.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -34,8 +37,10 @@ from netloom.llm.common import with_columns
 
 SPACE = "▁"
 INFINITY = float("inf")
-#: Whole segments, parts of segments and neighbouring pieces that a Python worker keeps.
-STORE_SEGMENTS, STORE_PARTS, STORE_PAIRS = 300_000, 800_000, 500_000
+#: Bytes of whole segments and of parts of segments, with their ids, and neighbouring pieces that a Python worker keeps.
+STORE_SEGMENTS, STORE_PARTS, STORE_PAIRS = 100 << 20, 200 << 20, 500_000
+#: Bytes of an entry besides its characters, and of each id.
+ENTRY_BYTES, ID_BYTES = 240, 8
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
@@ -54,34 +59,82 @@ class Model:
     escape: bool = True
     byte_fallback: bool = True
     unknown_surface: str = " ⁇ "
+    rewrites: dict[str, str] = field(default_factory=dict)
 
 
 def read_model(path: str) -> Model:
-    """Read a .model file on the driver. Models whose normaliser has rewrite rules of its own are refused."""
+    """Read a .model file on the driver."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
     with open(path, "rb") as f:
         m.ParseFromString(f.read())
     spec = m.normalizer_spec
-    if spec.precompiled_charsmap:
-        raise ValueError(f"normaliser {spec.name!r} has a character map; only identity normalisers are compiled")
     if m.trainer_spec.model_type not in (UNIGRAM, BPE):
         raise ValueError("only unigram and BPE models are compiled")
     return Model(
         [p.piece for p in m.pieces], [p.score for p in m.pieces], [p.type for p in m.pieces], m.trainer_spec.model_type,
-        spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, m.trainer_spec.byte_fallback, m.trainer_spec.unk_surface,
+        spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, m.trainer_spec.byte_fallback, m.trainer_spec.unk_surface, character_map(spec.precompiled_charsmap),
     )
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """Source and replacement strings of a compiled character map: the size of a double-array trie, its 32-bit units, and
+    the replacements, each ended by a zero byte. Of a unit, bits 10-30 (shifted by 8 more if bit 9 is set) lead to its
+    children, who lie at that place xor their byte; bit 8 tells of a value in the child 0."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, pool = np.frombuffer(blob, "<u4", size // 4, 4).tolist(), blob[4 + size :]
+    found, open_ = {}, [(0, b"")]
+    while open_:
+        at, source = open_.pop()
+        unit = units[at]
+        base = at ^ ((unit >> 10) << ((unit & 0x200) >> 6))
+        if unit & 0x100 and source:
+            start = units[base] & 0x7FFFFFFF
+            found[source] = pool[start : pool.index(0, start)]
+        for byte in range(1, 256):
+            child = base ^ byte
+            if child < len(units) and units[child] & 0x800000FF == byte:
+                open_.append((child, source + bytes([byte])))
+    return {k.decode(): v.decode() for k, v in found.items()}
+
+
 class Normaliser:
     """N: a text as the symbols that pieces are made of."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.trie = model, {}
+        own = [(p, p) for p, k in zip(model.pieces, model.kinds, strict=True) if k == USER_DEFINED and p] if model.rewrites else []
+        for source, target in [*model.rewrites.items(), *own]:
+            state = self.trie
+            for c in source:
+                state = state.setdefault(c, {})
+            state[None] = target
+        self.firsts = frozenset(self.trie)
+
+    def rewrite(self, text: str) -> str:
+        """R: output of the longest match at each place."""
+        if self.firsts.isdisjoint(text):
+            return text
+        out, at, n = [], 0, len(text)
+        while at < n:
+            state, end, best, to = self.trie.get(text[at]), at + 1, text[at], at + 1
+            while state is not None:
+                if None in state:
+                    best, to = state[None], end
+                if end == n:
+                    break
+                state = state.get(text[end])
+                end += 1
+            out.append(best)
+            at = to
+        return "".join(out)
 
     def __call__(self, text: str) -> str:
         m = self.model
+        text = self.rewrite(text)
         if m.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
@@ -207,7 +260,7 @@ class PieceTransducer:
         return self._merge_path(text) if self.model.algorithm == BPE else self._weighted_path(text)
 
     def _weighted_path(self, text: str) -> list[str]:
-        """Relaxation in order of place: the lattice has no cycle."""
+        """Relaxation in order of place: the lattice has no cycle. Of equal paths to a place, the longest last piece stays."""
         n = len(text)
         cost, back = [0.0] + [INFINITY] * n, [0] * (n + 1)
         for at in range(n):
@@ -273,18 +326,20 @@ class Codec:
         transducer = self.transducer
 
         class Store(dict):
-            """Encodings by text; at ``limit`` it becomes the elder generation, and what is still used moves on."""
+            """Encodings by text; at half of ``limit`` bytes it becomes the elder generation, and what is still used moves on."""
 
             def __init__(self, encode, limit):
-                self.encode, self.limit, self.elder = encode, limit // 2, {}
+                self.encode, self.limit, self.elder, self.size = encode, limit // 2, {}, 0
 
             def __missing__(self, text):
-                if len(self) > self.limit:
-                    self.elder = dict(self)
-                    self.clear()
                 ids = self.elder.get(text)
                 if ids is None:
                     ids = tuple(self.encode(text))
+                self.size += ENTRY_BYTES + len(text) + ID_BYTES * len(ids)
+                if self.size > self.limit:
+                    self.elder = dict(self)
+                    self.clear()
+                    self.size = ENTRY_BYTES + len(text) + ID_BYTES * len(ids)
                 self[text] = ids
                 return ids
 

@@ -216,6 +216,70 @@ def test_unigram_path_is_the_cheapest():
         assert sum(-model.scores[pieces.index(p)] for p in path) == pytest.approx(cheapest(text))
 
 
+def normal_spec(rule):
+    import sentencepiece as spm
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(spm.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    return m.normalizer_spec
+
+
+def test_normaliser_matches_the_library():
+    import sentencepiece as spm
+
+    rng = random.Random(4)
+    pool = "aé ﬁ①ＡＢ½…\t\n\u3000\u200bİßÅ한ガﾊﾞ e\u0301\u0327x  ²ǅ"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(300)]
+    for rule in ("nmt_nfkc", "nfkc_cf", "identity"):
+        spec = normal_spec(rule)
+        rewrites = sentencepiece_wfst.character_map(spec.precompiled_charsmap)
+        assert bool(rewrites) == (rule != "identity")
+        model = sentencepiece_wfst.Model([], [], [], sentencepiece_wfst.UNIGRAM, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, rewrites=rewrites)
+        mine, library = sentencepiece_wfst.Normaliser(model), spm.SentencePieceNormalizer(rule_name=rule)
+        assert [mine(t) for t in texts] == [library.normalize(t) for t in texts]
+
+
+def test_weighted_path_matches_the_library_on_whole_texts(spark, tmp_path):
+    """A unigram model of the same pieces, with made weights and a character map: whole texts through N o P o B."""
+    import sentencepiece as spm
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    rng = random.Random(7)
+    for i, p in enumerate(m.pieces):
+        p.score = -6 - 8 * i / len(m.pieces) - rng.random() if p.type == sentencepiece_wfst.NORMAL else 0
+    m.trainer_spec.model_type = sentencepiece_wfst.UNIGRAM
+    m.normalizer_spec.CopyFrom(normal_spec("nmt_nfkc"))
+    path = f"{tmp_path}/unigram.model"
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    library, docs = spm.SentencePieceProcessor(model_file=path), docs_of(spark, [(i, t, "en") for i, t in enumerate([None, "", "  ﬁne  ① 的 ", "x" * 500, *(r.text for r in real(spark).limit(60).collect())])])
+    rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, sentencepiece_wfst.read_model(path)), sentencepiece_wfst.read_model(path)).collect()
+    assert sum(len(r.text or "") for r in rows) > 50_000
+    weight = {i: p.score if p.type == sentencepiece_wfst.NORMAL else -100.0 for i, p in enumerate(m.pieces)}
+    same = 0
+    for r in rows:
+        if r.text is None:
+            assert r.ids is r.decoded is None
+            continue
+        want = library.encode(r.text)
+        same += r.ids == want
+        assert sum(weight[i] for i in r.ids) == pytest.approx(sum(weight[i] for i in want), abs=1e-6) and r.decoded == library.decode(want)
+    assert same >= 0.7 * len(rows)  # the others have several paths of one weight
+
+
+def test_stores_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(sentencepiece_wfst, "STORE_SEGMENTS", 20_000)
+    monkeypatch.setattr(sentencepiece_wfst, "STORE_PARTS", 20_000)
+    codec = sentencepiece_wfst.Codec(sentencepiece_wfst.read_model(MODEL))
+    for i in range(300):
+        codec.encode("的" * (i % 40) + str(i) + "x" * (i % 7))
+        assert sum(len(k) + 240 for k in codec.store) <= 10_000 and sum(len(k) + 240 for k in codec.store.elder) <= 10_000
+
+
 def test_encode_decode_odd_rows(spark):
     model = sentencepiece_wfst.read_model(MODEL)
     coded = sentencepiece_wfst.encode(docs_of(spark, ODD), model)

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made since the innermost open ``scratch``.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
+    """spark.checkpoint.dir. Only a local session without one gets a folder of its own; a cluster has to name a shared one."""
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{key} is not set, and executors of {master} share no folder of this machine")
         found = f"file://{tempfile.mkdtemp(prefix='netloom-')}"
         spark.conf.set(key, found)
     return found.rstrip("/")
@@ -22,4 +31,28 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` in the shared folder and read it back: short lineage that outlives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from the store that holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: int = 1) -> Iterator[None]:
+    """Delete what was cut inside at the end, but for the last ``keep`` tables; those count as made by the scratch outside."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        last = made[len(made) - keep :] if keep else []
+        for path in made[: len(made) - len(last)]:
+            delete(spark, path)
+        if (outer := _made.get()) is not None:
+            outer.extend(last)

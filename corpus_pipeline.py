@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, language ID, SimHash near-dedup, benchmark decontamination, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. A stage's result is written as
-Parquet in the shared folder and read back as the next one's input.
+Parquet in the shared folder and read back as the next one's input; what a stage cut on the way is then deleted, and in the end all but the last input.
+
+Rows are kept and dropped one by one, whatever their ids: null and repeated ids are documents like any other. Null and
+empty texts go in the first stage (too few words), as do short ones. Repeated rows are near copies, of which one stays;
+ties go to the smallest id, then the smallest hash of the text. Very long texts are taken whole. Extra columns of ``docs``
+are carried through the filters; an empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm import decontaminate, langid, quality, registry, sentencepiece_wfst, simhash
 from netloom.llm.common import cut, held_out, table
+from netloom.shared import scratch
 
 #: A document goes if its main language has a smaller share, or if it has none.
 MIN_LANGUAGE_SHARE = 0.5
@@ -69,8 +75,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs, name)
-    return docs
+    with scratch(spark):
+        for name, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

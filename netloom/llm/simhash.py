@@ -21,7 +21,9 @@ skipped, so a group of thousands of copies costs no square. Nothing is capped, s
    to be linked are skipped. Each pair is confirmed by the exact similarity of the two texts' sets. A few tables go
    first, so that large groups are linked before the many tables are searched.
 4. A forest skips pairs that others stand for. Among sets that forests link to a pair which was not confirmed, all pairs
-   within the radius and not linked are confirmed, each in the first table where it meets. Components join the links.
+   within the radius and not linked are looked at, each in the first table where it meets. There the sets carry 1,024 bits
+   and their sizes, which tell most pairs under the threshold apart on the spot; the others are confirmed as before.
+   Components join the links.
 5. A bucket over ``max_bucket`` is cut into parts, and every two parts are searched together, so no task holds a group.
 
 Defined results: null and empty texts (and those of white space) have fingerprint zero and link like any other;
@@ -41,6 +43,7 @@ from pyspark.sql import types as T
 
 from netloom.llm.common import LOWER, cut, with_columns
 from netloom.llm.components import connected_components
+from netloom.shared import scratch
 
 SEED = 42
 SHINGLE = 3
@@ -50,6 +53,10 @@ MAX_BUCKET = 1 << 18
 CHUNK = 1 << 13
 #: Of the search by similarity: words of a shingle, least similarity, words of 64 bits of a fingerprint.
 SET_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 4
+#: Words of a fingerprint that the last search carries.
+WIDEST = 16
+#: Pairs that may be broadcast to the texts; more are joined by shuffle.
+BROADCAST_PAIRS = 1 << 20
 #: Share of pairs at the threshold that meet in no table, and standard deviations of the radius over their mean distance.
 MISSED, MARGIN = 0.01, 2.4
 #: Tables that go first.
@@ -339,11 +346,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
 
 
-def wide_fingerprint(found: np.ndarray) -> np.ndarray:
-    """WIDE words of majority bits over the hashes of a set, each word by another mixing of them."""
-    counts = np.zeros(64 * WIDE, np.int64)
+def wide_fingerprint(found: np.ndarray, width: int = WIDE) -> np.ndarray:
+    """``width`` words of majority bits over the hashes of a set, each word by another mixing of them."""
+    counts = np.zeros(64 * width, np.int64)
     for i in range(0, len(found), 1 << 13):
-        part = found[i : i + (1 << 13), None] + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part = found[i : i + (1 << 13), None] + np.arange(width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         part ^= part >> np.uint64(31)
@@ -352,39 +359,40 @@ def wide_fingerprint(found: np.ndarray) -> np.ndarray:
 
 
 WORDS = [f"f{i}" for i in range(WIDE)]
+MORE = [f"f{i}" for i in range(WIDE, WIDEST)]
 
 
 def sketches(rows: DataFrame, size: int = SET_SHINGLE) -> DataFrame:
-    """``rows`` with ``set`` (128-bit digest of the shingle set), its ``size`` and the words of its fingerprint."""
+    """``rows`` with ``set`` (128-bit digest of the shingle set), its ``size`` and the WIDEST words of its fingerprint."""
 
     def work(texts):
         import xxhash
 
         sets = [shingle_set(t, size) for t in texts]
-        marks = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+        marks = np.array([wide_fingerprint(s, WIDEST) for s in sets], np.uint64).reshape(-1, WIDEST).view(np.int64)
         return [[xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], [len(s) for s in sets], *(pa.array(c) for c in marks.T.copy())]
 
-    fields = [T.StructField("set", T.StringType()), T.StructField("size", T.LongType()), *(T.StructField(c, T.LongType()) for c in WORDS)]
+    fields = [T.StructField("set", T.StringType()), T.StructField("size", T.LongType()), *(T.StructField(c, T.LongType()) for c in WORDS + MORE)]
     return with_columns(rows, "text", work, fields)
 
 
-def dealt(sets: DataFrame, picks: np.ndarray, first: int = 0) -> DataFrame:
-    """(bucket, key, root, words): each set of ``sets`` (key, root, words) in its bucket of every table from the ``first``."""
+def dealt(sets: DataFrame, picks: np.ndarray, first: int = 0, more: tuple[str, ...] = ()) -> DataFrame:
+    """(bucket, key, root, words and the columns of ``more``): each set of ``sets`` in its bucket of every table from the ``first``."""
     count, bits = picks.shape
-    names = ["bucket", "key", "root", *WORDS]
+    names = ["bucket", "key", "root", *WORDS, *more]
 
     def run(batches: Iterator[pa.RecordBatch]):
         weight = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 columns = batch.slice(at, 4096).columns
-                words = np.stack([c.to_numpy() for c in columns[2:]], 1)
+                words = np.stack([c.to_numpy() for c in columns[2 : 2 + WIDE]], 1)
                 flat = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
                 for t in range(first, count):
                     bucket = flat[:, picks[t]].astype(np.int64) @ weight + (t << bits)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), *columns], names=names)
 
-    return sets.select("key", "root", *WORDS).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return sets.select("key", "root", *WORDS, *more).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def parted(placed: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -412,29 +420,36 @@ def _first_met(differ: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.n
     return keep
 
 
-def close_pairs(placed: DataFrame, picks: np.ndarray, radius: int, every: bool = False) -> DataFrame:
-    """(u, v), keys within ``radius`` bits and of different roots: a spanning forest of each bucket, or all pairs."""
-    bits = picks.shape[1]
+def close_pairs(placed: DataFrame, picks: np.ndarray, similarity: float = SIMILARITY, every: bool = False) -> DataFrame:
+    """(u, v), keys within the radius of ``similarity`` and of different roots: a spanning forest of each bucket, or all pairs
+    that their further words and sizes (MORE and size in ``placed``) don't rule out."""
+    bits, radius, far = picks.shape[1], radius_of(similarity), radius_of(similarity, 64 * WIDEST)
     masks = np.zeros((len(picks), 64 * WIDE), np.uint8)
     np.put_along_axis(masks, picks, 1, 1)
     masks = np.packbits(masks, axis=1, bitorder="little").view("<u8")
 
+    def pairs(index, label, bucket, words, size):
+        for a, b in index.apart(radius, label):
+            keep = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+            a, b = a[keep], b[keep]
+            keep = _count(words[a] ^ words[b]) <= far
+            a, b = a[keep], b[keep]
+            keep = _first_met(words[a, :WIDE] ^ words[b, :WIDE], bucket[a] >> bits, masks)
+            yield a[keep], b[keep]
+
     def run(batches: Iterator[pa.RecordBatch]):
-        for bucket, key, root, *words in _whole_buckets(batches):
-            codes = np.stack(words, 1).view(np.uint64)
-            order = gray_order(bucket, codes)
-            bucket, key, root, codes = bucket[order], key[order], root[order], codes[order]
-            index = GrayIndex(bucket, codes)
+        for bucket, key, root, *rest in _whole_buckets(batches):
+            words = np.stack(rest[:WIDEST] if every else rest, 1).view(np.uint64)
+            order = gray_order(bucket, words[:, :WIDE])
+            bucket, key, root, words = bucket[order], key[order], root[order], words[order]
+            index = GrayIndex(bucket, words[:, :WIDE])
             _, first, which = np.unique(np.stack([bucket, root], 1), axis=0, return_index=True, return_inverse=True)
             label = first[which.ravel()]
             if every:
-                found = index.apart(radius, label)
+                found = pairs(index, label, bucket, words, rest[WIDEST][order])
             else:
                 found = [index.components(radius, None if len(first) == len(key) else label)[1:]]
             for a, b in found:
-                if every:
-                    keep = _first_met(codes[a] ^ codes[b], bucket[a] >> bits, masks)
-                    a, b = a[keep], b[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b]))], names=["u", "v"])
 
     return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
@@ -456,27 +471,35 @@ class _Sets(dict):
         return found
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, size: int = SET_SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """The ``pairs`` (u, v) of keys whose ``texts`` (key, text) have a similarity of ``least`` or more; ``sizes`` (key, size)
-    rule out most of the others without the texts."""
+def confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, size: int = SET_SHINGLE, least: float = SIMILARITY, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """The ``pairs`` (u, v; written) of keys whose ``texts`` (key, text) have a similarity of ``least`` or more; ``sizes``
+    (key, size) rule out most of the others without the texts. Only texts of pairs are shuffled, unless there are so many
+    pairs that they can't be broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        known = _Sets(size)
+        known, pair, other = _Sets(size), None, None
         for batch in batches:
-            a, b = (batch.column(i).cast(pa.binary()) for i in (2, 3))
-            keep = [jaccard(known[x.as_py()], known[y.as_py()]) >= least for x, y in zip(a, b, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            us, vs = [], []
+            for u, v, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                if pair != (u, v):
+                    pair, other = (u, v), text
+                elif jaccard(known[other], known[text]) >= least:
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     alike = F.least("m", "n") >= F.greatest("m", "n") * F.lit(least)
-    pairs = pairs.join(sizes.toDF("u", "m"), "u").join(sizes.toDF("v", "n"), "v").where(alike).select("u", "v")
-    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(run, "u long, v long")
+    few = pairs.count() <= broadcast_pairs
+    pairs = pairs.join(sizes.toDF("u", "m"), "u").join(sizes.toDF("v", "n"), "v").where(alike)
+    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("key"))
+    both = texts.join(F.broadcast(ends) if few else ends, "key").select("u", "v", "text")
+    return both.repartition("u", "v").sortWithinPartitions("u", "v").mapInArrow(run, "u long, v long")
 
 
 def similar_links(sets: DataFrame, texts: DataFrame, size: int = SET_SHINGLE, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Confirmed edges (u, v) that make the same components as all pairs of ``sets`` (key, size, words) which meet in a table,
     lie within the radius and are alike."""
-    picks, radius = tables(sets.count(), similarity), radius_of(similarity)
+    picks = tables(sets.count(), similarity)
     sizes, none = sets.select("key", "size"), sets.sparkSession.createDataFrame([], "u long, v long")
     edges = tested = none
 
@@ -484,7 +507,8 @@ def similar_links(sets: DataFrame, texts: DataFrame, size: int = SET_SHINGLE, si
         return cut(sets.join(connected_components(edges).toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted") if found is not none else sets.withColumn("root", F.col("key"))
 
     def search(rows: DataFrame, start: int, end: int, every: bool = False):
-        found = close_pairs(parted(dealt(rows, picks[:end], start), max_bucket), picks[:end], radius, every)
+        placed = parted(dealt(rows, picks[:end], start, (*MORE, "size") if every else ()), max_bucket)
+        found = cut(close_pairs(placed, picks[:end], similarity, every), "found")  # apart from the join, whose sides may be dealt anew
         pairs = cut(found.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
         good = cut(confirmed(pairs, texts, sizes, size, similarity), "links")
         return tested.unionByName(pairs), edges.unionByName(good)
@@ -503,11 +527,13 @@ def first_rows(rows: DataFrame, size: int = SET_SHINGLE, similarity: float = SIM
     ids last), then of the smallest hash of its text, then of the smallest row number.
 
     Texts without words are one group; repeated rows, null ids and reused ids are rows like any other."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
-    marked = cut(sketches(rows.select("row", "text", order.alias("rank")), size).drop("text"), "sketches")
-    sets = marked.groupBy("set").agg(F.min("row").alias("key"), F.min("rank").alias("rank"))
-    sets = cut(sets, "sets")
-    heads = cut(marked.join(sets.select(F.col("key").alias("row")), "row", "left_semi").where("size > 0").select(F.col("row").alias("key"), "size", *WORDS), "heads")
-    root = connected_components(similar_links(heads, rows.select("row", "text"), size, similarity, max_bucket)).toDF("key", "root")
-    groups = sets.join(root, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("rank").alias("rank"))
-    return groups.select("rank.row")
+    with scratch(rows.sparkSession):
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
+        marked = cut(sketches(rows.select("row", "text", order.alias("rank")), size).drop("text"), "sketches")
+        sets = cut(marked.groupBy("set").agg(F.min("row").alias("key"), F.min("rank").alias("rank")), "sets")
+        heads = marked.join(sets.select(F.col("key").alias("row")), "row", "left_semi").where("size > 0")
+        heads = cut(heads.select(F.col("row").alias("key"), "size", *WORDS, *MORE), "heads")
+        texts = rows.select(F.col("row").alias("key"), "text")
+        root = connected_components(similar_links(heads, texts, size, similarity, max_bucket)).toDF("key", "root")
+        groups = sets.join(root, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("rank").alias("rank"))
+        return cut(groups.select("rank.row"), "firsts")

@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from netloom import report
-from netloom.functions.cells import cell_frame, collect_cells
+from netloom.functions.cells import POWER_VALUES, cell_frame, collect_cells
 from netloom.operators.design import Design
 from netloom.operators.simulate import Circuit, EvaluationError
 from netloom.sources import catalogue, gds, vcd
@@ -44,9 +44,15 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+#: Terminals of a circuit that is simulated as a whole; larger ones are refused.
+MAX_TERMINALS = 1_000_000
+
+
 def circuit_of(design: Design) -> Circuit:
-    rows = design.terminals.select("instance", "cell_type", "pin", "net").limit(1_000_001).collect()
-    rails = {r.net: r.net.startswith("VP") for r in design.nets.where("is_power").collect()}
+    rows = design.terminals.select("instance", "cell_type", "pin", "net").limit(MAX_TERMINALS + 1).collect()
+    if len(rows) > MAX_TERMINALS:
+        raise ValueError(f"over {MAX_TERMINALS} terminals: the circuit is too large for one driver")
+    rails = {r.net: any(POWER_VALUES.get(name, False) for name in [r.net, *r.aliases]) for r in design.nets.where("is_power").select("net", "aliases").collect()}
     return Circuit.of([tuple(r) for r in rows], collect_cells(design.cells), rails)
 
 
@@ -64,7 +70,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     if args.command == "waveform":
         lines = vcd.read_lines(spark, args.dump)
         names = sorted(r.name for r in vcd.signals(lines).collect())
-        return [" ".join(map(str, r)) for r in vcd.at_rising_edges(vcd.changes(lines), names, args.clock).orderBy("line_no").collect()]
+        return [" ".join(map(str, r[1:])) for r in vcd.at_rising_edges(vcd.changes(lines), names, args.clock).orderBy("dump", "line_no").collect()]
     design = Design.load(spark, args.netlist, catalogue.read_cells(spark, args.cells) if args.cells else cell_frame(spark))
     graph, out = None, []
     match args.command:
@@ -73,7 +79,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         case "net":
             out, graph = report.net_text(design, args.name), design.net_neighbourhood(args.name, args.depth)
         case "instance":
-            out, graph = report.instance_text(design, args.name), design.neighbourhood(args.name, args.depth)
+            name = design.resolve_instance(args.name)
+            out, graph = report.instance_text(design, name), design.neighbourhood(name, args.depth)
         case "cone":
             out, (nets, cells) = report.cone_text(design, args.target, not args.through_flops), design.cone(args.target, not args.through_flops)
             graph = cells, nets

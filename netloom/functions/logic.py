@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"\s*([A-Za-z_]\w*|[01!&|^+*()])")
+_TOKEN = re.compile(r"\s*([A-Za-z_][A-Za-z0-9_]*|[01!&|^+*()])")
 _LEVELS = ({"|": "or", "+": "or"}, {"^": "xor"}, {"&": "and", "*": "and"})
 
 

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Sort key under which n9 comes before n10: runs of digits padded to ``width``."""
+def natural_key(name: Column) -> Column:
+    """Sort key under which n9 comes before n10: a run of digits goes by how many it has without leading zeros, then by them."""
     runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, width, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), _by_length(F.ltrim(x, F.lit("0")))).otherwise(x)), "")
+
+
+def _by_length(digits: Column) -> Column:
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
 
 
 def owner_and_pin(terminal: Column) -> tuple[Column, Column]:
@@ -38,6 +42,12 @@ def infer_by_suffix(rows: DataFrame, name: str, known: list[str], out: str = "in
 
 
 def numbered_duplicates(rows: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
-    """The first row of a name keeps it, the second gets ``_2``, and so on in ``order``."""
+    """The first row of a name in ``order`` keeps it; the others get ``_2`` and so on, numbers that make a name of ``rows``
+    left out."""
     n = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    return rows.withColumn(out, F.when(n == 1, F.col(name)).otherwise(F.concat_ws("_", name, n.cast("string"))))
+    numbered = r"^(.*)_([1-9][0-9]{0,17})$"
+    ends = rows.where(F.col(name).rlike(numbered)).select(F.regexp_extract(name, numbered, 1).alias(name), F.regexp_extract(name, numbered, 2).cast("long").alias("_n"))
+    taken = ends.groupBy(name).agg(F.array_sort(F.collect_set("_n")).alias("_taken"))
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_n").cast("long"), lambda at, t: F.when((t >= 2) & (t <= at), at + 1).otherwise(at))
+    out_name = F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat_ws("_", name, free.cast("string")))
+    return rows.withColumn("_n", n).join(taken, name, "left").withColumn(out, out_name).select(*rows.columns, out)

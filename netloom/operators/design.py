@@ -138,6 +138,16 @@ class Design:
             raise KeyError(f"unknown net, port or terminal {name}")
         return net
 
+    def resolve_instance(self, name: str) -> str:
+        """An instance by its name, or by the one whose name goes on with an underscore after ``name``."""
+        begins = (F.col("instance") == name) | F.startswith("instance", F.lit(name + "_"))
+        found = [r.instance for r in self.terminals.where(begins).select("instance").distinct().orderBy(F.col("instance") != name, "instance").limit(9).collect()]
+        if not found:
+            raise KeyError(f"unknown instance {name}")
+        if found[0] != name and len(found) > 1:
+            raise KeyError(f"several instances begin with {name}_: {', '.join(found[:8])}{' and more' if len(found) > 8 else ''}")
+        return found[0]
+
     def data_arcs(self) -> DataFrame:
         """(src, dst, instance, sequential): from an output's net back to the nets of its cell's data inputs."""
         outs = self.drivers.select(F.col("net").alias("src"), "instance", "sequential")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def resolve_cascade(names: DataFrame, name: str, dims: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """Value of ``name`` in the first of ``dims`` (kind, table, key, value) that holds it; kind and value null if none."""
+    """Value of ``name`` in the first of ``dims`` (kind, table, key, value) that holds it; kind and value null if none.
+
+    Of several values of one key the smallest counts, null only if there is no other."""
     out = names
     for i, (_, table, key, value) in enumerate(dims):
-        dim = table.select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}")).dropDuplicates([f"_k{i}"])
+        dim = table.select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}")).groupBy(f"_k{i}").agg(F.min(f"_v{i}").alias(f"_v{i}"))
         out = out.join(dim, F.col(name) == F.col(f"_k{i}"), "left")
     kind = F.coalesce(*(F.when(F.col(f"_k{i}").isNotNull(), kind) for i, (kind, *_) in enumerate(dims)))
     value = F.coalesce(*(F.when(F.col(f"_k{i}").isNotNull(), F.col(f"_v{i}")) for i in range(len(dims))))

@@ -201,12 +201,12 @@ class Circuit:
 
     def toggling(self, states: DataFrame, net: str) -> DataFrame:
         """``states`` with ``changed``: the flops whose next value differs between ``net`` at 0 and at 1."""
-        low, high = (self.transition(states.withColumn(net, F.lit(v))) for v in (False, True))
-        keys = [c for c in states.columns if c != net]
-        a = low.select(*keys, *[F.col(f"`next_{f}`").alias(f"low_{f}") for f in self.flops])
-        b = high.select(*keys, *[F.col(f"`next_{f}`").alias(f"high_{f}") for f in self.flops])
-        changed = F.array_compact(F.array(*[F.when(F.col(f"`low_{f}`") != F.col(f"`high_{f}`"), F.lit(f)) for f in sorted(self.flops)]))
-        return a.join(b, keys).select(*keys, changed.alias("changed"))
+        keys, flops = [c for c in states.columns if c != net], sorted(self.flops)
+        low = self.transition(states.withColumn(net, F.lit(False)))
+        low = low.select(*[F.col(f"`{c}`") for c in keys], *[F.col(f"`next_{f}`").alias(f"_low_{f}") for f in flops])
+        both = self.transition(low.withColumn(net, F.lit(True)))
+        changed = F.array_compact(F.array(*[F.when(F.col(f"`_low_{f}`") != F.col(f"`next_{f}`"), F.lit(f)) for f in flops]))
+        return both.select(*[F.col(f"`{c}`") for c in keys], changed.alias("changed"))
 
     def influences(self, spark, candidate: str, target: str, max_variables: int = 20) -> DataFrame:
         """The first assignment, counting up with the first variable highest, in which toggling ``candidate`` changes
@@ -216,9 +216,10 @@ class Circuit:
             raise ValueError(f"{len(variables)} variables, over {max_variables}")
         n = len(variables)
         rows = spark.range(1 << n).select("id", *[(F.getbit("id", F.lit(n - 1 - i)) == 1).alias(v) for i, v in enumerate(variables)])
-        low = self.evaluate(rows.withColumn(candidate, F.lit(False)), [target]).select("id", *variables, F.col(f"`{target}`").alias("low"))
-        high = self.evaluate(rows.withColumn(candidate, F.lit(True)), [target]).select("id", F.col(f"`{target}`").alias("high"))
-        return low.join(high, "id").where("low <> high").orderBy("id").limit(1)
+        low = self.evaluate(rows.withColumn(candidate, F.lit(False)), [target]).select("id", *[F.col(f"`{v}`") for v in variables], F.col(f"`{target}`").alias("_low"))
+        both = self.evaluate(low.withColumn(candidate, F.lit(True)), [target])
+        found = both.select("id", *[F.col(f"`{v}`") for v in variables], F.col("_low").alias("low"), F.col(f"`{target}`").alias("high"))
+        return found.where("low <> high").orderBy("id").limit(1)
 
     def leaves(self, target: str) -> list[str]:
         """Nets at which the combinational cone of ``target`` begins: state and undriven inputs, rails apart."""

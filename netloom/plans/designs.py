@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netloom.functions.cells import BASIC_CELLS, Cell
 from netloom.operators.simulate import Circuit
 
+#: The adder's own cell, beside the basic ones.
+CELLS = BASIC_CELLS | {"maj3": Cell("maj3", ("A", "B", "C"), {"X": "(A&B)|(A&C)|(B&C)"})}
 PINS = "instance string, cell_type string, pin string, net string"
 
 
@@ -60,4 +63,4 @@ def frame(spark: SparkSession, pins: list) -> DataFrame:
     return spark.createDataFrame(pins, PINS)
 
 
-TOY, ADDER = Circuit.of(toy()), Circuit.of(adder())
+TOY, ADDER = Circuit.of(toy()), Circuit.of(adder(), CELLS)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from netloom.functions.names import owner_and_pin
 
 V1 = "schema_version int, nets map<string, struct<aliases: array<string>, terminals: array<string>>>"
-POWER = ["VPWR", "VGND", "VPB", "VNB"]
+POWER = ["VPWR", "VGND", "VPB", "VNB", "VDD", "VSS"]
 
 
 def read_nets(spark: SparkSession, path: str) -> DataFrame:

@@ -7,48 +7,48 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, text). Order inside one time stamp matters, so a file's lines are numbered as they stand."""
+    """(dump, line_no, text); dump is the file. Order inside one time stamp matters, so lines are numbered as they stand."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
+    return whole.select(F.col("_metadata.file_path").alias("dump"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
 
 
 def signals(lines: DataFrame) -> DataFrame:
-    """(symbol, name) of one-bit variables with a one-character symbol."""
+    """(dump, symbol, name) of one-bit variables with a one-character symbol."""
     form = r"^\s*\$var\s+\S+\s+1\s+(\S)\s+(\S+).*\$end"
-    return lines.where(F.col("text").rlike(form)).select(F.regexp_extract("text", form, 1).alias("symbol"), F.regexp_extract("text", form, 2).alias("name"))
+    return lines.where(F.col("text").rlike(form)).select("dump", F.regexp_extract("text", form, 1).alias("symbol"), F.regexp_extract("text", form, 2).alias("name"))
 
 
 def changes(lines: DataFrame) -> DataFrame:
-    """(line_no, time, name, value) of the 0/1 changes of ``signals``; buses and unknown values are left out."""
-    at = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # a dump is one sequence
+    """(dump, line_no, time, name, value) of the 0/1 changes of ``signals``; buses and unknown values are left out."""
+    at = Window.partitionBy("dump").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # a dump is one sequence
     timed = lines.withColumn("time", F.last(F.when(F.col("text").rlike(r"^#\d+$"), F.substring("text", 2, 20).cast("long")), True).over(at))
-    bits = timed.where(F.col("text").rlike(r"^[01].$")).select("line_no", "time", F.substring("text", 2, 1).alias("symbol"), F.substring("text", 1, 1).cast("int").alias("value"))
-    return bits.join(F.broadcast(signals(lines)), "symbol").select("line_no", "time", "name", "value")
+    bits = timed.where(F.col("text").rlike(r"^[01].$")).select("dump", "line_no", "time", F.substring("text", 2, 1).alias("symbol"), F.substring("text", 1, 1).cast("int").alias("value"))
+    return bits.join(signals(lines), ["dump", "symbol"]).select("dump", "line_no", "time", "name", "value")
 
 
 def at_rising_edges(changed: DataFrame, names: list[str], clock: str = "clk") -> DataFrame:
-    """(line_no, time, <names>) at every 0 to 1 of ``clock``. A signal that changes after the clock in the file, even at
+    """(dump, line_no, time, <names>) at every 0 to 1 of ``clock``. A signal that changes after the clock in the file, even at
     the same time, still has its old value. Signals start at 0. An unknown clock raises."""
     if clock not in names:
         raise ValueError(f"no signal named {clock}")
-    held = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    wide = changed.select("line_no", "time", "name", "value", *[F.coalesce(F.last(F.when(F.col("name") == n, F.col("value")), True).over(held), F.lit(0)).alias(n) for n in names])
-    before = F.lag(F.col(clock), 1, 0).over(Window.orderBy("line_no"))
+    held = Window.partitionBy("dump").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    wide = changed.select("dump", "line_no", "time", "name", "value", *[F.coalesce(F.last(F.when(F.col("name") == n, F.col("value")), True).over(held), F.lit(0)).alias(n) for n in names])
+    before = F.lag(F.col(clock), 1, 0).over(Window.partitionBy("dump").orderBy("line_no"))
     edges = wide.withColumn("_before", before).where((F.col("name") == clock) & (F.col(clock) == 1) & (F.col("_before") == 0))
-    return edges.select("line_no", "time", *names)
+    return edges.select("dump", "line_no", "time", *names)
 
 
 def attempts(samples: DataFrame, enable: str = "enable") -> DataFrame:
-    """``samples`` with enable high, numbered by runs (attempt) and inside them (pos)."""
-    order = Window.orderBy("line_no")
+    """``samples`` with enable high, numbered by runs of a dump (attempt) and inside them (pos)."""
+    order = Window.partitionBy("dump").orderBy("line_no")
     start = (F.col(enable) == 1) & (F.lag(enable, 1, 0).over(order) == 0)
     runs = samples.withColumn("attempt", F.sum(start.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).where(F.col(enable) == 1)
-    return runs.withColumn("pos", F.row_number().over(Window.partitionBy("attempt").orderBy("line_no")) - 1)
+    return runs.withColumn("pos", F.row_number().over(Window.partitionBy("dump", "attempt").orderBy("line_no")) - 1)
 
 
 def words(runs: DataFrame, bit: str, size: int = 11) -> DataFrame:
-    """(attempt, text): every ``size`` bits a character, first bit lowest."""
+    """(dump, attempt, text): every ``size`` bits a character, first bit lowest."""
     value = F.sum(F.call_function("shiftleft", F.col(bit).cast("long"), (F.col("pos") % size).cast("int"))).alias("code")
-    coded = runs.groupBy("attempt", F.floor(F.col("pos") / size).alias("row")).agg(value)
+    coded = runs.groupBy("dump", "attempt", F.floor(F.col("pos") / size).alias("row")).agg(value)
     letters = F.array_sort(F.collect_list(F.struct("row", F.chr("code").alias("c"))))
-    return coded.groupBy("attempt").agg(F.array_join(F.transform(letters, lambda s: s["c"]), "").alias("text"))
+    return coded.groupBy("dump", "attempt").agg(F.array_join(F.transform(letters, lambda s: s["c"]), "").alias("text"))

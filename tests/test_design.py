@@ -155,3 +155,19 @@ def test_pair_classes(spark):
 def test_unknown_cells_have_inferred_pins(spark):
     cells = cell_frame(spark, {"inv": BASIC_CELLS["inv"], "odd": Cell("odd", ("P",), {"O": "P"})})
     assert cells.count() == 2
+
+
+def test_instances_by_the_start_of_their_name(toy):
+    assert toy.resolve_instance("FF0") == toy.resolve_instance("FF0_dfrtp") == "FF0_dfrtp"
+    for name in ("FF", "M", "nope"):
+        with pytest.raises(KeyError, match="unknown instance"):
+            toy.resolve_instance(name)
+
+
+def test_ambiguous_instances_and_other_rails(spark, tmp_path):
+    nets = {"VDD": ["U1_a_inv.VDD", "U1_b_inv.VDD"], "VSS": ["U1_a_inv.VSS"], "x": ["U1_a_inv.A"], "y": ["U1_a_inv.Y", "U1_b_inv.A"], "z": ["U1_b_inv.Y"]}
+    design = Design.load(spark, write(tmp_path, nets))
+    with pytest.raises(KeyError, match="U1_a_inv, U1_b_inv"):
+        design.resolve_instance("U1")
+    assert {r.net for r in design.nets.where("is_power").collect()} == {"VDD", "VSS"}
+    assert {r.role for r in design.terminals.where("pin IN ('VDD', 'VSS')").collect()} == {"power"}

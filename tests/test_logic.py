@@ -58,3 +58,39 @@ def test_names(spark):
     assert [r.inferred for r in got] == ["and2", "big_mux2", "y", "mux2", "unknown"]
     assert spark.range(1).select(names.quoted(F.lit('a"b\\c\nd'))).first()[0] == '"a\\"b\\\\c\\nd"'
     assert spark.range(1).select(names.sanitised(F.lit("--a b|c--"))).first()[0] == "a_b_c"
+
+
+def test_the_cells_that_names_spell_out():
+    """Truth tables of some cells, written out by hand."""
+    import itertools
+
+    from netloom.functions.logic import parse
+
+    want = {
+        "a21boi": lambda a1, a2, b1_n: not (a1 and a2 or not b1_n), "o2bb2a": lambda a1, a2, b1, b2: (not a1 or not a2) and (b1 or b2), "a2111oi": lambda a1, a2, b, c, d: not (a1 and a2 or b or c or d),
+        "o32ai": lambda a1, a2, a3, b1, b2: not ((a1 or a2 or a3) and (b1 or b2)), "nand3b": lambda a, b, c: not (not a and b and c), "nor4b": lambda a, b, c, d: not (a or b or c or not d),
+        "or4bb": lambda a, b, c, d: a or b or not c or not d, "and4bb": lambda a, b, c, d: not a and not b and c and d, "o21ba": lambda a1, a2, b1: (a1 or a2) and not b1,
+    }
+    assert len(BASIC_CELLS) == 64 and BASIC_CELLS["o2bb2a"].inputs == ("A1_N", "A2_N", "B1", "B2") and BASIC_CELLS["a21bo"].inputs == ("A1", "A2", "B1_N")
+    for name, holds in want.items():
+        cell = BASIC_CELLS[name]
+        (text,) = cell.outputs.values()
+        assert ("Y" in cell.outputs) == (name[-1] == "i" or name.startswith("n"))
+        for bits in itertools.product((False, True), repeat=len(cell.inputs)):
+            assert bool(eval_tree(parse(text), dict(zip(cell.inputs, bits)))) == bool(holds(*bits)), name
+
+
+def eval_tree(tree, values):
+    from netloom.operators.simulate import _lane
+
+    import numpy as np
+
+    return _lane(tree, lambda s: np.array([values[s]]), 1)[0]
+
+
+def test_long_digit_runs_and_numbers_already_taken(spark):
+    rows = spark.createDataFrame([("n" + "9" * 25,), ("n1" + "0" * 25,), ("n007",), ("n8",)], "n string")
+    assert [r.n for r in rows.orderBy(names.natural_key(F.col("n"))).collect()] == ["n007", "n8", "n" + "9" * 25, "n1" + "0" * 25]
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x_2"), (4, "x"), (5, "x_4"), (6, "x"), (7, "y_2"), (8, "x_1")], "id int, n string")
+    found = {r.id: r.unique_name for r in names.numbered_duplicates(rows, "n", ["id"]).collect()}
+    assert found == {1: "x", 2: "x_3", 3: "x_2", 4: "x_5", 5: "x_4", 6: "x_6", 7: "y_2", 8: "x_1"}

@@ -45,6 +45,12 @@ def test_influence_and_leaves(spark):
         designs.ADDER.influences(spark, "b7", "S", max_variables=3)
 
 
+def test_toggling_keeps_repeated_states(spark):
+    states = spark.createDataFrame([(True, False, True), (True, False, True)], "q0 boolean, q1 boolean, en boolean")
+    rows = designs.TOY.toggling(states.withColumn("din", F.lit(True)).withColumn("rst_n", F.lit(True)).withColumn("clk", F.lit(True)), "din").collect()
+    assert len(rows) == 2 and all(len(r.changed) == 1 for r in rows)
+
+
 def test_graph_kernels(spark):
     arcs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 6)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "node long")

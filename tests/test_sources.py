@@ -49,10 +49,20 @@ def test_waveform(spark, tmp_path):
     assert [(r.attempt, r.pos) for r in vcd.attempts(edges).orderBy("line_no").collect()] == [(0, 0), (1, 0)]
     with pytest.raises(ValueError):
         vcd.at_rising_edges(vcd.changes(lines), ["I"], "clk")
-    runs = spark.createDataFrame([(0, i, int(b)) for i, b in enumerate("00010101000" + "11000101000")], "attempt int, pos int, bit int")
+    runs = spark.createDataFrame([("d", 0, i, int(b)) for i, b in enumerate("00010101000" + "11000101000")], "dump string, attempt int, pos int, bit int")
     assert vcd.words(runs, "bit").first().text == chr(int("00010101000"[::-1], 2)) + chr(int("11000101000"[::-1], 2))
 
 
+def test_dumps_of_one_folder_stay_apart(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.vcd").write_text(DUMP)
+    lines = vcd.read_lines(spark, str(tmp_path))
+    edges = vcd.at_rising_edges(vcd.changes(lines), ["clk", "enable", "I"])
+    for _, own in edges.toPandas().groupby("dump"):
+        assert own.sort_values("line_no")[["time", "enable", "I"]].values.tolist() == [[5, 0, 0], [15, 1, 1], [25, 0, 1], [35, 1, 1]]
+    assert vcd.attempts(edges).count() == 4
+
+
 def record(kind, body=b""):
     return struct.pack(">HBB", len(body) + 4, kind, 0) + body
 

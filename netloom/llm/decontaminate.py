@@ -276,7 +276,7 @@ def search(index: DataFrame, items: DataFrame, size: int = WINDOW, slack: int =
 
 
 def digest(hits: DataFrame) -> DataFrame:
-    """The per-document figures of ``decontaminate``; the last two, of proximity matches, are not in ``SQL``."""
+    """The per-document figures of ``decontaminate``; the last two are those of proximity matches."""
 
     def sha(names):
         return F.sha2(F.array_join(names, ",").cast("binary"), 256)
@@ -296,9 +296,17 @@ grams AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS gram
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))),
 hits AS (SELECT DISTINCT doc_id, i, n, item FROM grams JOIN windows USING (n, gram)),
 covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY doc_id),
+numbered AS (SELECT item, gram, n, row_number() OVER () AS number FROM windows),
+terms AS (SELECT item, number, n, j, string_split(gram, ' ')[j + 1] AS word FROM (SELECT *, unnest(range(n)) AS j FROM numbered)),
+places AS (SELECT doc_id, p, w[p + 1] AS word FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM docs)),
+likely AS (SELECT doc_id, number FROM (SELECT DISTINCT doc_id, word FROM places) JOIN terms USING (word) GROUP BY doc_id, number, n HAVING count(DISTINCT j) = n),
+near AS (SELECT DISTINCT doc_id, item FROM (SELECT doc_id, item, number, n, j, p - j + shift.range AS start FROM likely JOIN terms USING (number) JOIN places USING (doc_id, word), range(-{SLACK}, {SLACK} + 1) AS shift)
+  GROUP BY doc_id, item, number, n, start HAVING count(DISTINCT j) = n),
+near_named AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_names FROM near GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near_items, sha256(coalesce(near_names, '')) AS near_items_sha256
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near_named USING (doc_id)
 """
 
 

@@ -1,18 +1,23 @@
 """Graph fixpoints as rounds of joins on edge tables.
 
-Every round's result is written to the shared folder, so plans stay short and lost executors cost a reread. Rounds go
-by the graph's depth (or its logarithm where pointers are doubled), never by its size.
+Every round's result is written to the shared folder, so lost executors cost a reread; a walk's plan names one table a
+round until it is written anew. Rounds go by the graph's depth (or its logarithm where pointers are doubled), never by
+its size. A walk from many roots lists (root, node): roots times what each reaches.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.shared import cut
+from netloom.shared import cut, cut_any
 
 #: Hops of a colour between two writes.
 HOPS = 3
+#: Hops of a walk between two writes, and rounds after which what was seen is written anew as one table.
+STRIDE, COMPACT = 2, 8
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -53,17 +58,23 @@ def reach(arcs: DataFrame, starts: DataFrame, radius: int | None = None, through
     ``through`` (node): only these nodes are passed on from, starts excepted; others are reached and end the walk.
     """
     seen = cut(starts.select("root", "node").distinct().withColumn("hop", F.lit(0)), "reach")
-    edge = seen
-    hop = 0
+    edge, hop, rounds = seen, 0, 0
     while radius is None or hop < radius:
-        hop += 1
-        if through is not None and hop > 1:
-            edge = edge.join(through.select("node"), "node", "left_semi")
-        step = edge.join(arcs, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        edge = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)), "reach")
-        if edge.isEmpty():
+        last = hop + STRIDE if radius is None else min(hop + STRIDE, radius)
+        step, steps = edge, []
+        while hop < last:
+            hop += 1
+            if through is not None and hop > 1:
+                step = step.join(through.select("node"), "node", "left_semi")
+            step = step.join(arcs, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+            steps.append(step.withColumn("hop", F.lit(hop)))
+        first = reduce(DataFrame.unionAll, steps).groupBy("root", "node").agg(F.min("hop").alias("hop"))
+        new, more = cut_any(first.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "reach", F.col("hop") == hop)
+        seen, edge, rounds = seen.unionByName(new), new.where(F.col("hop") == hop), rounds + 1
+        if not more:
             break
-        seen = seen.unionByName(edge)
+        if rounds % COMPACT == 0:
+            seen = cut(seen, "reach")
     return seen
 
 
@@ -95,14 +106,15 @@ def pointer_roots(parents: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """(node, level): 0 without incoming ``arcs`` (src, dst), else one more than the highest source; null on or behind a cycle."""
     nodes, arcs = nodes.select("node"), cut(arcs.select("src", "dst").distinct(), "arcs")
-    need = cut(arcs.groupBy("dst").agg(F.count("*").alias("need")), "need")
-    done = edge = cut(nodes.join(need, F.col("node") == F.col("dst"), "left_anti").withColumn("level", F.lit(0)), "levels")
-    while True:
-        met = arcs.join(done, F.col("src") == F.col("node")).groupBy("dst").agg(F.count("*").alias("met"), F.max("level").alias("top"))
-        new = met.join(need, "dst").where("met = need").select(F.col("dst").alias("node"), (F.col("top") + 1).cast("int").alias("level"))
-        edge = cut(new.join(done.select("node"), "node", "left_anti"), "levels")
-        if edge.isEmpty():
-            break
+    waiting = cut(arcs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")).withColumn("top", F.lit(0)), "levels")
+    done = edge = cut(nodes.distinct().join(waiting, "node", "left_anti").withColumn("level", F.lit(0)), "levels")
+    more = True
+    while more:
+        # Only the newest level is passed on; what still waits keeps the count of its unmet sources.
+        met = arcs.join(edge, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("met"), F.max("level").alias("high"))
+        state = waiting.join(met, "node", "left").select("node", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), F.greatest("top", "high").alias("top"))
+        state, more = cut_any(state, "levels", F.col("need") == 0)
+        edge, waiting = state.where("need = 0").select("node", (F.col("top") + 1).alias("level")), state.where("need > 0")
         done = done.unionByName(edge)
     return nodes.join(done, "node", "left")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.cells import BASIC_CELLS, POWER_VALUES, Cell
 from netloom.functions.logic import Node, known, parse
-from netloom.shared import cut
+from netloom.shared import cut, cut_any
 
 MAX_GATES = 100_000
 
@@ -262,16 +262,20 @@ def gate_lanes(nodes: DataFrame, arcs: DataFrame, inputs: DataFrame) -> DataFram
 
     ``nodes`` (node, gate: and, or, xor, nand), ``arcs`` (dst, a, b), ``inputs`` (node, value).
     """
-    done = cut(inputs.select("node", "value"), "lanes")
-    waiting = cut(arcs.join(nodes, F.col("dst") == F.col("node")).select("dst", "a", "b", "gate"), "lanes")
+    done = new = cut(inputs.select("node", "value"), "lanes")
+    ends = [c for side in "ab" for c in (F.lit(None).cast("long").alias(f"v{side}"), F.lit(False).alias(f"has_{side}"))]
+    waiting = arcs.join(nodes, F.col("dst") == F.col("node")).join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("dst", "a", "b", "gate", *ends)
     while True:
-        left = done.select(F.col("node").alias("a"), F.col("value").alias("va"))
-        right = done.select(F.col("node").alias("b"), F.col("value").alias("vb"))
-        ready = waiting.join(left, "a").join(right, "b").join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
+        # Only the newest values are joined; a gate that waits keeps the one it has got.
+        state = waiting
+        for side in "ab":
+            came = new.select(F.col("node").alias(side), F.col("value").alias("_v"), F.lit(True).alias("_has"))
+            state = state.join(came, side, "left").withColumns({f"v{side}": F.coalesce(f"v{side}", "_v"), f"has_{side}": F.col(f"has_{side}") | F.coalesce("_has", F.lit(False))}).drop("_v", "_has")
+        state, more = cut_any(state, "lanes", F.col("has_a") & F.col("has_b"))
         both, either = F.col("va").bitwiseAND(F.col("vb")), F.col("va").bitwiseOR(F.col("vb"))
         value = F.when(F.col("gate") == "and", both).when(F.col("gate") == "or", either).when(F.col("gate") == "xor", F.col("va").bitwiseXOR(F.col("vb"))).when(F.col("gate") == "nand", F.bitwise_not(both))
-        new = cut(ready.select(F.col("dst").alias("node"), value.alias("value")), "lanes")
-        if new.isEmpty():
+        new, waiting = state.where("has_a AND has_b").select(F.col("dst").alias("node"), value.alias("value")), state.where("NOT (has_a AND has_b)")
+        if not more:
             return done
         done = done.unionByName(new)
 

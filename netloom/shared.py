@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders made since the innermost open ``scratch``.
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
@@ -36,6 +37,13 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_any(df: DataFrame, what: str, wanted: Column) -> tuple[DataFrame, bool]:
+    """``cut``, and whether a row is ``wanted``, told by the write itself rather than by a second job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(wanted).alias("wanted")), what)
+    return out, seen.get.get("wanted", 0) > 0
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder from the store that holds it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from netloom import report
 from netloom.functions.cells import POWER_VALUES, cell_frame, collect_cells
 from netloom.operators.design import Design
+from netloom.operators.layout import Layout
 from netloom.operators.simulate import Circuit, EvaluationError
-from netloom.sources import catalogue, gds, vcd
+from netloom.sources import catalogue, netlist_json, vcd
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,10 +38,16 @@ def parser() -> argparse.ArgumentParser:
     add("shift-chains")
     add("shift-registers", ("--show-rejected", {"action": "store_true"}), dot)
     add("gate-inputs", ("names", {"nargs": "+"}), dot)
-    add("export", ("--out", {"required": True}))
+    add("export", ("--out", {"required": True}), ("--document", {"action": "store_true", "help": "one JSON document rather than a folder a section"}))
     add("influence", ("candidate", {}), ("target", {}), ("--max-variables", {"type": int, "default": 20}))
     add("simulate", ("--input", {"action": "append", "default": [], "help": "NAME=0,1,..."}), ("--watch", {"action": "append", "default": []}), ("--initial", {"action": "append", "default": [], "help": "FLOP=1"}))
-    add("layout", ("layout", {}), design=False)
+    top_cell, to_json = ("--top", {"help": "the top cell, if there are several"}), ("--json", {"help": "folder for the JSON text"})
+    add("layout", ("layout", {}), top_cell, to_json, design=False)
+    add("extract", ("layout", {}), top_cell, to_json, design=False)
+    add(
+        "models", ("library", {"help": "checkout of the cell library"}), ("netlists", {"nargs": "+"}), ("--out", {"required": True}), ("--revision", {"required": True}),
+        ("--source", {"default": "https://github.com/google/skywater-pdk-libs-sky130_fd_sc_hd"}), ("--corner", {"default": "tt_025C_1v80"}), ("--check", {"action": "store_true"}), design=False,
+    )
     add("waveform", ("dump", {}), ("--clock", {"default": "clk"}), design=False)
     return top
 
@@ -65,8 +73,27 @@ def bits_of(text: str) -> tuple[str, list[bool]]:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     if args.command == "layout":
-        rows = gds.read_elements(spark, args.layout).where("kind = 'ref'").groupBy("ref").count().orderBy("count", "ref")
-        return [f"{r['count']:6d}  {r.ref}" for r in rows.collect()[::-1]]
+        found = Layout.load(spark, args.layout, args.top)
+        if args.json:
+            report.write_text(found.inventory(), args.json)
+        return report.layout_text(found)
+    if args.command == "extract":
+        found = Layout.load(spark, args.layout, args.top)
+        made = found.netlist()
+        if args.json:
+            report.write_text(found.document(made), args.json)
+            return [f"{made.nets.count()} nets", f"wrote {args.json}"]
+        return report.extraction_text(made)
+    if args.command == "models":
+        types = catalogue.used_cell_types(reduce(DataFrame.unionByName, [netlist_json.read_nets(spark, n) for n in args.netlists]))
+        cells, header = catalogue.import_library(spark, args.library, types, args.corner), (args.source, args.revision, args.corner)
+        if args.check:
+            changed = catalogue.stale(cells, args.out, *header).orderBy("cell_type").limit(20).collect()
+            if changed:
+                raise ValueError(f"{args.out} is out of date: " + ", ".join(f"{r.cell_type} {r.problem}" for r in changed))
+            return [f"{cells.count()} cells as in {args.out}"]
+        report.write_text(catalogue.snapshot(cells, *header), args.out)
+        return [f"{cells.count()} cells written to {args.out}"]
     if args.command == "waveform":
         lines = vcd.read_lines(spark, args.dump)
         names = sorted(r.name for r in vcd.signals(lines).collect())
@@ -99,7 +126,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
                 report.write_text(lines, args.dot)
             out = [r.line for r in lines.collect()]
         case "export":
-            report.export(design, args.out)
+            if args.document:
+                report.write_text(report.design_document(design, args.netlist), args.out)
+            else:
+                report.export(design, args.out)
         case "influence":
             row = circuit_of(design).influences(spark, design.resolve_one(args.candidate), design.resolve_one(args.target), args.max_variables).first()
             out = ["no influence"] if row is None else [f"{k} = {v}" for k, v in row.asDict().items()]

@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 POWER_VALUES = {"VPWR": True, "VPB": True, "VDD": True, "VGND": False, "VNB": False, "VSS": False}
 POWER_PINS = tuple(POWER_VALUES)
+#: Fixed names: what the library's cells begin with, its cells that hold no logic, and vias.
+LIBRARY = "sky130_fd_sc_hd__"
+FILLERS = ("decap", "tap", "fill", "diode")
+VIAS = ("VIA_", "via")
 OUTPUT_NAMES = ("Q", "Q_N", "X", "Y", "Z")
 
 CELL_SCHEMA = (
@@ -17,6 +22,15 @@ CELL_SCHEMA = (
 )
 
 
+def component_kind(cell: Column) -> Column:
+    """via, filler, logic or other, by the name of a placed cell."""
+
+    def begins(*names):
+        return cell.rlike("^(" + "|".join(names) + ")")
+
+    return F.when(begins(*VIAS), "via").when(begins(*[LIBRARY + f for f in FILLERS]), "filler").when(begins(LIBRARY), "logic").otherwise("other")
+
+
 @dataclass(frozen=True)
 class Cell:
     """One row of the cell dimension."""

@@ -81,7 +81,7 @@ class Design:
     @classmethod
     def load(cls, spark: SparkSession, path: str, cells: DataFrame | None = None) -> Design:
         """From a netlist file. A terminal on two nets, or twice on one, raises."""
-        read = netlist_json.read_nets(spark, path).cache()
+        read = cut(netlist_json.read_nets(spark, path), "netlist")
         pins = netlist_json.pins_of(read)
         bad = netlist_json.repeated_terminals(pins).orderBy("instance", "pin").first()
         if bad:
@@ -176,6 +176,25 @@ class Design:
         _, cells = self.cones(d)
         return cells.where("boundary").select(F.col("root").alias("dst"), F.col("instance").alias("src"))
 
+    def state_classes(self, hide: DataFrame | None = None, thin_limit: int = 30) -> DataFrame:
+        """(members, kind, n_cells, extra_state) of the state's strong components of two flops (see
+        ``motifs.classify_pairs``; extra_state: other flops their cones begin at) and of one, kind single, those of
+        ``hide`` (instance) left out."""
+        d = self.terminals.where("sequential AND pin = 'D'").select(F.col("instance").alias("root"), "net")
+        cells = cut(self.cones(d)[1], "cones")
+        arcs = cells.where("boundary").select(F.col("root").alias("dst"), F.col("instance").alias("src"))
+        parts = cut(graph.strongly_connected(self.instances.where("sequential").select(F.col("instance").alias("node")), arcs), "components")
+        members = parts.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("one"), F.max("node").alias("two"))
+        muxes = self.instances.select("instance", (F.col("cell_type") == "mux2").alias("is_mux"))
+        cones = cells.join(muxes, "instance").select(F.col("root").alias("node"), F.col("instance").alias("cell"), (F.col("is_mux") & ~F.col("boundary")).alias("is_mux"), F.col("boundary").alias("is_state"))
+        behind = parts.join(cones.where("is_state"), "node").groupBy("component").agg(F.array_sort(F.collect_set("cell")).alias("behind"))
+        both = F.array("one", "two")
+        pairs = motifs.classify_pairs(parts, cones, thin_limit).join(members, "component").join(behind, "component").select(both.alias("members"), "kind", "n_cells", F.array_except("behind", both).alias("extra_state"))
+        lone = members.where("n = 1")
+        if hide is not None:
+            lone = lone.join(hide.select(F.col("instance").alias("one")), "one", "left_anti")
+        return pairs.unionByName(lone.select(F.array("one").alias("members"), F.lit("single").alias("kind")), allowMissingColumns=True)
+
     def neighbourhood(self, instance: str, radius: int) -> tuple[DataFrame, DataFrame]:
         """(instance) and (net) within ``radius`` steps of a cell; steps never lead through a power net. All signal nets
         of the cells found are listed, a rail too where a signal pin is tied to it."""

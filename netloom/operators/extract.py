@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from netloom.operators import geometry, graph, ordered
 from netloom.shared import cut
 
-#: Fixed layer numbers: conductors (layer, datatype) from low to high, the cuts between neighbours, pin and port labels.
+#: Fixed layers: conductors' names and (layer, datatype) from low to high, the cuts between neighbours, pin and port labels.
+NAMES = ("li1", "met1", "met2", "met3", "met4", "met5")
 CONDUCTORS = ((67, 20), (68, 20), (69, 20), (70, 20), (71, 20), (72, 20))
 CUTS = ((67, 44), (68, 44), (69, 44), (70, 44), (71, 44))
 PIN_LABELS = ((67, 5), (68, 5))
@@ -50,7 +51,8 @@ def extract(shapes: DataFrame, labels: DataFrame, instances: DataFrame, tile: fl
     coordinates; ``instances`` (instance) are those whose pins count.
 
     Touching shapes of one sheet are one region; a cut whose box centre lies in a region below and one above joins them.
-    A label names the first region that holds it. A pin or a port name on two nets raises.
+    A label names the first region that holds it. A pin or a port name on two nets raises. A net is called by its port
+    names, joined by ``|``; the others are numbered in the order of their terminals.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,8 +86,9 @@ def extract(shapes: DataFrame, labels: DataFrame, instances: DataFrame, tile: fl
     aliases = ports.dropna().groupBy("root").agg(F.array_sort(F.collect_set("name")).alias("aliases"))
     none = F.array().cast("array<string>")
     nets = members.join(aliases, "root", "full").select(F.coalesce("aliases", none).alias("aliases"), F.coalesce("terminals", none).alias("terminals"))
-    keyed = nets.withColumns({"inner": F.size("aliases") == 0, "order": F.concat_ws(",", "aliases", F.lit("|"), "terminals")})
-    named = ordered.numbered_all(keyed, ["inner", "order"]).select(F.format_string("n%04d", "number").alias("net"), "aliases", "terminals")
+    nets = cut(nets, "nets")
+    inner = ordered.numbered_all(nets.where("size(aliases) = 0"), ["terminals"]).select(F.format_string("n%04d", "number").alias("net"), "aliases", "terminals")
+    named = nets.where("size(aliases) > 0").select(F.array_join("aliases", "|").alias("net"), "aliases", "terminals").unionByName(inner)
     lost = pins.where("root IS NULL").select(F.lit("pin").alias("kind"), "name").unionByName(ports.where("root IS NULL").select(F.lit("port").alias("kind"), "name")).distinct()
     number = F.row_number().over(Window.partitionBy("kind").orderBy("name")) - 1
     return Extraction(named, lost.select("kind", "name", F.format_string("unresolved_%04d", number).alias("net")), stitches)

@@ -5,12 +5,16 @@ Lines are rows (section, key, line); ``text_of`` writes or returns them in order
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.cells import POWER_PINS
 from netloom.functions.names import quoted
+from netloom.operators.ordered import numbered_all
+from netloom.shared import cut
 
 BOARD = 11
 
@@ -27,6 +31,50 @@ def ordered(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy("section", "key", "line").select("line")
 
 
+def json_name(text: Column) -> Column:
+    """``text`` as a JSON string."""
+    made = F.to_json(F.array(text))
+    return F.substring(made, F.lit(2), F.length(made) - 2)
+
+
+def json_row(*columns) -> Column:
+    """The columns as a JSON object, nulls kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def document(spark, parts: dict) -> DataFrame:
+    """The lines of one JSON object, an entry a line, so that the document is sorted and written as a stream.
+
+    A part is a plain value, a dict of parts, rows (key, value: JSON text) for an object, or rows (place: a number, value)
+    for a list in order of place. Keys and places don't repeat.
+    """
+    texts, tables = [], []
+
+    def put(line) -> int:
+        texts.append((len(texts) + len(tables), "", line))
+        return texts[-1][0]
+
+    def walk(part, begin: str) -> None:
+        if isinstance(part, dict):
+            put(begin + "{")
+            for i, (name, inner) in enumerate(part.items()):
+                walk(inner, ("," if i else "") + json.dumps(name) + ": ")
+            put("}")
+        elif isinstance(part, DataFrame):
+            keyed = "key" in part.columns
+            put(begin + ("{" if keyed else "["))
+            rows = cut(part.select((F.col("key") if keyed else F.lpad(F.col("place").cast("string"), 19, "0")).alias("key"), "value"), "document")
+            first = F.when(F.col("key") == rows.agg(F.min("key")).scalar(), "").otherwise(",")
+            line = F.concat(first, json_name(F.col("key")), F.lit(": "), "value") if keyed else F.concat(first, "value")
+            tables.append(lines(rows, len(texts) + len(tables), F.col("key"), line))
+            put("}" if keyed else "]")
+        else:
+            put(begin + json.dumps(part))
+
+    walk(parts, "")
+    return ordered(spark.createDataFrame(texts, "section int, key string, line string"), *tables)
+
+
 def write_text(rows: DataFrame, path: str) -> None:
     """The ordered lines as one text file in ``path``."""
     rows.coalesce(1).write.mode("overwrite").text(path)
@@ -50,7 +98,7 @@ def dot_netlist(design, cells: DataFrame, nets: DataFrame, title: str = "netlist
         shown = shown.join(hidden.select("net"), "net", "left_anti")
     else:
         shown = shown.withColumn("block", F.lit(None).cast("string"))
-    shown = shown.withColumn("node", F.coalesce("block", "instance")).cache()
+    shown = cut(shown.withColumn("node", F.coalesce("block", "instance")), "shown")
     boxes = shown.groupBy("node").agg(F.max("block").alias("block"), F.max("cell_type").alias("cell_type"))
     label = F.when(F.col("block").isNotNull(), F.col("node")).otherwise(F.concat("node", F.lit("\n"), "cell_type"))
     arrow = F.when(F.col("direction") == "output", F.concat(quoted(F.concat(F.lit("i:"), "node")), F.lit(" -> "), quoted(F.concat(F.lit("n:"), "net")))).otherwise(F.concat(quoted(F.concat(F.lit("n:"), "net")), F.lit(" -> "), quoted(F.concat(F.lit("i:"), "node"))))
@@ -85,7 +133,7 @@ def dot_gate_inputs(design, names: list[str]) -> DataFrame:
     asked = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "instance string")
     pins = design.signals.where("direction = 'input'").join(asked, "instance").select("instance", "pin", "net")
     driver = design.single_drivers.select("net", F.concat_ws(".", "instance", "pin").alias("driver"))
-    fed = pins.join(driver, "net", "left").join(design.nets, "net").select("instance", "pin", F.coalesce("driver", F.when(F.col("is_port"), F.array_join("aliases", "|")), "net").alias("source")).cache()
+    fed = cut(pins.join(driver, "net", "left").join(design.nets, "net").select("instance", "pin", F.coalesce("driver", F.when(F.col("is_port"), F.array_join("aliases", "|")), "net").alias("source")), "fed")
     return ordered(
         fixed(spark, 0, "digraph inputs {", "  rankdir=LR;"),
         lines(fed.select("source").distinct(), 1, "source", F.concat(F.lit("  "), quoted(F.col("source")), F.lit(";"))),
@@ -205,8 +253,63 @@ def shift_registers_text(found: DataFrame, refused: DataFrame | None = None) ->
     return out + ([f"refused {', '.join(r.candidates)}: {'; '.join(r.reasons)}" for r in refused.orderBy("candidates").collect()] if refused is not None else [])
 
 
+def layout_text(layout, shown: int = 8) -> list[str]:
+    """Counts of a layout's components by kind and by cell, and its first logic components."""
+    parts = cut(layout.components(), "components")
+    kinds = parts.groupBy("kind").count().orderBy("kind").collect()
+    cells = parts.groupBy("cell", "kind").count().orderBy(F.desc("count"), "cell").collect()
+    first = parts.where("kind = 'logic'").orderBy("ordinal").limit(shown).join(layout.pins(), "ordinal", "left").orderBy("ordinal").collect()
+    ports = [r.text for r in layout.own.where("kind = 'label'").orderBy("ordinal").select("text").collect()]
+    return [
+        f"cells: {layout.elements.where(F.col('kind') == 'cell').count()}", f"top cell: {layout.top}", f"instances: {sum(r['count'] for r in kinds)}", f"labels: {', '.join(ports)}",
+        *[f"{r.kind}: {r['count']}" for r in kinds], *[f"{r['count']:6d}  {r.cell} [{r.kind}]" for r in cells],
+        *[f"{r.instance:5s} {r.cell} at ({r.x:.3f}, {r.y:.3f}), {'mirrored, ' if r.reflect else ''}pins {', '.join(r.pins or ())}" for r in first],
+    ]
+
+
+def extraction_text(found) -> list[str]:
+    """The nets of an extraction with their terminals, and what could not be resolved."""
+    nets = found.nets.orderBy("net").collect()
+    lost = found.unresolved.orderBy("kind", "name").collect()
+    return [
+        f"{len(nets)} nets", *[x for r in nets for x in (f"net {r.net}{' [power]' if set(r.aliases) & set(POWER_PINS) else ''} ({len(r.terminals)} terminals)", *[f"    {t}" for t in r.terminals])],
+        *[f"unresolved {r.kind} {r.name}" for r in lost],
+    ]
+
+
 def export(design, path: str) -> None:
     """Every section of the design as JSON lines, a folder each."""
     found, refused = design.strict_shift_registers()
     for name, rows in {"nets": design.nets, "terminals": design.terminals, "instances": design.instances, "registers": design.registers(), "shift_registers": found, "refused": refused}.items():
         rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def design_document(design, source: str) -> DataFrame:
+    """Ports, instances, nets, shift registers with what was refused, and issues of a design, as ``document`` lines."""
+    spark, t = design.nets.sparkSession, design.terminals
+    pins = F.map_from_entries(F.array_sort(F.collect_list(F.struct("pin", F.struct("net", "direction", "role").alias("at")))))
+    equations = F.array_join(F.transform(F.array_sort(F.map_entries("output_functions")), lambda e: F.concat(e["key"], F.lit(" = "), e["value"])), "; ")
+    models = F.broadcast(design.cells.select("cell_type", equations.alias("function")))
+    per = t.groupBy("instance", "cell_type").agg(F.bool_or("known").alias("known_model"), F.bool_or("sequential").alias("sequential"), pins.alias("pins")).join(models, "cell_type", "left")
+    on = t.groupBy("net").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("direction") == way, F.struct("ordinal", F.concat_ws(".", "instance", "pin").alias("name"))))), lambda x: x["name"]).alias(name) for name, way in (("drivers", "output"), ("loads", "input"), ("unknowns", "unknown"))])
+    none = F.array().cast("array<string>")
+    nets = design.nets.join(on, "net", "left").withColumns({c: F.coalesce(c, none) for c in ("drivers", "loads", "unknowns")})
+    way = F.when(~F.col("is_port"), "internal").when(F.col("is_power"), "power").when(F.size("drivers") > 0, "output").when(F.size("loads") > 0, "input").otherwise("unknown")
+    nets = cut(nets.withColumn("inferred_direction", way), "nets")
+    found, refused = design.strict_shift_registers()
+
+    def listed(rows: DataFrame, order: list[str], value: Column) -> DataFrame:
+        return numbered_all(rows, order, "place").select("place", value.alias("value"))
+
+    register = json_row("name", F.lit("shift_register").alias("kind"), "width", F.col("serial_net").alias("serial_input_net"), "enable_net", "clock_net", "reset_net", "stages", F.col("external_loads").alias("external_q_loads"))
+    return document(spark, {
+        "source": source,
+        "ports": design.ports.join(nets.select("net", "inferred_direction"), "net").select(F.col("alias").alias("key"), json_row("net", F.col("inferred_direction").alias("direction")).alias("value")),
+        "instances": per.select(F.col("instance").alias("key"), json_row("cell_type", "known_model", "sequential", "function", "pins").alias("value")),
+        "nets": nets.select(F.col("net").alias("key"), json_row("aliases", "is_port", "is_power", "inferred_direction", "drivers", "loads", "unknowns").alias("value")),
+        "abstractions": {
+            "shift_registers": listed(found, ["name"], register),
+            "shift_register_rejections": listed(refused, ["candidates"], json_row("candidates", "reasons")),
+        },
+        "validation_issues": listed(design.validation_issues(), ["issue", "node"], json_name(F.concat_ws(": ", "issue", "node"))),
+    })

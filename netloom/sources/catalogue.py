@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.cells import CELL_SCHEMA
+from netloom import report
+from netloom.functions.cells import CELL_SCHEMA, LIBRARY
+from netloom.functions.names import owner_and_pin
+from netloom.shared import cut
 
 SNAPSHOT = (
     "schema_version int, source string, source_revision string, liberty_corner string, cells map<string, struct<description: string, inputs: array<string>, "
@@ -57,4 +60,49 @@ def import_cells(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         "cell_type", F.array_except(named("input"), F.concat(clock, clear, preset)).alias("inputs"), named("output").alias("outputs"), functions.alias("output_functions"), clock.alias("clock_pins"), clear.alias("reset_pins"),
         preset.alias("set_pins"), F.col("s").isNotNull().alias("sequential"), "s.clocked_on", "s.next_state", "s.clear", "s.preset",
-    ).dropDuplicates(["cell_type"])
+    )
+
+
+def used_cell_types(nets: DataFrame) -> DataFrame:
+    """(cell_type) that the instances of netlists (``terminals``) are named after: ``..._<cell>_<drive>``."""
+    instance, _ = owner_and_pin(F.col("terminal"))
+    return nets.select(F.explode("terminals").alias("terminal")).select(F.regexp_extract(instance, r"_([a-z][a-z0-9_]*)_[0-9]+$", 1).alias("cell_type")).where("cell_type <> ''").distinct()
+
+
+def import_library(spark: SparkSession, root: str, types: DataFrame, corner: str) -> DataFrame:
+    """``import_cells`` with the ``description`` of each of ``types`` from a library's checkout: ``cells/<cell>/`` with
+    definition.json and one timing file of the smallest drive at ``corner``. A type without exactly one raises, as does
+    an output without a function."""
+    cells = cut(import_cells(spark, f"{root}/cells/*/{LIBRARY}*_1__{corner}.lib.json").join(types, "cell_type", "left_semi"), "library")
+    odd = types.join(cells.groupBy("cell_type").count(), "cell_type", "left").where("count IS NULL OR count <> 1").orderBy("cell_type").limit(9).collect()
+    if odd:
+        raise ValueError("not one timing file: " + ", ".join(f"{r.cell_type} ({r['count'] or 0})" for r in odd[:8]) + (" and more" if len(odd) > 8 else ""))
+    mute = cells.where(F.exists(F.map_values("output_functions"), lambda f: f.isNull())).orderBy("cell_type").first()
+    if mute:
+        raise ValueError(f"an output of {mute.cell_type} has no function")
+    texts = spark.read.schema("description string").option("multiLine", True).json(f"{root}/cells/*/definition.json")
+    texts = texts.select(F.regexp_extract("_metadata.file_path", r"/cells/([^/]+)/definition\.json$", 1).alias("cell_type"), "description")
+    return cells.join(texts, "cell_type", "left")
+
+
+#: A cell's fields in the snapshot.
+FIELDS = ("clear", "clock_pins", "clocked_on", "description", "inputs", "next_state", "outputs", "preset", "reset_pins", "sequential", "set_pins")
+
+
+def snapshot(cells: DataFrame, source: str, revision: str, corner: str) -> DataFrame:
+    """The lines of a catalogue file."""
+    value = report.json_row(*FIELDS)
+    rows = cells.drop("outputs").withColumnRenamed("output_functions", "outputs").select(F.col("cell_type").alias("key"), value.alias("value"))
+    return report.document(cells.sparkSession, {"cells": rows, "liberty_corner": corner, "schema_version": 1, "source": source, "source_revision": revision})
+
+
+def stale(cells: DataFrame, path: str, source: str, revision: str, corner: str) -> DataFrame:
+    """(cell_type, problem) where a new import differs from the file at ``path`` in any field; ``(header)`` for its own."""
+    spark = cells.sparkSession
+    file = spark.read.schema(SNAPSHOT).option("wholetext", True).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    fields = F.to_json(F.struct(*[F.array_sort(F.map_entries(f)).alias(f) if f == "outputs" else F.col(f) for f in FIELDS]))
+    new = cells.drop("outputs").withColumnRenamed("output_functions", "outputs").select("cell_type", fields.alias("new"))
+    old = file.select(F.explode("cells").alias("cell_type", "c")).select("cell_type", "c.*").select("cell_type", fields.alias("old"))
+    problem = F.when(F.col("new").isNull(), "no longer used").when(F.col("old").isNull(), "not in the snapshot").when(F.col("new") != F.col("old"), "differs")
+    header = file.where(~(F.struct("source", "source_revision", "liberty_corner").eqNullSafe(F.struct(F.lit(source), F.lit(revision), F.lit(corner)))))
+    return new.join(old, "cell_type", "full").select("cell_type", problem.alias("problem")).where("problem IS NOT NULL").unionByName(header.select(F.lit("(header)").alias("cell_type"), F.lit("differs").alias("problem")))

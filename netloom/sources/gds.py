@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators.geometry import affine
+from netloom.shared import cut
 
 ELEMENTS = (
     "file string, cell string, kind string, ordinal int, layer int, datatype int, ring array<struct<x:double,y:double>>, ref string, "
@@ -120,9 +121,9 @@ def top_cells(rows: DataFrame) -> DataFrame:
 def flatten(rows: DataFrame, top: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
     """Boundaries and labels in the top cell's coordinates: (file, path, cell, kind, layer, datatype, ring, text, x, y).
 
-    One round of joins a level of hierarchy; ``path`` is the ordinals of the references passed through.
+    One round of joins a level of hierarchy; ``path`` is the ordinals of the references passed through. ``rows`` are read
+    twice a level: cut them first.
     """
-    rows = rows.cache()
     refs = rows.where("kind = 'ref'").select("file", F.col("cell").alias("parent"), "ref", "ordinal", "ox", "oy", "rotation", "reflect", F.coalesce("magnification", F.lit(1.0)).alias("magnification"))
     flat = rows.where("kind IN ('boundary', 'label')").select("file", "cell", "kind", "layer", "datatype", "ring", "text", F.col("ox").alias("lx"), F.col("oy").alias("ly"))
     zero = [F.lit(0.0).alias(c) for c in ("px", "py", "pr")]
@@ -143,7 +144,8 @@ def flatten(rows: DataFrame, top: DataFrame | None = None, max_depth: int = 64)
         out = here if out is None else out.unionByName(here)
         ox, oy = affine(F.col("px"), F.col("py"), F.col("pr"), F.col("pm"), F.col("pg") * F.col("ox"), F.col("pg") * F.col("oy"))
         turn = F.col("pr") + F.when(F.col("pm"), -F.col("rotation")).otherwise(F.col("rotation"))
-        level = level.join(refs.withColumnRenamed("parent", "cell"), ["file", "cell"]).select(
+        below = level.join(refs.withColumnRenamed("parent", "cell"), ["file", "cell"]).select(
             "file", F.col("ref").alias("cell"), F.concat("path", F.array("ordinal")).alias("path"), ox.alias("px"), oy.alias("py"), turn.alias("pr"), (F.col("pm") != F.col("reflect")).alias("pm"), (F.col("pg") * F.col("magnification")).alias("pg")
         )
+        level = cut(below, "level")
     return out

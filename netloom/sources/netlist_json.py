@@ -20,7 +20,7 @@ def read_nets(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     version = F.get_json_object("value", "$.schema_version")
     checked = F.when(version.isNull() | (version == "1"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("unsupported schema_version "), version)))
-    text = text.select(checked.alias("value"), version.isNotNull().alias("tagged")).cache()
+    text = text.select(checked.alias("value"), version.isNotNull().alias("tagged"))
     tagged = text.where("tagged").select(F.explode(F.from_json("value", V1, {"mode": "FAILFAST"})["nets"]).alias("net", "n")).select("net", "n.aliases", "n.terminals")
     bare = text.where("NOT tagged").select(F.explode(F.from_json("value", "map<string, array<string>>", {"mode": "FAILFAST"})).alias("net", "terminals"))
     names = F.when(F.col("net").startswith("("), F.array().cast("array<string>")).otherwise(F.split("net", r"\|"))

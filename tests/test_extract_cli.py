@@ -32,7 +32,7 @@ def test_extraction(spark):
     labels = spark.createDataFrame([("U0_inv", "A", 67, 5, 0.5, 0.5), ("U1_inv", "Y", 67, 5, 4.5, 0.5), ("U1_inv", "A", 67, 5, 21.0, 0.5), ("U2_inv", "A", 67, 5, 70.0, 70.0), ("FILL_1", "A", 67, 5, 21.0, 0.5), (None, "in", 68, 5, 5.5, 8.0), (None, "lost", 68, 5, 90.0, 8.0)], LABEL)
     instances = spark.createDataFrame([("U0_inv",), ("U1_inv",), ("U2_inv",)], "instance string")
     got = extract(shapes, labels, instances)
-    assert [(r.net, r.aliases, r.terminals) for r in got.nets.orderBy("net").collect()] == [("n0000", ["in"], ["U0_inv.A", "U1_inv.Y"]), ("n0001", [], ["U1_inv.A"])]
+    assert [(r.net, r.aliases, r.terminals) for r in got.nets.orderBy("net").collect()] == [("in", ["in"], ["U0_inv.A", "U1_inv.Y"]), ("n0000", [], ["U1_inv.A"])]
     assert sorted((r.kind, r.name, r.net) for r in got.unresolved.collect()) == [("pin", "U2_inv.A", "unresolved_0000"), ("port", "lost", "unresolved_0000")]
     assert sorted(tuple(r) for r in got.stitches.collect()) == [(0, 1, 1, 1), (1, 2, 1, 0)]
     both = labels.unionByName(spark.createDataFrame([("U0_inv", "A", 67, 5, 20.5, 0.5)], LABEL))

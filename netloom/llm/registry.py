@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from netloom.llm import decontaminate, langid, licences, reputation, sentencepiece_wfst, simhash, token_rollups, tool_calls, toxicity
+from netloom.llm import byte_bpe, decontaminate, fill_in_middle, filter_audit, langid, licences, reputation, sentencepiece_wfst, simhash, token_rollups, tool_calls, toxicity
 from netloom.llm.common import cut, held_out, table
 from netloom.llm.quality import fit_bands, judge, measure
 
@@ -76,6 +76,25 @@ def op10_quality(spark, sf_dir):
     return judge(measured, fit_bands(measured))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op4_tool_calls, op5_token_rollups, op6_licences, op7_reputation, op8_simhash, op9_toxicity, op10_quality)}
+def op11_byte_bpe(spark, sf_dir):
+    """Every document's token ids and the text that they decode to, as digests."""
+    vocabulary = byte_bpe.read_vocabulary(f"{TOKENIZERS}/byte_bpe_50k.json")
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    decoded = byte_bpe.decode(coded, vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    """What each filter removes from each source in every order of the five."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    """Every document's fill-in-middle form, and digests of its output and of the text restored from it."""
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return fill_in_middle.restore(made).drop("output", "restored")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_decontaminate, op3_langid, op4_tool_calls, op5_token_rollups, op6_licences, op7_reputation, op8_simhash, op9_toxicity, op10_quality, op11_byte_bpe, op12_filter_audit, op13_fill_in_middle)}
 ORACLES["op7_reputation"] = reputation.SQL
-ORACLES |= {"op2_decontaminate": decontaminate.SQL, "op4_tool_calls": tool_calls.SQL}
+ORACLES |= {"op2_decontaminate": decontaminate.SQL, "op4_tool_calls": tool_calls.SQL, "op12_filter_audit": filter_audit.SQL, "op13_fill_in_middle": fill_in_middle.SQL}

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +18,6 @@ PIN_LABELS = ((67, 5), (68, 5))
 PORT_LABELS = ((67, 5), (68, 5), (69, 5), (70, 5), (71, 5), (72, 5))
 
 
-def rectangles(ring: list[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
-    """A rectilinear ring as rectangles: slabs between its heights, each cut at the upright edges that pass through."""
-    heights = sorted({y for _, y in ring})
-    sides = [(x, min(y, v), max(y, v)) for (x, y), (u, v) in zip(ring, ring[1:] + ring[:1]) if x == u and y != v]
-    out = []
-    for low, high in zip(heights, heights[1:]):
-        xs = sorted(x for x, a, b in sides if a <= low and b >= high)
-        out += [(a, low, b, high) for a, b in zip(xs[::2], xs[1::2])]
-    return out
-
-
 def _on(layers):
     """Place of (layer, datatype) in ``layers``, or null."""
     wanted = [F.when((F.col("layer") == a) & (F.col("datatype") == b), F.lit(i)) for i, (a, b) in enumerate(layers)]
@@ -50,18 +37,13 @@ def extract(shapes: DataFrame, labels: DataFrame, instances: DataFrame, tile: fl
     """``shapes`` (layer, datatype, ring) and ``labels`` (instance or null for a port, text, layer, datatype, x, y) in chip
     coordinates; ``instances`` (instance) are those whose pins count.
 
-    Touching shapes of one sheet are one region; a cut whose box centre lies in a region below and one above joins them.
-    A label names the first region that holds it. A pin or a port name on two nets raises. A net is called by its port
+    Shapes may be any rings; they are cut into trapezoids, and touching ones of one sheet are one region. A cut whose box
+    centre lies in a region below and one above joins them. A label names the first region that holds it. A pin or a port name on two nets raises. A net is called by its port
     names, joined by ``|``; the others are numbered in the order of their terminals.
     """
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(s, *r) for s, ring in zip(pdf["sheet"], pdf["ring"], strict=True) for r in rectangles([(p["x"], p["y"]) for p in ring])]
-            yield pd.DataFrame(rows, columns=["layer", "x0", "y0", "x1", "y1"])
-
-    sheets = shapes.withColumn("sheet", _on(CONDUCTORS)).where("sheet IS NOT NULL").select("sheet", "ring")
-    boxes = cut(ordered.numbered_all(sheets.mapInPandas(split, "layer int, x0 double, y0 double, x1 double, y1 double"), ["layer", "x0", "y0", "x1", "y1"], "box"), "boxes")
+    sheets = shapes.withColumn("layer", _on(CONDUCTORS)).where("layer IS NOT NULL").select("layer", "ring")
+    boxes = cut(ordered.numbered_all(geometry.cut_rings(sheets, "layer"), ["layer", *geometry.BOX, *geometry.SLANTED], "box"), "boxes")
     touch = geometry.touching(boxes, tile)
     middle = shapes.withColumn("low", _on(CUTS)).where("low IS NOT NULL").select("low", *geometry.bounds(F.col("ring")))
     cuts = cut(ordered.numbered_all(middle.select("low", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), ["low", "x", "y"], "point"), "cuts")

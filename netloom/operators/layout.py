@@ -26,7 +26,7 @@ class Layout:
     @classmethod
     def load(cls, spark: SparkSession, path: str, top: str | None = None) -> Layout:
         """``top`` has to be given if no or several cells are not placed in another."""
-        rows = cut(gds.read_elements(spark, path), "layout")
+        rows = cut(gds.read_runs(spark, path), "layout")
         tops = [r.cell for r in gds.top_cells(rows).orderBy("cell", "file").limit(1001).collect()]
         chosen = [t for t in tops if top is None or t == top]
         if len(chosen) != 1:

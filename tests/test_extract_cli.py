@@ -3,7 +3,7 @@ import json
 import pytest
 
 from netloom import cli
-from netloom.operators.extract import extract, rectangles
+from netloom.operators.extract import extract
 from netloom.plans import designs
 
 
@@ -19,11 +19,6 @@ SHAPE = "layer int, datatype int, ring array<struct<x:double,y:double>>"
 LABEL = "instance string, text string, layer int, datatype int, x double, y double"
 
 
-def test_rectangles():
-    ell = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 3), (0, 3)]
-    assert rectangles(ell) == [(0, 0, 4, 1), (0, 1, 1, 3)]
-
-
 def test_extraction(spark):
     shapes = spark.createDataFrame([
         (67, 20, box(0, 0, 4, 1)), (67, 20, box(4, 0, 6, 1)), (68, 20, box(5, 0, 6, 9)), (67, 44, box(5.2, 0.2, 5.6, 0.6)),

@@ -1,9 +1,7 @@
-"""Magnified references, and paths that are refused rather than lost."""
+"""Magnified references."""
 
 import struct
 
-import pytest
-
 from netloom.sources import gds
 from tests.test_sources import name, real8, record, xy
 
@@ -23,8 +21,3 @@ def test_magnification_goes_down_the_levels(spark, tmp_path):
     assert [(r.x, r.y) for r in rows if r.kind == "label"] == [(18.0, 1.0)]
     rings = [[(round(p.x, 6), round(p.y, 6)) for p in r.ring] for r in rows if r.kind == "boundary"]
     assert rings == [[(16.0, 0.0), (20.0, 0.0), (20.0, 4.0)]]
-
-
-def test_paths_are_refused():
-    with pytest.raises(ValueError, match="path"):
-        list(gds.elements(record(gds.STRNAME, name("a")) + record(gds.PATH) + xy((0, 0), (5, 0)) + record(gds.ENDEL)))

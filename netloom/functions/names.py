@@ -32,13 +32,20 @@ def sanitised(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"[^A-Za-z0-9_]+", "_"), F.lit("_"))
 
 
-def infer_by_suffix(rows: DataFrame, name: str, known: list[str], out: str = "inferred") -> DataFrame:
-    """``rows`` with the longest of ``known`` that ``name`` (less a trailing ``_number``) is or ends in after an
-    underscore; else its last underscore part; ``unknown`` for an empty one."""
+def infer_by_suffix(rows: DataFrame, name: str, known: DataFrame, out: str = "inferred") -> DataFrame:
+    """``rows`` with the longest name of ``known`` (one column) that ``name`` (less a trailing ``_number``) is or ends in after
+    an underscore; else its last underscore part; ``unknown`` for an empty one.
+
+    The ends of every distinct name meet the known ones in an equi-join, so neither side has to be small.
+    """
     base = F.regexp_replace(F.col(name), r"_\d+$", "")
-    fits = [F.when((base == k) | base.endswith("_" + k), F.lit(k)) for k in sorted(known, key=lambda k: (-len(k), k))]
-    last = F.element_at(F.split(base, "_"), -1)
-    return rows.withColumn(out, F.coalesce(*fits, F.when(last != "", last), F.lit("unknown")))
+    parts = F.split("_base", "_")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"))
+    wanted = rows.select(base.alias("_base")).where("_base IS NOT NULL").distinct().select("_base", F.explode(ends).alias("_known"))
+    best = wanted.join(known.toDF("_known").distinct(), "_known").groupBy("_base").agg(F.max_by("_known", F.length("_known")).alias("_best"))
+    last = F.element_at(F.split("_base", "_"), -1)
+    found = F.coalesce("_best", F.when(last != "", last), F.lit("unknown"))
+    return rows.withColumn("_base", base).join(best, "_base", "left").withColumn(out, found).drop("_base", "_best")
 
 
 def numbered_duplicates(rows: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:

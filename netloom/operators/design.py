@@ -50,11 +50,8 @@ def typed(pins: DataFrame, cells: DataFrame) -> DataFrame:
     The cell type is the longest known name that the instance's name ends in. An unknown cell's pins of usual output
     names are outputs and its others inputs.
     """
-    known = [r[0] for r in cells.select("cell_type").limit(10_001).collect()]
-    if len(known) > 10_000:
-        raise ValueError("over 10,000 cell types")
-    named = infer_by_suffix(pins, "instance", known, "cell_type") if "cell_type" not in pins.columns else pins
-    model = F.broadcast(cells.select("cell_type", "inputs", "outputs", "clock_pins", "reset_pins", "set_pins", "sequential", F.lit(True).alias("known")))
+    named = infer_by_suffix(pins, "instance", cells.select("cell_type"), "cell_type") if "cell_type" not in pins.columns else pins
+    model = cells.select("cell_type", "inputs", "outputs", "clock_pins", "reset_pins", "set_pins", "sequential", F.lit(True).alias("known"))
     rows = named.join(model, "cell_type", "left")
     pin, power, is_known = F.col("pin"), F.col("pin").isin(*POWER_PINS), F.coalesce("known", F.lit(False))
 

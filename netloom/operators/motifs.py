@@ -55,3 +55,18 @@ def classify_pairs(components: DataFrame, cones: DataFrame, thin_limit: int = 30
     cells = components.join(pairs, "component").join(cones, "node").groupBy("component").agg(F.count_distinct(F.when(~F.col("is_state"), F.col("cell"))).alias("n_cells"), F.bool_or("is_mux").alias("mux"))
     kind = F.when(F.col("n_cells") >= thin_limit, "fat").when(F.col("mux"), "reused").otherwise("thin")
     return cells.select("component", "n_cells", kind.alias("kind"))
+
+
+def self_feedback(lines: DataFrame) -> DataFrame:
+    """(owner, key, hold): for each owner and key of ``lines`` (owner, key, value) the least value of another owner's line of
+    that key which is one of the owner's own values, or the owner itself.
+
+    Whether there is another owner is told by the least and the greatest of each (key, value), so no pairs of lines are made
+    and a key may have any number of them.
+    """
+    lines = lines.select("owner", "key", "value").distinct()
+    owners = lines.groupBy("key", "value").agg(F.min("owner").alias("least"), F.max("owner").alias("most"))
+    shared = lines.join(owners.where("least < most").select("key", "value"), ["key", "value"]).select("owner", "key", F.col("value").alias("hold"))
+    at_owner = owners.select("key", F.col("value").alias("owner"), "least", "most")
+    fed = lines.select("owner", "key").distinct().join(at_owner, ["owner", "key"]).where("least <> owner OR most <> owner").select("owner", "key", F.col("owner").alias("hold"))
+    return shared.unionByName(fed).groupBy("owner", "key").agg(F.min("hold").alias("hold"))

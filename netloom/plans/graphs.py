@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import geometry, graph, motifs, ordered
 from netloom.queries import load, query
+from netloom.shared import cut
 
 #: Arcs from a part to the two parts that it is made from; the first INPUTS parts are made from none.
 INPUTS = 8
@@ -39,13 +40,14 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(_lots(spark, sf_dir))
 
 
-@query("canonical_ids", f"""WITH RECURSIVE {_LOTS}, sets AS (SELECT root, string_agg(lpad(CAST(node AS VARCHAR), 10, '0'), ',' ORDER BY node) AS members, count(*) AS n FROM comp GROUP BY root)
-SELECT 'n' || lpad(CAST(row_number() OVER (ORDER BY members) - 1 AS VARCHAR), 4, '0') AS id, members, n FROM sets""")
+@query("canonical_ids", f"""WITH RECURSIVE {_LOTS}, ids AS (SELECT root, row_number() OVER (ORDER BY lpad(CAST(root AS VARCHAR), 10, '0')) - 1 AS number, count(*) AS n FROM comp GROUP BY root)
+SELECT 'n' || lpad(CAST(number AS VARCHAR), 4, '0') AS id, node, n FROM comp JOIN ids USING (root)""")
 def canonical_ids(spark, sf_dir):
+    """Components numbered by their sorted members. They share none, so the least member tells; members come as rows."""
     comp = graph.connected_components(_lots(spark, sf_dir))
-    sets = comp.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("node").cast("string"), 10, "0"))), ",").alias("members"), F.count("*").alias("n"))
-    ids = ordered.numbered_all(sets, ["members"])
-    return ids.select(F.format_string("n%04d", "number").alias("id"), "members", "n")
+    sets = comp.groupBy("root").agg(F.count("*").alias("n")).withColumn("least", F.lpad(F.col("root").cast("string"), 10, "0"))
+    ids = ordered.numbered_all(sets, ["least"])
+    return comp.join(ids, "root").select(F.format_string("n%04d", "number").alias("id"), "node", "n")
 
 
 @query("khop", f"""WITH RECURSIVE {_ARCS}, ways AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs),
@@ -214,3 +216,50 @@ def touching_regions(spark, sf_dir):
     boxes = _boxes(spark, sf_dir)
     merged = graph.connected_components(geometry.touching(boxes, 20))
     return boxes.select("box").join(merged, F.col("box") == F.col("node"), "left").select("box", F.coalesce("root", "box").alias("region"))
+
+
+#: Squares that stand on a corner, some hundred to a thousand a side; (x + y, x - y) turns them into upright boxes of whole numbers.
+_DIAMONDS = "SELECT p_partkey AS id, 3 * (p_partkey % 50) + p_partkey * 7 % 5 AS cx, 3 * (p_partkey // 50) + p_partkey * 11 % 5 AS cy, 1 + p_partkey * 13 % 2 AS r FROM part"
+
+
+def _diamonds(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = load(spark, sf_dir, "part").select(k.alias("id"), (3 * (k % 50) + k * 7 % 5).cast("double").alias("cx"), (3 * F.expr("p_partkey div 50") + k * 11 % 5).cast("double").alias("cy"), (1 + k * 13 % 2).cast("double").alias("r"))
+    x, y, r = F.col("cx"), F.col("cy"), F.col("r")
+    corners = [(x, y - r), (x + r, y), (x, y + r), (x - r, y)]
+    return rows.select("id", F.lit(0).alias("layer"), F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners]).alias("ring"))
+
+
+@query("merged_rings", f"""WITH RECURSIVE d AS ({_DIAMONDS}), b AS (SELECT id, cx + cy - r AS u0, cx + cy + r AS u1, cx - cy - r AS v0, cx - cy + r AS v1 FROM d),
+t AS (SELECT a.id AS x, c.id AS y FROM b a JOIN b c ON a.id <> c.id AND least(a.u1, c.u1) >= greatest(a.u0, c.u0) AND least(a.v1, c.v1) >= greatest(a.v0, c.v0) AND (least(a.u1, c.u1) > greatest(a.u0, c.u0) OR least(a.v1, c.v1) > greatest(a.v0, c.v0))),
+w AS (SELECT id, id AS seen FROM b UNION SELECT w.id, t.y FROM w JOIN t ON w.seen = t.x), root AS (SELECT id, min(seen) AS region FROM w GROUP BY id),
+cells AS (SELECT DISTINCT region, u, v FROM b JOIN root USING (id), unnest(range(u0, u1)) AS p(u), unnest(range(v0, v1)) AS q(v)), sizes AS (SELECT region, count(*) / 2.0 AS area FROM cells GROUP BY region)
+SELECT id, region, CAST(area AS DOUBLE) AS area FROM root JOIN sizes USING (region)""")
+def merged_rings(spark, sf_dir):
+    """Rings with slanted edges, OR-merged: each one's region, called by its least ring, and the region's area."""
+    pieces = ordered.numbered_all(geometry.cut_rings(_diamonds(spark, sf_dir), "id", "layer"), ["id", *geometry.BOX, *geometry.SLANTED], "box")
+    merged = cut(geometry.regions(pieces, 4.0), "regions")
+    sizes = geometry.areas(merged, 16.0).join(merged.groupBy("region").agg(F.min("id").alias("least")), "region")
+    rings = merged.select("id", "region").distinct()
+    return rings.join(sizes, "region").select("id", F.col("least").alias("region"), F.round("area", 6).alias("area"))
+
+
+@query("points_in_rings", f"SELECT c_custkey AS point, id FROM (SELECT c_custkey, (c_custkey * 31) % 150 + 0.25 AS x, (c_custkey * 17) % 90 + 0.125 AS y FROM customer) JOIN ({_DIAMONDS}) ON abs(x - cx) + abs(y - cy) < r")
+def points_in_rings(spark, sf_dir):
+    k = F.col("c_custkey")
+    points = load(spark, sf_dir, "customer").select(k.alias("point"), (k * 31 % 150 + 0.25).alias("x"), (k * 17 % 90 + 0.125).alias("y"))
+    return geometry.rings_at(points, _diamonds(spark, sf_dir), 4.0)
+
+
+_SCALES = "SELECT s_suppkey AS box, s_suppkey % 45 AS x0, s_suppkey % 45 + (1 << (s_suppkey % 11)) // 16 AS x1, 900 + s_suppkey % 180 AS y0, 900 + s_suppkey % 180 + (1 << (s_suppkey * 7 % 11)) AS y1 FROM supplier"
+
+
+@query("boxes_of_every_size", f"SELECT p_partkey AS point, count(box) AS n, min(box) AS box FROM part LEFT JOIN ({_SCALES}) ON p_size BETWEEN x0 AND x1 AND p_retailprice BETWEEN y0 AND y1 GROUP BY p_partkey")
+def boxes_of_every_size(spark, sf_dir):
+    """Points in boxes from one tile to the whole plane; a box has four copies at most."""
+    k = F.col("s_suppkey")
+    wide, high = (F.call_function("shiftleft", F.lit(1), (e % 11).cast("int")) for e in (k, k * 7))
+    boxes = load(spark, sf_dir, "supplier").select(k.alias("box"), (k % 45).alias("x0"), (k % 45 + F.floor(wide / 16)).alias("x1"), (900 + k % 180).alias("y0"), (900 + k % 180 + high).alias("y1"))
+    points = _points(spark, sf_dir)
+    found = geometry.points_in_boxes(points, boxes, 4.0).groupBy("point").agg(F.count("*").alias("n"), F.min("box").alias("box"))
+    return points.join(found, "point", "left").select("point", F.coalesce("n", F.lit(0)).alias("n"), "box")

@@ -46,6 +46,19 @@ def sample_hold_edges(spark, sf_dir):
     return ordered.rising(ordered.held(rows, *BY_USER, ["click", "error"]), *BY_USER, F.col("bit")).select("event_id", "user_id", "click_held", "error_held")
 
 
+@query("hot_hold_edges", f"""SELECT event_id, click_held, error_held, CAST(edges AS BIGINT) AS edges FROM (SELECT *, sum(CAST(bit AND NOT before AS INTEGER)) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS edges FROM (
+  SELECT *, coalesce(lag(bit) OVER w, false) AS before, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS click_held,
+  last_value(CASE WHEN event_type = 'error' THEN value END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS error_held FROM ({_BITS}) WINDOW w AS (ORDER BY ts, event_id))) WHERE bit AND NOT before""")
+def hot_hold_edges(spark, sf_dir):
+    """All events as one stream: no task orders it alone."""
+    by = ([], ["ts", "event_id"])
+    rows = _bits(spark, sf_dir).select("event_id", "ts", "bit", *[F.when(F.col("event_type") == k, F.col("value")).alias(k) for k in ("click", "error")])
+    held = ordered.held_over(ordered.in_ranges(rows, *by), *by, ["click", "error"])
+    seen = ordered.previous_over(held, *by, F.col("bit"), "before")
+    rises = F.col("bit") & ~F.coalesce("before", F.lit(False))
+    return ordered.sum_over(seen, *by, rises.cast("int"), "edges").where(rises).select("event_id", "click_held", "error_held", "edges")
+
+
 @query("flag_sessions", """WITH f AS (SELECT *, event_type IN ('purchase', 'click') AS inside FROM events),
 g AS (SELECT *, inside AND NOT coalesce(lag(inside) OVER (PARTITION BY user_id ORDER BY ts), false) AS start FROM f),
 h AS (SELECT *, sum(CAST(start AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS island FROM g)

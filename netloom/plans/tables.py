@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import names
-from netloom.operators import relate
+from netloom.operators import motifs, relate
 from netloom.queries import load, query
 
 
@@ -92,7 +92,20 @@ SELECT p_partkey, coalesce((SELECT max_by(k, length(k)) FROM dim WHERE n = repla
 FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS n FROM part)""".replace("max_by(k, length(k))", "replace(max_by(k, length(k)), ' ', '_')"))
 def suffix_type_inference(spark, sf_dir):
     named = load(spark, sf_dir, "part").select("p_partkey", F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string")).alias("name"))
-    return names.infer_by_suffix(named, "name", [s.replace(" ", "_") for s in SUFFIXES]).select("p_partkey", "inferred")
+    known = spark.createDataFrame([(s.replace(" ", "_"),) for s in SUFFIXES], "known string")
+    return names.infer_by_suffix(named, "name", known).select("p_partkey", "inferred")
+
+
+@query("suffix_of_many", """WITH known AS (SELECT 'k_' || CAST(c_custkey AS VARCHAR) || '_' || CAST(c_nationkey AS VARCHAR) AS k FROM customer),
+n AS (SELECT o_orderkey, 'U_k_' || CAST(o_custkey AS VARCHAR) || '_' || CAST(o_orderkey % 25 AS VARCHAR) AS name FROM orders)
+SELECT o_orderkey, coalesce(k, string_split(name, '_')[-1]) AS inferred FROM n LEFT JOIN known ON name = 'U_' || k""")
+def suffix_of_many(spark, sf_dir):
+    """Names against as many known ones as there are customers."""
+    key = lambda c, d: F.concat_ws("_", F.lit("k"), F.col(c).cast("string"), F.col(d).cast("string"))
+    known = load(spark, sf_dir, "customer").select(key("c_custkey", "c_nationkey").alias("known"))
+    orders = load(spark, sf_dir, "orders").withColumn("m", F.col("o_orderkey") % 25)
+    named = orders.select("o_orderkey", F.concat(F.lit("U_"), key("o_custkey", "m"), F.lit("_7")).alias("name"))
+    return names.infer_by_suffix(named, "name", known).select("o_orderkey", "inferred")
 
 
 @query("resolve_cascade", """SELECT k AS key, CASE WHEN p_partkey IS NOT NULL THEN 'part' WHEN s_suppkey IS NOT NULL THEN 'supplier' WHEN c_custkey IS NOT NULL THEN 'customer' END AS kind,
@@ -180,11 +193,8 @@ def set_drift(spark, sf_dir):
 @query("self_feedback_motif", """SELECT a.l_orderkey AS flop, a.l_partkey AS d_net, min(b.l_suppkey) AS hold FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) a JOIN
   (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey AND (a.l_suppkey = b.l_suppkey OR a.l_orderkey = b.l_suppkey) GROUP BY ALL""")
 def self_feedback_motif(spark, sf_dir):
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    a, b = lines.alias("a"), lines.alias("b")
-    feeds = (F.col("a.l_suppkey") == F.col("b.l_suppkey")) | (F.col("a.l_orderkey") == F.col("b.l_suppkey"))
-    found = a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_orderkey") != F.col("b.l_orderkey")) & feeds)
-    return found.groupBy(F.col("a.l_orderkey").alias("flop"), F.col("a.l_partkey").alias("d_net")).agg(F.min("b.l_suppkey").alias("hold"))
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("value"))
+    return motifs.self_feedback(lines).select(F.col("owner").alias("flop"), F.col("key").alias("d_net"), "hold")
 
 
 @query("layer_semi", "SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('R', 'F'), ('N', 'O'))")

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netloom.operators import ordered
+from netloom.shared import cut
+
+LINES = (["dump"], ["line_no"])
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(dump, line_no, text); dump is the file. Order inside one time stamp matters, so lines are numbered as they stand."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("dump"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
+    """(dump, line_no, text); dump is the file. Order inside one time stamp matters, so lines are numbered as they stand.
+
+    A file is read in as many splits as Spark likes; a split's lines are numbered on from those of the splits before it."""
+    raw = spark.read.text(path, lineSep="\n")
+    place = [F.col("_metadata.file_path").alias("dump"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+    rows = cut(raw.select(*place, F.regexp_replace("value", "\r$", "").alias("text")), "lines")
+    blocks = rows.groupBy("dump", "block").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("dump").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(blocks.select("dump", "block", (before - F.col("least")).alias("shift")), ["dump", "block"]).select("dump", (F.col("id") + F.col("shift")).alias("line_no"), "text")
 
 
 def signals(lines: DataFrame) -> DataFrame:
@@ -20,9 +31,9 @@ def signals(lines: DataFrame) -> DataFrame:
 
 def changes(lines: DataFrame) -> DataFrame:
     """(dump, line_no, time, name, value) of the 0/1 changes of ``signals``; buses and unknown values are left out."""
-    at = Window.partitionBy("dump").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # a dump is one sequence
-    timed = lines.withColumn("time", F.last(F.when(F.col("text").rlike(r"^#\d+$"), F.substring("text", 2, 20).cast("long")), True).over(at))
-    bits = timed.where(F.col("text").rlike(r"^[01].$")).select("dump", "line_no", "time", F.substring("text", 2, 1).alias("symbol"), F.substring("text", 1, 1).cast("int").alias("value"))
+    marked = lines.withColumn("time", F.when(F.col("text").rlike(r"^#\d+$"), F.substring("text", 2, 20).cast("long")))
+    timed = ordered.held_over(ordered.in_ranges(marked, *LINES), *LINES, ["time"])
+    bits = timed.where(F.col("text").rlike(r"^[01].$")).select("dump", "line_no", F.col("time_held").alias("time"), F.substring("text", 2, 1).alias("symbol"), F.substring("text", 1, 1).cast("int").alias("value"))
     return bits.join(signals(lines), ["dump", "symbol"]).select("dump", "line_no", "time", "name", "value")
 
 
@@ -31,18 +42,19 @@ def at_rising_edges(changed: DataFrame, names: list[str], clock: str = "clk") ->
     the same time, still has its old value. Signals start at 0. An unknown clock raises."""
     if clock not in names:
         raise ValueError(f"no signal named {clock}")
-    held = Window.partitionBy("dump").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    wide = changed.select("dump", "line_no", "time", "name", "value", *[F.coalesce(F.last(F.when(F.col("name") == n, F.col("value")), True).over(held), F.lit(0)).alias(n) for n in names])
-    before = F.lag(F.col(clock), 1, 0).over(Window.partitionBy("dump").orderBy("line_no"))
-    edges = wide.withColumn("_before", before).where((F.col("name") == clock) & (F.col(clock) == 1) & (F.col("_before") == 0))
+    own = changed.select("dump", "line_no", "time", "name", *[F.when(F.col("name") == n, F.col("value")).alias(n) for n in names])
+    wide = ordered.held_over(ordered.in_ranges(own, *LINES), *LINES, names)
+    wide = wide.select(ordered.RANGE, "dump", "line_no", "time", "name", *[F.coalesce(f"{n}_held", F.lit(0)).alias(n) for n in names])
+    edges = ordered.rising_over(wide, *LINES, F.col(clock) == 1).where(F.col("name") == clock)
     return edges.select("dump", "line_no", "time", *names)
 
 
 def attempts(samples: DataFrame, enable: str = "enable") -> DataFrame:
     """``samples`` with enable high, numbered by runs of a dump (attempt) and inside them (pos)."""
-    order = Window.partitionBy("dump").orderBy("line_no")
-    start = (F.col(enable) == 1) & (F.lag(enable, 1, 0).over(order) == 0)
-    runs = samples.withColumn("attempt", F.sum(start.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).where(F.col(enable) == 1)
+    on = F.col(enable) == 1
+    seen = ordered.previous_over(ordered.in_ranges(samples, *LINES), *LINES, on, "_before")
+    runs = ordered.sum_over(seen, *LINES, (on & ~F.coalesce("_before", F.lit(False))).cast("int"), "attempt").where(on)
+    runs = runs.withColumn("attempt", F.col("attempt") - 1).drop(ordered.RANGE, "_before")
     return runs.withColumn("pos", F.row_number().over(Window.partitionBy("dump", "attempt").orderBy("line_no")) - 1)
 
 

@@ -54,8 +54,8 @@ def test_bits(spark):
 def test_names(spark):
     rows = spark.createDataFrame([("n10",), ("n9",), ("n9a",), ("a2b10",), ("a2b9",)], "n string")
     assert [r.n for r in rows.orderBy(names.natural_key(F.col("n"))).collect()] == ["a2b9", "a2b10", "n9", "n9a", "n10"]
-    got = names.infer_by_suffix(spark.createDataFrame([("U1_and2_3",), ("big_mux2",), ("x_y",), ("mux2",), ("",)], "n string"), "n", ["and2", "mux2", "big_mux2"]).collect()
-    assert [r.inferred for r in got] == ["and2", "big_mux2", "y", "mux2", "unknown"]
+    got = names.infer_by_suffix(spark.createDataFrame([("U1_and2_3",), ("big_mux2",), ("x_y",), ("mux2",), ("",)], "n string"), "n", spark.createDataFrame([("and2",), ("mux2",), ("big_mux2",)], "k string")).collect()
+    assert {r.n: r.inferred for r in got} == {"U1_and2_3": "and2", "big_mux2": "big_mux2", "x_y": "y", "mux2": "mux2", "": "unknown"}
     assert spark.range(1).select(names.quoted(F.lit('a"b\\c\nd'))).first()[0] == '"a\\"b\\\\c\\nd"'
     assert spark.range(1).select(names.sanitised(F.lit("--a b|c--"))).first()[0] == "a_b_c"
 

@@ -35,6 +35,8 @@ SLACK = 2
 SEGMENT_WORDS = 1 << 18
 BLOCK_WORDS = 1 << 20
 PIECE_WORDS = 1 << 14
+#: Candidate places of a segment that are held at a time.
+CANDIDATES = 1 << 19
 
 
 def _schema(docs_or_index: DataFrame, text: str) -> str:
@@ -110,6 +112,9 @@ class PhraseSet:
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
         self.owner, phrases = windows(items, size)
+        self.items = sorted(set(self.owner))
+        number = {item: i for i, item in enumerate(self.items)}
+        self.item = np.array([number[x] for x in self.owner], np.int64)
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for p in phrases for w in p}))}
         self.lengths = np.array([len(p) for p in phrases], np.int64)
         self.terms = np.full((len(phrases), size), -1, np.int64)
@@ -142,29 +147,36 @@ class Postings:
         return (at < len(self.key)) & (found <= term * self.span + high)
 
 
-def search_segment(row: dict, phrases: PhraseSet, slack: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, start), each once, of places from which every term lies within ``slack`` of its offset."""
+def search_segment(row: dict, phrases: PhraseSet, slack: int, candidates: int = CANDIDATES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(phrase, start, exact) of places from which every term lies within ``slack`` of its offset, and whether all lie at it;
+    a place may come several times. Candidate places are looked at by ``candidates`` at a time, however common the terms are."""
     index = Postings(row, phrases.vocabulary)
     count = np.diff(index.first)
     size = np.where(phrases.terms >= 0, count[phrases.terms], np.iinfo(np.int64).max)
     rank = np.argsort(size, axis=1, kind="stable")
     rarest = rank[:, 0]
-    term = phrases.terms[np.arange(len(rank)), rarest]
     live = np.flatnonzero(np.min(size, axis=1) > 0)
-    width = count[term[live]]
-    phrase = np.repeat(live, width)
-    base = np.repeat(index.first[term[live]] - np.r_[0, np.cumsum(width)[:-1]], width)
-    start = index.key[base + np.arange(len(phrase))] - term[phrase] * index.span - rarest[phrase]
-    if slack:  # the rarest term may be off as well
-        shift = np.arange(-slack, slack + 1)
+    term = phrases.terms[live, rarest[live]]
+    before = np.r_[0, np.cumsum(count[term])]
+    shift = np.arange(-slack, slack + 1)  # the rarest term may be off as well
+    step = max(1, candidates // len(shift))
+    for at in range(0, int(before[-1]), step):
+        flat = np.arange(at, min(at + step, int(before[-1])))
+        which = np.searchsorted(before, flat, side="right") - 1
+        phrase = live[which]
+        start = index.key[index.first[term[which]] + flat - before[which]] - term[which] * index.span - rarest[phrase]
         phrase, start = np.repeat(phrase, len(shift)), (start[:, None] + shift).ravel()
-    for step in range(1, rank.shape[1]):
-        place = rank[phrase, step]
-        term = phrases.terms[phrase, place]
-        need = start + place
-        keep = (term < 0) | index.holds(np.maximum(term, 0), need - slack, need + slack)
-        phrase, start = phrase[keep], start[keep]
-    return phrase, start
+        for k in range(1, rank.shape[1]):
+            place = rank[phrase, k]
+            other = phrases.terms[phrase, place]
+            need = start + place
+            keep = (other < 0) | index.holds(np.maximum(other, 0), need - slack, need + slack)
+            phrase, start = phrase[keep], start[keep]
+        exact = np.ones(len(phrase), bool)
+        for place in range(rank.shape[1]) if slack else ():
+            other = phrases.terms[phrase, place]
+            exact &= (other < 0) | index.holds(np.maximum(other, 0), start + place, start + place)
+        yield phrase, start, exact
 
 
 def _covered(starts: np.ndarray, lengths: np.ndarray, total: int) -> np.ndarray:
@@ -181,7 +193,13 @@ def search_row(row: dict, phrases: PhraseSet, slack: int) -> list[list]:
     out = [row["doc_ids"], n, np.zeros(len(n), np.int64), [[] for _ in n], [[] for _ in n], [[] for _ in n]]
     if not len(phrases.lengths) or not len(row["gaps"]):
         return out
-    phrase, start = search_segment(row, phrases, 0)
+    none, end, n_items = np.empty(0, np.int64), int(starts[-1] + n[-1]) + 1, len(phrases.items)
+    found, near = [none], [none]
+    for phrase, start, exact in search_segment(row, phrases, slack):
+        found.append(np.unique(phrase[exact] * end + start[exact]))
+        if slack:  # of the places, only the documents are told
+            near.append(np.unique((np.searchsorted(starts, start + slack, side="right") - 1) * n_items + phrases.item[phrase]))
+    phrase, start = np.divmod(np.unique(np.concatenate(found)), end)
     doc = np.searchsorted(starts, start, side="right") - 1
     order = np.lexsort((phrase, start))
     phrase, start, doc = phrase[order], start[order], doc[order]
@@ -193,11 +211,8 @@ def search_row(row: dict, phrases: PhraseSet, slack: int) -> list[list]:
         out[5][d].append({"item_id": phrases.owner[p], "start": s, "length": int(phrases.lengths[p])})
     for d in np.unique(doc).tolist():
         out[3][d] = sorted({x["item_id"] for x in out[5][d]})
-    if slack:
-        near, at = search_segment(row, phrases, slack)
-        for d, p in set(zip((np.searchsorted(starts, at + slack, side="right") - 1).tolist(), near.tolist(), strict=True)):
-            out[4][d].append(phrases.owner[p])
-        out[4] = [sorted(set(x)) for x in out[4]]
+    for d, i in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(near)), n_items)), strict=True):
+        out[4][d].append(phrases.items[i])
     return out
 
 

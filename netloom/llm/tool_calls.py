@@ -16,7 +16,9 @@ Defined results: a call without an identifier is ``no_id`` and links to nothing;
 identifier the earliest counts, and the others are ``duplicate``; a result without a call is ``orphan_result``; a call
 on or behind a cycle of references has no level; a reference to an unknown call counts as none and is an error;
 arguments that are no JSON object are an error, and so are those with NaN, an infinity or a number beyond the doubles, or
-nested over ``MAX_DEPTH``; an unknown tool is an error; very long texts are taken whole. Extra columns are dropped.
+nested over ``MAX_DEPTH``; an unknown tool is an error; very long texts are taken whole. An assistant's text that is no
+call message as a whole (text behind the object, an empty list, no list) is a plain turn. conv_id and turn are read as
+bigint. An empty table gives no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -156,33 +158,56 @@ def parse_object(text: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of messages (conv_id, turn, role, text) in the usual chat form: an assistant's text
-    {"tool_calls": [{"id", "name", "arguments"}]}, a tool's text {"tool_call_id", "content"}. Arguments are an object or
-    its text; a value is passed on as its own JSON, so a number that is no double stays an error."""
+MARKED = "conv_id bigint, turn bigint, text string, calls array<struct<call_id:string,name:string,arguments:string>>"
+
+
+def marked_calls(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, text, calls) of the assistant's messages that speak of tool calls. ``calls`` is null unless the text
+    is an object {"tool_calls": [{"id", "name", "arguments"}, ...]} with one call or more, which alone makes a call message.
+    Arguments are an object or its text; a value is passed on as its own JSON, so a number that is no double stays an error."""
+
+    def called(text: str) -> list[dict] | None:
+        try:
+            value = json.loads(text) if depth(text) <= 2 * MAX_DEPTH else None
+        except (ValueError, RecursionError):
+            return None
+        found = value.get("tool_calls") if isinstance(value, dict) else None
+        if not isinstance(found, list) or not found:
+            return None
+        out = []
+        for call in found:
+            call = call if isinstance(call, dict) else {}
+            arguments = call.get("arguments")
+            plain = [call.get(k) if isinstance(call.get(k), str) else None for k in ("id", "name")]
+            plain = [x if x is None else HALF.sub("\ufffd", x) for x in plain]
+            out.append({"call_id": plain[0], "name": plain[1], "arguments": HALF.sub("\ufffd", arguments) if isinstance(arguments, str) else None if arguments is None else json.dumps(arguments)})
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]):
+        kind = pa.list_(pa.struct([(c, pa.string()) for c in ("call_id", "name", "arguments")]))
         for batch in batches:
-            out = []
-            for conv, turn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    value = json.loads(text) if depth(text) <= 2 * MAX_DEPTH else None
-                except (ValueError, RecursionError):
-                    value = None
-                found = value.get("tool_calls") if isinstance(value, dict) else None
-                for call in found if isinstance(found, list) else ():
-                    call = call if isinstance(call, dict) else {}
-                    arguments = call.get("arguments")
-                    plain = [call.get(k) if isinstance(call.get(k), str) else None for k in ("id", "name")]
-                    plain = [x if x is None else HALF.sub("\ufffd", x) for x in plain]
-                    out.append((conv, plain[0], turn, plain[1], HALF.sub("\ufffd", arguments) if isinstance(arguments, str) else None if arguments is None else json.dumps(arguments)))
-            columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["conv_id", "call_id", "turn", "name", "arguments"])
-
-    marked = messages.where("role = 'assistant' AND text LIKE '%tool_calls%'")
-    calls = marked.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text").mapInArrow(run, CALLS)
-    reply = messages.where("role = 'tool'").select("conv_id", "turn", F.from_json("text", "tool_call_id string, content string").alias("r"))
-    return calls, reply.select("conv_id", F.col("r.tool_call_id").alias("call_id"), "turn", F.col("r.content").alias("content"))
+            made = [called(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=["conv_id", "turn", "text", "calls"])
+
+    said = messages.where("role = 'assistant' AND text LIKE '%tool_calls%'")
+    return said.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text").mapInArrow(run, MARKED)
+
+
+def _calls(marked: DataFrame) -> DataFrame:
+    """CALLS of the call messages among ``marked``."""
+    each = marked.select("conv_id", "turn", F.explode("calls").alias("c"))
+    return each.select("conv_id", "c.call_id", "turn", "c.name", "c.arguments")
+
+
+def _replies(messages: DataFrame) -> DataFrame:
+    """RESULTS of the tools' messages {"tool_call_id", "content"}."""
+    reply = messages.where("role = 'tool'").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.from_json("text", "tool_call_id string, content string").alias("r"))
+    return reply.select("conv_id", F.col("r.tool_call_id").alias("call_id"), "turn", F.col("r.content").alias("content"))
+
+
+def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of messages (conv_id, turn, role, text) in the usual chat form."""
+    return _calls(marked_calls(messages)), _replies(messages)
 
 
 def turns_as_calls(messages: DataFrame, name: str = "respond") -> tuple[DataFrame, DataFrame]:
@@ -342,11 +367,14 @@ RESPOND = {"type": "object", "required": ["prompt"], "properties": {"prompt": {"
 
 
 def link_messages(messages: DataFrame) -> DataFrame:
-    """``link`` of a conversations table: marked tool calls and, for the rest, turns as calls."""
-    marked, replies = extract(messages)
-    plain = messages.where("NOT coalesce(role = 'tool' OR (role = 'assistant' AND get_json_object(text, '$.tool_calls') IS NOT NULL), false)")
+    """``link`` of a conversations table (conv_id and turn are read as bigint): marked tool calls and, for the rest, turns as
+    calls. Whether an assistant's message is a call message is decided once; what isn't stays a plain turn."""
+    marked = cut(marked_calls(messages), "marked")
+    rest = messages.where("role IS NULL OR role <> 'tool'").where("NOT coalesce(role = 'assistant' AND text LIKE '%tool_calls%', false)")
+    said = rest.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    plain = said.unionByName(marked.where("calls IS NULL").select("conv_id", "turn", F.lit("assistant").alias("role"), "text"))
     calls, results = turns_as_calls(plain)
-    return link(calls.unionByName(marked), results.unionByName(replies), {"respond": RESPOND})
+    return link(calls.unionByName(_calls(marked)), results.unionByName(_replies(messages)), {"respond": RESPOND})
 
 
 #: ``link_messages`` in DuckDB, for a table of plain chats with one row a turn; errors joined by "; ".

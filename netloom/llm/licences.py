@@ -21,12 +21,13 @@ from __future__ import annotations
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm.common import LOWER_WORDS, cut, with_columns, words
+from netloom.llm.common import cut, with_columns, words
 
 SHORT_K, LONG_K, LONG_WORDS = 2, 5, 20
 KS = (SHORT_K, LONG_K)
@@ -107,7 +108,7 @@ def templates(spark: SparkSession, phrases: list[tuple[str, str, str]]) -> DataF
 
 
 def grams(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with row (its number), n_words, and the hash, place and byte range of every gram of KS words."""
+    """``docs`` (doc_id, text) with row (its number), n_words, its words, and the hash and place of every gram of KS words."""
 
     def work(texts):
         from pyspark import TaskContext
@@ -115,38 +116,22 @@ def grams(docs: DataFrame) -> DataFrame:
         store = work.store = getattr(work, "store", None) or _WordHashes()
         base = work.rows = getattr(work, "rows", TaskContext.get().partitionId() << 40)
         work.rows += len(texts)
-        counts, columns = [], [[], [], [], []]
-        for text in texts:
-            found = (text or b"").translate(LOWER_WORDS).split()
-            counts.append(len(found))
-            marks = np.frombuffer((text or b"").translate(IS_WORD), np.uint8)
-            edge = np.flatnonzero(np.diff(marks, prepend=np.uint8(0), append=np.uint8(0))).astype(np.int32)
-            hashes = [gram_hashes(found, store, k) for k in KS]
-            columns[0].append(np.concatenate(hashes))
-            columns[1].append(np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]))
-            columns[2].append(np.concatenate([edge[::2][: len(h)] for h in hashes]))
-            columns[3].append(np.concatenate([edge[1::2][k - 1 :] for k in KS]))
-        offsets = pa.array(np.cumsum([0, *map(len, columns[0])]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in columns]
-        return [pa.array(range(base, base + len(texts)), pa.int64()), pa.array(counts, pa.int64()), *lists]
+        found = [words(text or b"") for text in texts]
+        hashes = [[gram_hashes(f, store, k) for k in KS] for f in found]
+        offsets = pa.array(np.cumsum([0, *(sum(map(len, h)) for h in hashes)]), pa.int32())
+        flat = [np.concatenate([np.empty(0, t), *x]) for t, x in ((np.int64, [h for each in hashes for h in each]), (np.int32, [np.arange(len(h), dtype=np.int32) for each in hashes for h in each]))]
+        spoken = pa.array([w for f in found for w in f], pa.binary()).cast(pa.string())
+        by_doc = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), spoken)
+        return [pa.array(range(base, base + len(texts)), pa.int64()), pa.array(list(map(len, found)), pa.int64()), by_doc, *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in flat)]
 
-    fields = [T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]
-    fields += [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("places", "starts", "ends")]
-    return with_columns(docs.select("doc_id", "text"), "text", work, fields)
+    fields = [T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("words", T.ArrayType(T.StringType()))]
+    fields += [T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
+    return with_columns(docs.select("doc_id", "text"), "text", work, fields).drop("text")
 
 
-#: 1 for the bytes of words.
-IS_WORD = bytes(int(c != 32) for c in LOWER_WORDS)
-
-
-def _lower_ascii(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _is_gram(i: Column) -> Column:
-    """Whether the words of the i-th gram (from 1) are those of the template's."""
-    part = F.expr("cast(substring(cast(text as binary), starts[i - 1] + 1, ends[i - 1] - starts[i - 1]) as string)".replace("i - 1", f"{i} - 1"))
-    return F.regexp_replace(_lower_ascii(part), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ") == F.col("gram")
+def _is_gram(at: Column) -> Column:
+    """Whether the words from place ``at`` on are those of the template's gram. Words are looked up, the text is not cut again."""
+    return F.array_join(F.slice("words", at + 1, F.col("k")), " ") == F.col("gram")
 
 
 MATCH = ["row", "doc_id", "n_words", "template", "kind", "label", "k", "n_grams", "place", "at"]
@@ -159,15 +144,16 @@ def matches(docs: DataFrame, table: DataFrame, broadcast_grams: int = MAX_BROADC
         return _matches_by_shuffle(cut(found, "grams"), table)
     begin = table.limit(1).select(F.lit(-1).alias("template"), F.lit("").alias("kind"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("k"), F.lit(0).alias("n_grams"), F.lit(0).alias("place"), F.lit(None).cast("long").alias("hash"), F.lit("").alias("gram"))
     every = F.broadcast(table.unionByName(begin).withColumn("hash", F.coalesce("hash", F.lit(0))))
-    rolled = found.select("row", "doc_id", "n_words", "text", "places", "starts", "ends", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("pos", "hash"))
-    hit = rolled.join(every, "hash").where(((F.col("pos") == 0) & (F.col("template") == -1)) | ((F.col("pos") > 0) & (F.col("template") >= 0) & _is_gram("pos")))
-    return hit.withColumn("at", F.expr("get(places, pos - 1)")).select(*MATCH)
+    rolled = found.select("row", "doc_id", "n_words", "words", "places", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("pos", "hash"))
+    at = F.get("places", F.col("pos") - 1)
+    hit = rolled.join(every, "hash").where(((F.col("pos") == 0) & (F.col("template") == -1)) | ((F.col("pos") > 0) & (F.col("template") >= 0) & _is_gram(at)))
+    return hit.withColumn("at", at).select(*MATCH)
 
 
 def _matches_by_shuffle(found: DataFrame, table: DataFrame) -> DataFrame:
     rolled = found.select("row", F.posexplode("hashes").alias("i", "hash"))
     met = cut(rolled.join(table, "hash").drop("hash"), "met")
-    confirmed = met.join(found.drop("hashes"), "row").withColumn("pos", F.col("i") + 1).where(_is_gram("pos")).withColumn("at", F.expr("places[i]")).select(*MATCH)
+    confirmed = met.join(found.drop("hashes"), "row").withColumn("at", F.get("places", F.col("i"))).where(_is_gram(F.col("at"))).select(*MATCH)
     none = {"template": F.lit(-1), "kind": F.lit(""), "label": F.lit(None).cast("string"), "k": F.lit(0), "n_grams": F.lit(0), "place": F.lit(0), "at": F.lit(None).cast("int")}
     return confirmed.unionByName(found.select("row", "doc_id", "n_words").withColumns(none))
 
@@ -191,6 +177,21 @@ def spans(hits: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     return cover.where(F.when(F.col("kind") == "phrase", F.col("cover") == 1).otherwise(F.col("cover") >= min_cover)).drop("run", "seen")
 
 
+def standing_texts(first: list[int], end: list[int], cover: list[float]) -> list[bool]:
+    """Whether no span that shares a place with a span covers more of its template: one sweep over the places, which compares
+    a span with those only that are still open where it starts."""
+    stand, open_ = [True] * len(first), []
+    for i in sorted(range(len(first)), key=first.__getitem__):
+        open_ = [j for j in open_ if end[j] > first[i]]
+        for j in open_:
+            if cover[j] > cover[i]:
+                stand[i] = False
+            elif cover[i] > cover[j]:
+                stand[j] = False
+        open_.append(i)
+    return stand
+
+
 def scan(docs: DataFrame, phrases: list[tuple[str, str, str]] | None = None, min_cover: float = MIN_COVER, broadcast_grams: int = MAX_BROADCAST_GRAMS) -> DataFrame:
     """One row per document: n_words, spans (label, kind, first_word, end_word, cover), and the digest columns n_base,
     first_word, last_word, base_labels, labels and score (the best cover of a standing span, else 0).
@@ -207,10 +208,16 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str, str]] | None = None, min
 
     one = rows.unionByName(found).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("span")).alias("spans"))
 
-    def beaten(s):
-        return F.exists("spans", lambda t: (s["kind"] == "text") & (t["kind"] == "text") & (t["first_word"] < s["end_word"]) & (s["first_word"] < t["end_word"]) & (t["cover"] > s["cover"]))
+    texts = F.filter("spans", lambda s: s["kind"] == "text")
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def swept(firsts: pd.Series, ends: pd.Series, covers: pd.Series) -> pd.Series:
+        return pd.Series([None if x[0] is None else standing_texts(*x) for x in zip(firsts, ends, covers, strict=True)], dtype=object)
 
-    one = one.withColumn("spans", F.filter("spans", lambda s: ~beaten(s)))
+    stand = swept(*[texts[c] for c in ("first_word", "end_word", "cover")])
+    one = one.withColumn("stand", F.when(F.size(texts) > 1, stand))
+    better = F.when(F.col("stand").isNull(), texts).otherwise(F.transform(F.filter(F.arrays_zip(texts.alias("span"), "stand"), lambda z: z["stand"]), lambda z: z["span"]))
+    one = one.withColumn("spans", F.sort_array(F.concat(F.filter("spans", lambda s: s["kind"] != "text"), better))).drop("stand")
     return one.select(
         "doc_id",
         "n_words",

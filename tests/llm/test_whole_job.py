@@ -78,7 +78,7 @@ def test_near_dedup_takes_edited_copies(spark):
 
 
 def test_recall_of_the_tables():
-    """Random sets at given similarities: the share that meets in a table and lies within the radius."""
+    """Random sets at given similarities: the share that is searched at all, meets in a table and lies within the radius."""
     rng = np.random.default_rng(1)
     picks, radius = simhash.tables(1000), simhash.radius_of(0.8)
     for similarity, least in ((0.8, 0.97), (0.85, 0.99), (0.95, 1.0)):
@@ -89,10 +89,21 @@ def test_recall_of_the_tables():
             a, b = (np.unique(np.r_[shared, rng.integers(0, 1 << 63, own, np.uint64)]) for _ in "ab")
             bits = [np.unpackbits(simhash.wide_fingerprint(x).view(np.uint8), bitorder="little") for x in (a, b)]
             differ = bits[0] != bits[1]
-            found += differ[:128].sum() <= radius and not differ[picks].any(1).all()
+            smallest = np.intersect1d(a[: simhash.BOTTOM], b[: simhash.BOTTOM])
+            found += differ.sum() <= radius and not differ[picks].any(1).all() and len(smallest) >= simhash.LEAST_SHARED
         assert found >= least * 400
 
 
+def test_only_sets_that_share_their_smallest_hashes_are_searched(spark):
+    rows = [
+        (1, 100, list(range(12))), (2, 100, [*range(5), *range(100, 107)]), (3, 100, [*range(4), *range(200, 208)]), (4, 100, list(range(300, 312))),
+        (5, 3, [1, 2, 900]), (6, 2, [7, 8]), (7, 1, [901]), (8, 100, [302, 303, 304, 305, *range(700, 708)]),
+    ]
+    sets = spark.createDataFrame(rows, "key long, size long, bottom array<long>")
+    assert sorted(r.key for r in simhash.may_have_partners(sets).collect()) == [1, 2, 6]
+    assert simhash.may_have_partners(sets.limit(0)).count() == 0
+
+
 def test_pairs_apart_from_the_buckets_first_are_compared(spark):
     base = [f"w{i}" for i in range(400)]
     texts = [" ".join(base[:300] + [f"{k}x{i}" for i in range(60)]) for k in "abc"]

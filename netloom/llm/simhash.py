@@ -63,8 +63,8 @@ BOTTOM, LEAST_SHARED = 12, 5
 BROADCAST_PAIRS = 1 << 20
 #: Share of pairs at the threshold that meet in no table, and standard deviations of the radius over their mean distance.
 MISSED, MARGIN = 0.01, 2.4
-#: Tables that go first.
-EARLY = 4
+#: Bits of a table at least, and tables that go first.
+LEAST_BITS, EARLY = 12, 4
 #: Bytes of texts and sets that a Python worker keeps while it confirms pairs.
 KEPT_BYTES = 64 << 20
 
@@ -327,10 +327,10 @@ def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
 
 
 def tables(n: int, similarity: float = SIMILARITY, missed: float = MISSED) -> np.ndarray:
-    """The bits that each table picks (a row a table): log2(n) - 8 of them, 16 at least, so that buckets of unlike sets
-    stay small at every ``n``, and as many tables as ``missed`` asks for at that length."""
+    """The bits that each table picks (a row a table): log2(n) - 8 of them, LEAST_BITS at least, so that a bucket holds some
+    hundred unlike sets at every ``n``, and as many tables as ``missed`` asks for at that length."""
     width = 64 * WIDE
-    bits, p = min(48, max(16, ceil(log2(max(n, 2))) - 8)), 1 - agreement(similarity)
+    bits, p = min(48, max(LEAST_BITS, ceil(log2(max(n, 2))) - 8)), 1 - agreement(similarity)
     differ = np.arange(width + 1)
     share = np.array([comb(width, int(d)) * p ** int(d) * (1 - p) ** (width - int(d)) for d in differ])
     meet = np.prod([np.maximum(width - differ - i, 0) / (width - i) for i in range(bits)], axis=0)

@@ -257,27 +257,68 @@ def _lane(tree: Node, value, size: int) -> np.ndarray:
     return {"and": a & b, "or": a | b, "xor": a ^ b}[tree.op]
 
 
+#: Levels after which chains are halved, and rounds after which values are written anew as one table.
+BEFORE_CHAINS, COMPACT = 12, 8
+
+
+def _gate(a: Column, b: Column) -> Column:
+    """Output of the column ``gate``, bit by bit."""
+    both, either = a.bitwiseAND(b), a.bitwiseOR(b)
+    return F.when(F.col("gate") == "and", both).when(F.col("gate") == "or", either).when(F.col("gate") == "xor", a.bitwiseXOR(b)).when(F.col("gate") == "nand", F.bitwise_not(both))
+
+
+def _picked(value: Column, low: Column, high: Column) -> Column:
+    """``high`` where ``value`` has a one, else ``low``."""
+    return value.bitwiseAND(high).bitwiseOR(F.bitwise_not(value).bitwiseAND(low))
+
+
+def _by_halved_chains(waiting: DataFrame, done: DataFrame) -> DataFrame:
+    """``done`` and the values of ``waiting``, whose gates may stand in long chains.
+
+    A gate with one source left makes of it, bit by bit, one output at zero and one at one. In a round a gate that waits for
+    such a gate waits for that one's source instead, through both; a chain is halved and a level of the others is done.
+    """
+    ones, zero = F.lit(-1).cast("long"), F.lit(0).cast("long")
+    sides = [c for s in "ab" for c in (F.when(~F.col(f"has_{s}"), F.col(s)).alias(s), *(F.when(F.col(f"has_{s}"), F.col(f"v{s}")).otherwise(x).alias(f"{s}{k}") for k, x in enumerate((zero, ones))))]
+    state, rounds = waiting.select(F.col("dst").alias("node"), "gate", *sides), 0
+    while True:
+        single = state.where("a IS NULL OR b IS NULL OR a = b")
+        single = single.select(F.col("node").alias("via"), F.coalesce("a", "b").alias("further"), *[_gate(F.col(f"a{k}"), F.col(f"b{k}")).alias(f"u{k}") for k in (0, 1)])
+        single = single.unionByName(done.select(F.col("node").alias("via"), F.lit(None).cast(single.schema["further"].dataType).alias("further"), *[F.col("value").alias(f"u{k}") for k in (0, 1)]))
+        moved = state
+        for s in "ab":
+            moved = moved.join(single, F.col(s) == F.col("via"), "left")
+            through = {f"{s}{k}": F.when(F.col("via").isNull(), F.col(f"{s}{k}")).otherwise(_picked(F.col(f"u{k}"), F.col(f"{s}0"), F.col(f"{s}1"))) for k in (0, 1)}
+            moved = moved.withColumns(through | {s: F.when(F.col("via").isNull(), F.col(s)).otherwise(F.col("further"))}).drop("via", "further", "u0", "u1")
+        moved, more = cut_any(moved, "lanes", F.col("a").isNull() & F.col("b").isNull())
+        if not more:
+            return done
+        done, state, rounds = done.unionByName(moved.where("a IS NULL AND b IS NULL").select("node", _gate(F.col("a0"), F.col("b0")).alias("value"))), moved.where("a IS NOT NULL OR b IS NOT NULL"), rounds + 1
+        if rounds % COMPACT == 0:
+            done = cut(done, "lanes")
+
+
 def gate_lanes(nodes: DataFrame, arcs: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(node, value) of a two-input gate graph, 64 vectors to a long, level by level.
+    """(node, value) of a two-input gate graph, 64 vectors to a long.
 
-    ``nodes`` (node, gate: and, or, xor, nand), ``arcs`` (dst, a, b), ``inputs`` (node, value).
+    ``nodes`` (node, gate: and, or, xor, nand), ``arcs`` (dst, a, b), ``inputs`` (node, value). Level by level at first; what
+    lies deeper than BEFORE_CHAINS levels goes by the logarithm of its chains. Gates on or behind a cycle get no value.
     """
     done = new = cut(inputs.select("node", "value"), "lanes")
     ends = [c for side in "ab" for c in (F.lit(None).cast("long").alias(f"v{side}"), F.lit(False).alias(f"has_{side}"))]
     waiting = arcs.join(nodes, F.col("dst") == F.col("node")).join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("dst", "a", "b", "gate", *ends)
-    while True:
+    for _ in range(BEFORE_CHAINS):
         # Only the newest values are joined; a gate that waits keeps the one it has got.
         state = waiting
         for side in "ab":
             came = new.select(F.col("node").alias(side), F.col("value").alias("_v"), F.lit(True).alias("_has"))
             state = state.join(came, side, "left").withColumns({f"v{side}": F.coalesce(f"v{side}", "_v"), f"has_{side}": F.col(f"has_{side}") | F.coalesce("_has", F.lit(False))}).drop("_v", "_has")
         state, more = cut_any(state, "lanes", F.col("has_a") & F.col("has_b"))
-        both, either = F.col("va").bitwiseAND(F.col("vb")), F.col("va").bitwiseOR(F.col("vb"))
-        value = F.when(F.col("gate") == "and", both).when(F.col("gate") == "or", either).when(F.col("gate") == "xor", F.col("va").bitwiseXOR(F.col("vb"))).when(F.col("gate") == "nand", F.bitwise_not(both))
-        new, waiting = state.where("has_a AND has_b").select(F.col("dst").alias("node"), value.alias("value")), state.where("NOT (has_a AND has_b)")
+        new, waiting = state.where("has_a AND has_b").select(F.col("dst").alias("node"), _gate(F.col("va"), F.col("vb")).alias("value")), state.where("NOT (has_a AND has_b)")
         if not more:
             return done
         done = done.unionByName(new)
+    return _by_halved_chains(waiting, cut(done, "lanes"))
 
 
 def covered_order(items: DataFrame) -> DataFrame:

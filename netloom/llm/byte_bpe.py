@@ -3,8 +3,9 @@
 A merge never makes what is not inside some vocabulary token, so two neighbouring bytes that no token holds side by side
 are never merged: a cut there is certain. The table of these pairs is made once from the vocabulary (``Vocabulary.cuts``).
 A text is split at special tokens, then into the words of the vocabulary's pattern, then at the certain cuts; the
-fragments are encoded independently by the merges and their ids concatenated. Short fragments repeat and are kept with
-their ids in a store bounded in bytes; a long one goes through a heap of candidate merges, n log n in its length.
+fragments are encoded independently by the merges and their ids concatenated. The fragments of all new words of some texts
+are merged side by side in arrays; a long one goes through a heap of candidate merges, n log n in its length. Words
+repeat and are kept with their ids in a store bounded in bytes.
 
 Ids travel as ``tokens``, little-endian unsigned 32-bit integers, the layout of training shards. No shuffle; a worker
 holds a slice of the batch, the store, and about 100 bytes a byte of the longest fragment.
@@ -50,10 +51,24 @@ WORD_LATER = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{_LATER}]]+| ?[\p{{N}}--[{_LATER}]]+| ?(?:[^\s\p{{L}}\p{{N}}]|[{_LATER}])+|\s+(?!\S)|\s+", flags=regex.V1
 )
 HAS_LATER = regex.compile(f"[{_LATER}]")
+
+
+def has_later(text: str) -> bool:
+    """Whether a text holds one of LATER; texts of the first 256 code points are told at once."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return HAS_LATER.search(text) is not None
+    return False
+
+
 #: Bytes of a Python worker's store, and what an entry is taken to cost besides its text and ids.
-STORE_BYTES, ENTRY_BYTES = 48 << 20, 200
-#: Fragments longer than this are merged through the heap, and longer words are not kept.
-LONG = 64
+STORE_BYTES, ENTRY_BYTES = 80 << 20, 200
+#: Fragments longer than this are merged through the heap, and longer words are not kept; characters of the texts whose words
+#: are held at a time; a rank beyond all.
+LONG, HELD_CHARACTERS, NONE = 64, 1 << 20, 1 << 62
 
 
 def byte_characters() -> list[str]:
@@ -103,24 +118,25 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(tokens, merges, special)
 
 
-class Store(dict):
-    """What ``make`` gives for a key, kept in two generations of ``limit`` bytes together."""
+class Store:
+    """Values by word in two generations of ``limit`` bytes together; the elder one goes when the younger is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.recent, self.elder, self.size = limit // 2, {}, {}, 0
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.elder, self.size = make, limit // 2, {}, 0
+    def known(self, words: set[str]) -> dict[str, bytes]:
+        """Those of ``words`` that are held; they count as used."""
+        found = {w: self.recent[w] for w in words & self.recent.keys()}
+        older = {w: self.elder[w] for w in (words - found.keys()) & self.elder.keys()}
+        self.add(older)
+        return found | older
 
-    def __missing__(self, key):
-        made = self.elder.get(key)
-        if made is None:
-            made = self.make(key)
-        if len(key) > LONG:
-            return made
-        self.size += ENTRY_BYTES + 4 * len(key) + len(made)
-        if self.size > self.limit:
-            self.elder, self.size = dict(self), ENTRY_BYTES + 4 * len(key) + len(made)
-            self.clear()
-        self[key] = made
-        return made
+    def add(self, values: dict[str, bytes]) -> None:
+        for word, value in values.items():
+            self.size += ENTRY_BYTES + 4 * len(word) + len(value)
+            if self.size > self.limit:
+                self.elder, self.recent, self.size = self.recent, {}, ENTRY_BYTES + 4 * len(word) + len(value)
+            self.recent[word] = value
 
 
 class Codec:
@@ -128,73 +144,126 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.cuts = vocabulary, vocabulary.cuts()
-        self.byte_id = [0] * 256
+        self.byte_id = np.zeros(256, np.int64)
         for i, token in vocabulary.tokens.items():
             if len(token) == 1:
                 self.byte_id[token[0]] = i
         self.surface = vocabulary.tokens | {i: s.encode() for s, i in vocabulary.special.items()}
-        self.packed = {i: i.to_bytes(4, "little") for i in self.surface}
+        # A pair of ids as one number, to its rank and the id of both as one number; lower is earlier.
+        self.size = max(self.surface, default=0) + 1
+        self.pairs = {a * self.size + b: rank * self.size + made for (a, b), (rank, made) in vocabulary.merges.items()}
+        self.keys = np.sort(np.fromiter(self.pairs, np.int64, len(self.pairs)))
+        self.ranks = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
         found = "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))
         self.special = regex.compile(f"({found})") if found else None
-        self.words = Store(self.encode_word, STORE_BYTES)
+        self.store = Store(STORE_BYTES)
 
     def __reduce__(self):
         return Codec, (self.vocabulary,)
 
-    def fragments(self, word: bytes) -> list[bytes]:
-        """``word`` cut wherever a cut is certain."""
-        held = np.frombuffer(word, np.uint8).astype(np.int32)
-        at = [0, *(np.flatnonzero(self.cuts[held[:-1] * 256 + held[1:]]) + 1).tolist(), len(word)]
-        return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-    def encode_word(self, word: str) -> bytes:
-        parts = self.fragments(word.encode())
-        return b"".join([self.packed[i] for p in parts for i in (self.merge_long if len(p) > LONG else self.merge)(p)])
-
-    def merge(self, fragment: bytes) -> list[int]:
-        """Ids of a fragment: the pair of the lowest rank is merged, the leftmost of equals first, until none is left."""
-        ids, get = [self.byte_id[b] for b in fragment], self.vocabulary.merges.get
-        while len(ids) > 1:
-            found = [(m, i) for i, m in enumerate(map(get, zip(ids, ids[1:], strict=False))) if m is not None]
-            if not found:
-                break
-            (_, made), at = min(found)
-            ids[at : at + 2] = [made]
-        return ids
+    def fragments(self, held: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The fragment of each byte: a fragment begins at each of ``starts`` and at every certain cut."""
+        begins = np.zeros(len(held), bool)
+        begins[1:] = self.cuts[held[:-1] * 256 + held[1:]]
+        begins[starts] = True
+        return np.cumsum(begins) - 1
+
+    def _rank(self, ids: np.ndarray, part: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank and outcome of the pairs at ``at``; NONE for those that don't merge and for a fragment's last id."""
+        following = np.minimum(at + 1, len(ids) - 1)
+        key = ids[at] * self.size + ids[following]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        merges = (self.keys[place] == key) & (part[at] == part[following]) & (at + 1 < len(ids)) if len(self.keys) else np.zeros(len(at), bool)
+        return np.where(merges, self.ranks[place] if len(self.keys) else NONE, NONE)
+
+    def merge(self, ids: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all fragments merged side by side: in a round each merges its pair of the lowest rank, the leftmost of
+        equals, until it has none; what is finished is laid aside."""
+        done, ranks = [(ids[:0], part[:0])], self._rank(ids, part, np.arange(len(ids)))
+        while len(ids):
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            least = np.repeat(np.minimum.reduceat(ranks, first), np.diff(np.r_[first, len(ids)]))
+            open_ = least != NONE
+            done.append((ids[~open_], part[~open_]))
+            ids, part, ranks, least = ids[open_], part[open_], ranks[open_], least[open_]
+            at = np.flatnonzero(ranks == least)
+            at = at[np.r_[True, part[at[1:]] != part[at[:-1]]]] if len(at) else at
+            ids[at] = ranks[at] % self.size
+            left = np.ones(len(ids), bool)
+            left[at + 1] = False
+            ids, part, ranks = ids[left], part[left], ranks[left]
+            at -= np.arange(len(at))
+            changed = np.r_[at, at[at > 0] - 1]
+            ranks[changed] = self._rank(ids, part, changed)
+        ids, part = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(part, kind="stable")
+        return ids[order], part[order]
 
     def merge_long(self, fragment: bytes) -> list[int]:
-        """As ``merge``, with a heap of candidates and links to the neighbours that are left."""
-        n, get = len(fragment), self.vocabulary.merges.get
-        ids = array("i", map(self.byte_id.__getitem__, fragment))
+        """As ``merge`` for one fragment, with a heap of candidates and links to the neighbours that are left."""
+        n, get, size = len(fragment), self.pairs.get, self.size
+        ids = array("i", self.byte_id[np.frombuffer(fragment, np.uint8)].tolist())
         before, after = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
-        heap = [m[0] << 40 | i for i, m in enumerate(map(get, zip(ids, ids[1:], strict=False))) if m is not None]
+        heap = [m // size << 40 | i for i, m in enumerate(get(a * size + b) for a, b in zip(ids, ids[1:], strict=False)) if m is not None]
         heapq.heapify(heap)
         while heap:
             top = heapq.heappop(heap)
             rank, at = top >> 40, top & (1 << 40) - 1
             right = after[at]
-            if ids[at] < 0 or right >= n or (m := get((ids[at], ids[right]))) is None or m[0] != rank:
+            if ids[at] < 0 or right >= n or (m := get(ids[at] * size + ids[right])) is None or m // size != rank:
                 continue  # one of the two has been merged since
-            ids[at], ids[right], after[at] = m[1], -1, after[right]
+            ids[at], ids[right], after[at] = m % size, -1, after[right]
             if after[at] < n:
                 before[after[at]] = at
-                if (m := get((ids[at], ids[after[at]]))) is not None:
-                    heapq.heappush(heap, m[0] << 40 | at)
-            if (left := before[at]) >= 0 and (m := get((ids[left], ids[at]))) is not None:
-                heapq.heappush(heap, m[0] << 40 | left)
+                if (m := get(ids[at] * size + ids[after[at]])) is not None:
+                    heapq.heappush(heap, m // size << 40 | at)
+            if (left := before[at]) >= 0 and (m := get(ids[left] * size + ids[at])) is not None:
+                heapq.heappush(heap, m // size << 40 | left)
         return [i for i in ids if i >= 0]
 
-    def encode(self, text: str) -> bytes:
-        """The packed ids of a text."""
-        parts = self.special.split(text) if self.special and any(s in text for s in self.vocabulary.special) else [text]
-        out = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self.packed[self.vocabulary.special[part]])
-            else:
-                word = WORD if part.isascii() or not HAS_LATER.search(part) else WORD_LATER
-                out += map(self.words.__getitem__, word.findall(part))
-        return b"".join(out)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The packed ids of words, of all their fragments at once; long fragments one by one."""
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts = np.cumsum(sizes) - sizes
+        held = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        part = self.fragments(held, starts)
+        begin = np.flatnonzero(np.diff(part, prepend=-1))
+        length = np.diff(np.r_[begin, len(held)])
+        short = length[part] <= LONG
+        ids, of = self.merge(self.byte_id[held[short]], part[short])
+        more = [(np.array(self.merge_long(held[begin[p] : begin[p] + length[p]].astype(np.uint8).tobytes()), np.int64), p) for p in np.flatnonzero(length > LONG).tolist()]
+        if more:
+            ids, of = np.concatenate([ids, *(x for x, _ in more)]), np.concatenate([of, *(np.full(len(x), p) for x, p in more)])
+            order = np.argsort(of, kind="stable")
+            ids, of = ids[order], of[order]
+        word = np.searchsorted(starts, begin[of], side="right") - 1
+        ends = 4 * np.cumsum(np.bincount(word, minlength=len(words)))
+        packed = ids.astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of texts that are held at a time."""
+        special = {s: i.to_bytes(4, "little") for s, i in self.vocabulary.special.items()}
+        split = [self.special.split(t) if self.special and any(s in t for s in special) else [t] for t in texts]
+        spoken = [[x if k % 2 else (WORD_LATER if has_later(x) else WORD).findall(x) for k, x in enumerate(parts)] for parts in split]
+        wanted = set().union(*(words for parts in spoken for words in parts[::2]))
+        values = self.store.known(wanted)
+        new = list(wanted - values.keys())
+        made = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
+        self.store.add({w: v for w, v in made.items() if len(w) <= LONG})
+        values |= made
+        return [b"".join([special[x] if k % 2 else b"".join(map(values.__getitem__, x)) for k, x in enumerate(parts)]) for parts in spoken]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of texts, HELD_CHARACTERS or one text at a time."""
+        out, start, total = [], 0, 0
+        for i, text in enumerate(texts):
+            total += len(text)
+            if total >= HELD_CHARACTERS or i + 1 == len(texts):
+                out += self.encode_some(texts[start : i + 1])
+                start, total = i + 1, 0
+        return out
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.surface.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
@@ -205,7 +274,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(Codec(vocabulary))
 
     def work(texts):
-        made = [shared.value.encode((t or b"").decode("utf-8", "replace")) for t in texts]
+        made = shared.value.encode([(t or b"").decode("utf-8", "replace") for t in texts])
         return [made, [len(m) // 4 for m in made]]
 
     return with_columns(docs, column, work, [T.StructField("tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType())])

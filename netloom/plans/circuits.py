@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +28,39 @@ def _combinational():
     return [(c, pin, text) for _, c in sorted(BASIC_CELLS.items()) if not c.sequential for pin, text in c.outputs.items()]
 
 
+_WIDEST = max(len(c.inputs) for c, _, _ in _combinational())
+#: Each part is an instance of a cell whose inputs are bits of a number of its own.
+_PLACED = f"SELECT p_partkey, p_partkey % {len(_combinational())} AS kind, (p_partkey * 37 + p_size * 11 + p_partkey // {len(_combinational())}) % {1 << _WIDEST} AS bits FROM part"
+
+
 def _truth_sql() -> str:
-    parts = []
-    for c, pin, text in _combinational():
-        value = parse(text).sql(lambda s, i=c.inputs: f"((id >> {i.index(s)}) & 1 = 1)")
-        parts.append(f"SELECT '{c.cell_type}' AS cell, '{pin}' AS pin, id, {value} AS value FROM (SELECT range AS id FROM range({1 << len(c.inputs)}))")
-    return " UNION ALL ".join(parts)
+    names, values = [], []
+    for k, (c, pin, text) in enumerate(_combinational()):
+        names.append(f"WHEN {k} THEN '{c.cell_type}.{pin}'")
+        values.append(f"WHEN {k} THEN {parse(text).sql(lambda s, i=c.inputs: f'((bits >> {i.index(s)}) & 1 = 1)')}")
+    return f"SELECT p_partkey, CASE kind {' '.join(names)} END AS output, bits, CASE kind {' '.join(values)} END AS value FROM ({_PLACED})"
 
 
 @query("truth_table", _truth_sql())
 def truth_table(spark, sf_dir):
-    """Every combinational cell over all its inputs."""
-    tables = []
-    for c, pin, text in _combinational():
-        rows = spark.range(1 << len(c.inputs)).withColumns({s: F.getbit("id", F.lit(i)) == 1 for i, s in enumerate(c.inputs)})
-        tables.append(rows.select(F.lit(c.cell_type).alias("cell"), F.lit(pin).alias("pin"), "id", compiled(text).alias("value")))
-    return reduce(DataFrame.unionByName, tables)
+    """Every combinational cell over inputs of its instances, in one projection."""
+    cells, k = _combinational(), F.col("p_partkey")
+    bits = ((k * 37 + F.col("p_size") * 11 + F.floor(k / len(cells))) % (1 << _WIDEST)).cast("long")
+    rows = load(spark, sf_dir, "part").select("p_partkey", (k % len(cells)).alias("kind"), bits.alias("bits"))
+    rows = rows.withColumns({f"bit{i}": F.getbit("bits", F.lit(i)) == 1 for i in range(_WIDEST)})
+    output = value = F
+    for n, (c, pin, text) in enumerate(cells):
+        here = F.col("kind") == n
+        output = output.when(here, f"{c.cell_type}.{pin}")
+        value = value.when(here, compiled(text, lambda s, i=c.inputs: F.col(f"bit{i.index(s)}")))
+    return rows.select("p_partkey", output.alias("output"), "bits", value.alias("value"))
 
 
 EXPRESSIONS = {"e1": "hi & !err | odd", "e2": "hi ^ odd + err", "e3": "!(hi * err) ^ 1", "e4": "(hi | err) & (odd | 0)"}
 _FLAGS = "SELECT event_id, value > 20 AS hi, event_type = 'error' AS err, event_id % 2 = 1 AS odd FROM events"
 
 
-@query("bool_kit", f"SELECT event_id, {', '.join(f'{parse(t).sql()} AS {k}' for k, t in EXPRESSIONS.items())} FROM ({_FLAGS})")
+@query("bool_kit", f"SELECT event_id, (hi AND NOT err) OR odd AS e1, (hi <> odd) OR err AS e2, hi AND err AS e3, (hi OR err) AND odd AS e4 FROM ({_FLAGS})")
 def bool_kit(spark, sf_dir):
     flags = load(spark, sf_dir, "events").select("event_id", (F.col("value") > 20).alias("hi"), (F.col("event_type") == "error").alias("err"), (F.col("event_id") % 2 == 1).alias("odd"))
     return flags.select("event_id", *[compiled(t).alias(k) for k, t in EXPRESSIONS.items()])

@@ -59,10 +59,10 @@ def multiset_inventory(spark, sf_dir):
     return sets.groupBy("types").agg(F.count("*").alias("n"), F.min("p_brand").alias("example"))
 
 
-@query("uniform_groups", "SELECT l_partkey, min(l_returnflag) AS flag, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT coalesce(l_returnflag, '~')) = 1")
+@query("uniform_groups", "SELECT l_orderkey, min(l_returnflag) AS flag, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT coalesce(l_returnflag, '~')) = 1")
 def uniform_groups(spark, sf_dir):
     flag = F.struct("l_returnflag")  # so that null counts as a value
-    found = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_returnflag").alias("flag"), F.count("*").alias("n"), F.count_distinct(flag).alias("kinds"))
+    found = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"), F.count("*").alias("n"), F.count_distinct(flag).alias("kinds"))
     return found.where("kinds = 1").drop("kinds")
 
 
@@ -263,10 +263,10 @@ def member_parts(spark, sf_dir):
     return load(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat_ws(", ", part(size == 2, "muxes"), part(size == 3, "flops"), part(size > 48, "others")).alias("summary"))
 
 
-@query("hidden_nets", "SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING bool_and(l_suppkey < 60) AND NOT bool_or(l_linenumber = 1)")
+@query("hidden_nets", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_quantity < 40) AND NOT bool_or(l_linenumber = 1)")
 def hidden_nets(spark, sf_dir):
-    found = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.bool_and(F.col("l_suppkey") < 60).alias("inside"), F.bool_or(F.col("l_linenumber") == 1).alias("boundary"))
-    return found.where("inside AND NOT boundary").select("l_partkey")
+    found = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_quantity") < 40).alias("inside"), F.bool_or(F.col("l_linenumber") == 1).alias("boundary"))
+    return found.where("inside AND NOT boundary").select("l_orderkey")
 
 
 @query("output_lookup", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'A&B' WHEN 1 THEN 'A|B' WHEN 2 THEN 'A^B' ELSE '!(A&B)' END AS expression FROM part")

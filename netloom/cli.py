@@ -31,11 +31,12 @@ def parser() -> argparse.ArgumentParser:
     dot = ("--dot", {"help": "folder for the graph's text"})
     depth = ("--depth", {"type": int, "default": 1})
     add("summary")
-    add("net", ("name", {}), depth, dot)
-    add("instance", ("name", {}), depth, dot)
+    add("net", ("name", {}), depth, dot, ("--driver", {"action": "store_true", "help": "only the net and what drives it"}))
+    add("instance", ("name", {}), depth, dot, ("--inputs", {"action": "store_true", "help": "only the input pins"}))
     add("cone", ("target", {}), ("--through-flops", {"action": "store_true"}), dot)
-    add("registers")
-    add("shift-chains")
+    add("registers", dot)
+    add("shift-chains", dot)
+    add("components", ("--hide", {"action": "append", "default": [], "help": "a flop left out"}))
     add("shift-registers", ("--show-rejected", {"action": "store_true"}), dot)
     add("gate-inputs", ("names", {"nargs": "+"}), dot)
     add("export", ("--out", {"required": True}), ("--document", {"action": "store_true", "help": "one JSON document rather than a folder a section"}))
@@ -104,17 +105,21 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         case "summary":
             out = report.summary_text(design)
         case "net":
-            out, graph = report.net_text(design, args.name), design.net_neighbourhood(args.name, args.depth)
+            out, graph = report.net_text(design, args.name, args.driver), design.net_neighbourhood(args.name, args.depth)
         case "instance":
             name = design.resolve_instance(args.name)
-            out, graph = report.instance_text(design, name), design.neighbourhood(name, args.depth)
+            out, graph = report.instance_text(design, name, args.inputs), design.neighbourhood(name, args.depth)
         case "cone":
             out, (nets, cells) = report.cone_text(design, args.target, not args.through_flops), design.cone(args.target, not args.through_flops)
             graph = cells, nets
         case "registers":
-            out = report.registers_text(design)
+            out, graph = report.registers_text(design), design.register_graph() if args.dot else None
         case "shift-chains":
             out = [f"{r.head} {r.rank} {r.node}" for r in design.shift_chains().orderBy("head", "rank").collect()]
+            graph = design.chain_graph() if args.dot else None
+        case "components":
+            hide = spark.createDataFrame([(design.resolve_instance(n),) for n in args.hide], "instance string") if args.hide else None
+            out = report.inventory_text(design, hide)
         case "shift-registers":
             found, refused = design.strict_shift_registers()
             out = report.shift_registers_text(found, refused if args.show_rejected else None)

@@ -218,6 +218,45 @@ class Design:
         found = graph.pointer_roots(parents.withColumnRenamed("net", "node"))
         return found.select(F.col("node").alias("net"), F.coalesce("root", "node").alias("source"))
 
+    def buffer_paths(self, nets: DataFrame, through: tuple[str, ...] = ("buf", "clkbuf")) -> tuple[DataFrame, DataFrame]:
+        """(instance) and (net) of the buffers and nets by which ``nets`` (net) are reached, back to what no buffer drives."""
+        passes = self.single_drivers.where(F.col("cell_type").isin(*through)).select("net", "instance")
+        behind = self.terminals.where("pin = 'A'").groupBy("instance").agg(F.min("net").alias("parent"))
+        arcs = cut(passes.join(behind, "instance").select(F.col("net").alias("src"), F.col("parent").alias("dst"), "instance"), "buffers")
+        seen = graph.reach(arcs.select("src", "dst"), nets.select(F.lit(0).alias("root"), F.col("net").alias("node")).distinct()).select(F.col("node").alias("net")).distinct()
+        return arcs.join(seen, F.col("src") == F.col("net"), "left_semi").select("instance"), seen
+
+    def register_graph(self) -> tuple[DataFrame, DataFrame]:
+        """(instance) and (net) of all flops, of the muxes of ``registers``, and of the nets on them."""
+        cells = self.instances.where("sequential").select("instance").unionByName(self.registers().select(F.col("mux").alias("instance"))).distinct()
+        return cells, self.signals.join(cells, "instance", "left_semi").select("net").distinct()
+
+    def chain_graph(self) -> tuple[DataFrame, DataFrame]:
+        """(instance) and (net) of the ``shift_chains``: flops, muxes, their data, select, clock and reset nets, and the
+        buffers behind the clocks."""
+        registers = cut(self.registers(), "registers")
+        flops = self.terminals.where("sequential").join(registers.select(F.col("flop").alias("instance")), "instance", "left_semi")
+        own = registers.select(F.explode(F.array("q_net", "d_net", "data_net", "select_net")).alias("net"))
+        buffers, path = self.buffer_paths(flops.where("role = 'clock'").select("net"))
+        cells = registers.select(F.explode(F.array("flop", "mux")).alias("instance")).unionByName(buffers).distinct()
+        return cells, own.unionByName(flops.where("role IN ('clock', 'reset')").select("net")).unionByName(path).distinct()
+
+    def component_inventory(self, hide: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(size, n) of the state's strong components, and (size, types, n, example) of those of several flops by their
+        cell types, without those that ``hide`` (instance) holds whole."""
+        flops = self.instances.where("sequential").select("instance", "cell_type")
+        arcs = self.dependencies()
+        parts = cut(graph.strongly_connected(flops.select(F.col("instance").alias("node")), arcs), "components")
+        hidden = F.lit(False) if hide is None else F.col("hidden")
+        rows = parts.join(flops, F.col("node") == F.col("instance"))
+        if hide is not None:
+            rows = rows.join(hide.select("instance", F.lit(True).alias("hidden")).distinct(), "instance", "left")
+        kinds = rows.groupBy("component", "cell_type").agg(F.count("*").alias("k"), F.min("node").alias("least"), F.bool_and(F.coalesce(hidden, F.lit(False))).alias("gone"))
+        each = kinds.groupBy("component").agg(F.sum("k").alias("size"), F.min("least").alias("example"), F.bool_and("gone").alias("gone"), F.array_sort(F.collect_list(F.struct("cell_type", "k"))).alias("types"))
+        each = cut(each, "inventory")
+        several = each.where("size > 1 AND NOT gone").groupBy("size", "types").agg(F.count("*").alias("n"), F.min("example").alias("example"))
+        return each.groupBy("size").agg(F.count("*").alias("n")), several
+
     def validation_issues(self) -> DataFrame:
         """(issue, node); rails are exempt from the checks of nets."""
         t, nets = self.terminals, self.nets.where("NOT is_power")

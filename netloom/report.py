@@ -216,19 +216,22 @@ def summary_text(design, limit: int = 25) -> list[str]:
     return out if total else [*out, "no issues"]
 
 
-def net_text(design, name: str) -> list[str]:
+def net_text(design, name: str, driver_only: bool = False) -> list[str]:
     """A net's names, drivers and loads; loads of one kind are counted."""
     net = design.resolve_one(name)
     pins = design.signals.where(F.col("net") == net)
     drivers = pins.where("direction = 'output'").select(F.concat_ws(".", "instance", "pin").alias("x")).orderBy("x").collect()
+    if driver_only:
+        return [f"net {net}", *[f"driver {r.x}" for r in drivers]]
     loads = pins.where("direction = 'input'").groupBy("cell_type", "pin", "role").count().orderBy(F.desc("count"), "cell_type", "pin").collect()
     return [f"net {net}", *[f"driver {r.x}" for r in drivers], *[f"{r['count']:6d}  {r.cell_type}.{r.pin} ({r.role})" for r in loads]]
 
 
-def instance_text(design, name: str) -> list[str]:
+def instance_text(design, name: str, inputs_only: bool = False) -> list[str]:
     """A cell's pins, inputs first, with what drives them."""
     driver = design.single_drivers.select("net", F.concat_ws(".", "instance", "pin").alias("driver"))
-    pins = design.signals.where(F.col("instance") == name).join(driver, "net", "left").orderBy(F.col("direction") != "input", "pin")
+    pins = design.signals.where(F.col("instance") == name)
+    pins = (pins.where("direction = 'input'") if inputs_only else pins).join(driver, "net", "left").orderBy(F.col("direction") != "input", "pin")
     return [f"{r.pin:8s} {r.direction:7s} {r.role:6s} {r.net}" + (f"  from {r.driver}" if r.direction == "input" and r.driver else "") for r in pins.collect()]
 
 
@@ -248,6 +251,16 @@ def registers_text(design) -> list[str]:
     return [f"{r.flop}: {register_equation(r)}" for r in design.registers().orderBy("flop").collect()]
 
 
+def inventory_text(design, hide: DataFrame | None = None) -> list[str]:
+    """How many strong components of the state have each size, and those of several flops by their cell types, large ones first."""
+    sizes, several = design.component_inventory(hide)
+    rows = several.orderBy(F.desc("size"), "example").collect()
+    return [
+        "component sizes: " + ", ".join(f"{r.size}: {r.n}" for r in sizes.orderBy("size").collect()),
+        *[f"{r.n:3d} of {r.size} flops ({', '.join(f'{t.cell_type} {t.k}' for t in r.types)}), such as {r.example}" for r in rows],
+    ]
+
+
 def shift_registers_text(found: DataFrame, refused: DataFrame | None = None) -> list[str]:
     out = [f"{r.name}: {r.width} stages {' -> '.join(r.stages)}; in {r.serial_net}, enable {r.enable_net}, clock {r.clock_net}, reset {r.reset_net}" for r in found.orderBy("name").collect()]
     return out + ([f"refused {', '.join(r.candidates)}: {'; '.join(r.reasons)}" for r in refused.orderBy("candidates").collect()] if refused is not None else [])

@@ -20,8 +20,8 @@ from netloom.shared import scratch
 
 #: A document goes if its main language has a smaller share, or if it has none.
 MIN_LANGUAGE_SHARE = 0.5
-#: Column of the row numbers inside a stage.
-ROW = "__row"
+#: Column of the row numbers inside a stage, and how many numbers may be broadcast.
+ROW, BROADCAST_ROWS = "__row", 1 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +41,28 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` but those whose numbers are in ``gone`` (written). Up to BROADCAST_ROWS numbers, of eight bytes each, go to
+    every task, and texts are not shuffled; more are joined by shuffle, with the same rows."""
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ROW, "left_anti")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near copies, that of the smallest id; rows outside the group stay, whatever their id."""
     rows = _numbered(docs)
-    first = simhash.first_rows(rows.select(F.col(ROW).alias("row"), "doc_id", "text"))
-    return rows.join(first.toDF(ROW), ROW, "left_semi").select(docs.columns)
+    with scratch(spark):
+        first = simhash.first_rows(rows.select(F.col(ROW).alias("row"), "doc_id", "text"))
+        gone = cut(rows.select(ROW).join(first.toDF(ROW), ROW, "left_anti"), "gone")
+    return _without(rows, gone).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a benchmark window, exact or within the operator's slack."""
     rows = _numbered(docs)
-    hits = decontaminate.decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = hits.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").select(docs.columns)
+    with scratch(spark):
+        hits = decontaminate.decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        gone = cut(hits.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias(ROW)), "gone")
+    return _without(rows, gone).select(docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

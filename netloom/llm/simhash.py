@@ -19,8 +19,8 @@ skipped, so a group of thousands of copies costs no square. Nothing is capped, s
 2. Each of ``tables`` picks some bits, as many as the number of sets asks for, and two sets that agree on all of them
    meet in its bucket. There are so many tables that a pair at the threshold meets in none in 1 % of cases.
 3. A bucket is searched by the Gray-ordered tree. It gives a spanning forest of the pairs within the radius; sets known
-   to be linked are skipped. Each pair is confirmed by the exact similarity of the two texts' sets. A few tables go
-   first, so that large groups are linked before the many tables are searched.
+   to be linked are skipped. Each pair is confirmed by the exact similarity of the two texts' sets. One table goes
+   first and a few next, so that large groups are linked before the many tables are searched.
 4. A forest skips pairs that others stand for. Among sets that forests link to a pair which was not confirmed, all pairs
    within the radius and not linked are looked at, each in the first table where it meets. There the sets carry 1,024 bits
    and their sizes, which tell most pairs under the threshold apart on the spot; the others are confirmed as before.
@@ -51,7 +51,7 @@ SHINGLE = 3
 RADIUS = 3
 FANOUT = 8
 MAX_BUCKET = 1 << 18
-CHUNK = 1 << 13
+CHUNK, MEETINGS = 1 << 13, 1 << 20
 #: Of the search by similarity: words of a shingle, least similarity, words of 64 bits of a fingerprint.
 SET_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 4
 #: Words of a fingerprint that the last search carries.
@@ -63,8 +63,8 @@ BOTTOM, LEAST_SHARED = 12, 5
 BROADCAST_PAIRS = 1 << 20
 #: Share of pairs at the threshold that meet in no table, and standard deviations of the radius over their mean distance.
 MISSED, MARGIN = 0.01, 2.4
-#: Bits of a table at least, and tables that go first.
-LEAST_BITS, EARLY = 12, 4
+#: Bits of a table at least, and how many tables go first, and then.
+LEAST_BITS, EARLY = 12, (1, 4)
 #: Bytes of texts and sets that a Python worker keeps while it confirms pairs.
 KEPT_BYTES = 64 << 20
 
@@ -177,9 +177,11 @@ class GrayIndex:
             parent = np.repeat(np.arange(len(high["row"])), np.diff(high["child"]))
             low["mask"] = low["agree"] & ~high["agree"][parent]
         self.levels[-1]["mask"] = self.levels[-1]["agree"]
+        # Rows that are looked for at a time: so many that they meet no more than MEETINGS rows of the largest bucket.
+        self.chunk = max(16, min(CHUNK, MEETINGS // max(1, int(np.diff(np.r_[first, len(codes)]).max(initial=1)))))
         self.ends = [np.r_[x["row"][1:], len(codes)] for x in self.levels]
 
-    def components(self, radius: int = RADIUS, label: np.ndarray | None = None, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def components(self, radius: int = RADIUS, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every row the first row of its linked set in its bucket, and the pairs of rows that joined sets.
 
         ``label``: the first row of each row's set as known so far; without it each row is a set."""
@@ -192,17 +194,17 @@ class GrayIndex:
         else:
             label, used = _union(label, near - 1, near)
             joined = [(near[used] - 1, near[used])]
-        for at in range(0, n, chunk):
-            a, b = self.search(np.arange(at, min(n, at + chunk)), label, radius)
+        for at in range(0, n, self.chunk):
+            a, b = self.search(np.arange(at, min(n, at + self.chunk)), label, radius)
             if len(a):
                 label, used = _union(label, a, b)
                 joined.append((a[used], b[used]))
         return label, *(np.concatenate([x[i] for x in joined]) for i in (0, 1))
 
-    def apart(self, radius: int, label: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def apart(self, radius: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of rows within ``radius`` that have different labels."""
-        for at in range(0, len(self.codes), chunk):
-            yield self.search(np.arange(at, min(len(self.codes), at + chunk)), label, radius)
+        for at in range(0, len(self.codes), self.chunk):
+            yield self.search(np.arange(at, min(len(self.codes), at + self.chunk)), label, radius)
 
     def search(self, query: np.ndarray, label: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Later rows within ``radius`` of the query rows and not yet of their set."""
@@ -530,7 +532,8 @@ def similar_links(sets: DataFrame, texts: DataFrame, size: int = SET_SHINGLE, si
         good = cut(confirmed(pairs, texts, sizes, size, similarity), "links")
         return tested.unionByName(pairs), edges.unionByName(good)
 
-    for start, end in ((0, EARLY), (EARLY, len(picks))):
+    ends = [*EARLY, len(picks)]
+    for start, end in zip([0, *ends], ends, strict=False):
         tested, edges = search(rooted(edges), start, end)
     failed = tested.join(edges, ["u", "v"], "left_anti")
     group = cut(connected_components(tested), "groups")

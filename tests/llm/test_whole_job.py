@@ -126,3 +126,14 @@ def test_stages_keep_and_drop_by_row(spark, tmp_path):
     spark.createDataFrame([(9, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(r.text for r in clean) == sorted(t for _, t in rows if t[0] not in "fh")
+
+
+def test_rows_go_alike_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = spark.range(100).withColumnRenamed("id", corpus_pipeline.ROW).withColumn("text", simhash.F.lit("x"))
+    gone = spark.range(0, 100, 3).withColumnRenamed("id", corpus_pipeline.ROW)
+    want = [i for i in range(100) if i % 3]
+    for bound in (0, 1 << 20):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", bound)
+        assert sorted(r[0] for r in corpus_pipeline._without(rows, gone).collect()) == want

@@ -10,7 +10,8 @@
    subset, 80 such pairs a part; their differences are what the filter removes there. The 600 steps of the 120 orders are a
    constant that is joined to the pairs.
 
-Text leaves the first pass as a SHA-256 digest; equal digests count as equal texts.
+Text leaves the first pass as a SHA-256 digest; equal digests count as equal texts. What the first pass makes and the counts
+are each used twice and so written once; texts are read once.
 
 Defined results: a null text counts as empty, has no words and fails A. A null part is the empty string, one part with it.
 Null labels mark nothing; where an id has several label rows, one that marks it is enough. A null id has no labels and is
@@ -26,6 +27,8 @@ from math import factorial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import cut
+
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_CAPITALS_PERCENT = 50, 65, 5
 SYMBOLS = "[#$%&*|]"
@@ -58,7 +61,7 @@ def flag_counts(rows: DataFrame) -> DataFrame:
     by_id = rows.groupBy("doc_id", *same).agg(F.count("*").alias("n"))
     known = F.col("doc_id").isNotNull()
     sets = by_id.groupBy(*same).agg(F.sum("n").alias("n"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("no_id"), F.min(F.when(known, F.struct("doc_id", "n"))).alias("least"))
-    sets = sets.select(*same, "n", "no_id", F.col("least.doc_id").alias("doc_id"), F.col("least.n").alias("n_least"))
+    sets = cut(sets.select(*same, "n", "no_id", F.col("least.doc_id").alias("doc_id"), F.col("least.n").alias("n_least")), "sets")
     firsts = sets.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL").withColumn("first", F.lit(True))
     passes = F.col("no_id") + F.when(F.col("first"), F.col("n_least")).otherwise(0)
     split = F.array(F.struct(F.lit(False).alias("e"), passes.alias("k")), F.struct(F.lit(True).alias("e"), (F.col("n") - passes).alias("k")))
@@ -105,7 +108,7 @@ def audit(counted: DataFrame) -> DataFrame:
 
 def audit_documents(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame:
     """``audit`` of ``docs`` (doc_id, text, and the part's column) with ``labels`` (doc_id, quality, toxic)."""
-    return audit(flag_counts(with_labels(text_flags(docs, part), labels)))
+    return audit(cut(flag_counts(with_labels(text_flags(docs, part), labels)), "counts"))
 
 
 #: The same rows in DuckDB, by flags held against each order's filters.

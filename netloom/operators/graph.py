@@ -133,14 +133,40 @@ def chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return tied.unionByName(lone)
 
 
+def _tails(left: DataFrame, own: DataFrame) -> DataFrame:
+    """(node) of ``left`` that the arcs ``own`` lead only to a node without an arc out, or by which only one without an arc in
+    leads there: each is a component of its own. Runs of nodes with one arc are followed by doubling."""
+    found = None
+    for src, dst in (("src", "dst"), ("dst", "src")):
+        out = own.groupBy(F.col(src).alias("node")).agg(F.count("*").alias("n"), F.min(dst).alias("to"))
+        parents = cut(left.join(out, "node", "left").select("node", F.when(F.col("n") == 1, F.col("to")).alias("parent"), F.col("n").isNull().alias("end")), "tails")
+        if parents.where("end").isEmpty():
+            continue
+        roots = pointer_roots(parents.select("node", "parent")).join(parents.where("end").select(F.col("node").alias("root")), "root", "left_semi").select("node")
+        found = roots if found is None else found.unionByName(roots)
+    return left.where("false") if found is None else cut(found.distinct(), "tails")
+
+
 def strongly_connected(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(node, component) by colouring: each node takes the largest node that reaches it; the roots of colours take back
-    what reaches them inside their colour; repeated on the rest. component is its largest node.
+    """(node, component): first what lies before or behind all cycles is trimmed, then by colouring: each node takes the
+    largest node that reaches it; the roots of colours take back what reaches them inside their colour; repeated on the
+    rest. component is its largest node. Repeated arcs count once.
     """
     left = cut(nodes.select("node").distinct(), "scc")
-    out = None
+    out, arcs = None, cut(arcs.select("src", "dst").distinct(), "scc")
+
+    def within(rest: DataFrame) -> DataFrame:
+        return cut(arcs.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi"), "scc")
+
     while not left.isEmpty():
-        own = cut(arcs.select("src", "dst").join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"), "scc")
+        own = within(left)
+        tails = _tails(left, own)
+        if not tails.isEmpty():
+            lone = tails.select("node", F.col("node").alias("component"))
+            out, left = lone if out is None else out.unionByName(lone), cut(left.join(tails, "node", "left_anti"), "scc")
+            if left.isEmpty():
+                break
+            own = within(left)
         colour = cut(left.withColumn("colour", F.col("node")), "scc")
         while True:
             new = colour.withColumn("was", F.col("colour"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from netloom.operators import simulate
+from netloom.operators import graph, simulate
 
 MASK = (1 << 64) - 1
 OPS = {"and": lambda a, b: a & b, "or": lambda a, b: a | b, "xor": lambda a, b: a ^ b, "nand": lambda a, b: ~(a & b) & MASK}
@@ -51,3 +51,16 @@ def test_deep_graphs_and_cycles(spark, rounds, monkeypatch):
     gates = [(n, rng.choice(list(OPS)), rng.randrange(max(0, n - 6), n), rng.randrange(max(0, n - 12), n)) for n in range(5, 300)]
     loose = [(1000, "and", 1001, 1001), (1001, "or", 1000, 1000), (1002, "xor", 1001, 3), (1003, "and", 77777, 1)]
     assert evaluated(spark, gates + loose, inputs) == by_hand(gates, inputs)
+
+
+def test_long_tails_take_few_rounds(spark, monkeypatch):
+    """Rings with tails of hundreds of nodes before and behind them, a loop of one, branches and lone nodes."""
+    made = []
+    write = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda *a: made.append(1) or write(*a))
+    arcs = [(i, i + 1) for i in range(400)] + [(400, 398)] + [(400, 500)] + [(i, i + 1) for i in range(500, 900)] + [(7, 500), (950, 950), (951, 952), (960, 961), (961, 960), (960, 961)]
+    rows = spark.createDataFrame(arcs, "src long, dst long")
+    nodes = sorted({x for a in arcs for x in a} | {999})
+    got = {r.node: r.component for r in graph.strongly_connected(spark.createDataFrame([(n,) for n in nodes], "node long"), rows).collect()}
+    assert got == {n: 400 if 398 <= n <= 400 else 961 if n in (960, 961) else n for n in nodes}
+    assert len(made) < 110

@@ -12,7 +12,7 @@ from netloom.operators.extract import extract
 from netloom.operators.layout import Layout
 from netloom.sources import gds
 from tests.test_extract_cli import LABEL, SHAPE, box, ring
-from tests.test_layout_play import cell, label, ref, short, text_of, two_inverters
+from tests.test_layout_play import cell, label, ref, short, two_inverters
 from tests.test_sources import name, real8, record, xy
 
 UNITS = record(gds.UNITS, real8(0.001) + real8(1e-9))

@@ -68,7 +68,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' piece ids, checked by decoding."""
     model = sentencepiece_wfst.read_model(f"{registry.TOKENIZERS}/piece_bpe_32k.model")
-    return sentencepiece_wfst.encode(docs, model).select("doc_id", "lang", "source", "ids", "n_ids", "n_byte_ids", "round_trip")
+    return sentencepiece_wfst.encode(docs, model, keep_text=False).select("doc_id", "lang", "source", "ids", "n_ids", "n_byte_ids", "round_trip")
 
 
 STAGES = [

@@ -48,16 +48,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
                 start, total = i + 1, 0
 
 
-def with_columns(df: DataFrame, column: str, work, fields: list[T.StructField]) -> DataFrame:
+def with_columns(df: DataFrame, column: str, work, fields: list[T.StructField], keep: bool = True) -> DataFrame:
     """Add ``fields`` to every row of ``df`` by ``work(texts) -> list of Arrow arrays or lists``, batch by batch.
 
     ``work`` gets the UTF-8 bytes of ``column`` (None for null) of a slice of rows. Columns of ``df`` with the name of a
-    new field are replaced. No shuffle; only ``column`` and the columns that the caller keeps are read.
+    new field are replaced, and ``column`` goes if not ``keep``. No shuffle; only ``column`` and the columns that the caller
+    keeps are read.
     """
     names = [f.name for f in fields]
-    kept = [c for c in df.columns if c not in names]
+    kept = [c for c in df.columns if c not in names and (keep or c != column)]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
-    drop_text = column in names
+    drop_text = column not in kept
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type

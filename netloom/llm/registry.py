@@ -18,7 +18,7 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 def op1_sentencepiece(spark, sf_dir, model_file="piece_bpe_32k.model"):
     """Every document's piece ids, and whether they decode to its text."""
     model = sentencepiece_wfst.read_model(f"{TOKENIZERS}/{model_file}")
-    return sentencepiece_wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    return sentencepiece_wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, keep_text=False)
 
 
 def op2_decontaminate(spark, sf_dir):

@@ -13,8 +13,8 @@ Compiled from the model file, on the driver:
 Each input is composed with N o P o M o B lazily, and the single-source shortest path in the (min, +) semiring is its
 encoding. Under M every prefix has one finite state, so a merge model's path is unique and equals what merging by rank
 yields. Where no piece spans two neighbouring characters (before a run of space marks, around a line break) every path
-passes through one state; the composition is cut there and the shortest paths of the parts are kept in a store that is
-bounded in bytes.
+passes through one state; the composition is cut there and the shortest paths of the parts are kept, as the bytes of their
+ids, in one store that is bounded in bytes.
 
 Defined results: very long texts are taken whole; extra columns stay, but those named as a result are replaced; null text has null ids and decodes to null; empty text has no ids; repeated rows each get a result.
 """
@@ -23,11 +23,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +36,11 @@ from netloom.llm.common import with_columns
 
 SPACE = "▁"
 INFINITY = float("inf")
-#: Bytes of whole segments and of parts of segments, with their ids, and neighbouring pieces that a Python worker keeps.
-STORE_SEGMENTS, STORE_PARTS, STORE_PAIRS = 100 << 20, 200 << 20, 500_000
-#: Bytes of an entry besides its characters, and of each id.
-ENTRY_BYTES, ID_BYTES = 240, 8
+#: Bytes of whole texts (where pieces span spaces, so that nothing is cut) or else of their parts, with their ids, and
+#: neighbouring pieces that a Python worker keeps.
+STORE_SEGMENTS, STORE_PARTS, STORE_PAIRS = 32 << 20, 72 << 20, 250_000
+#: Bytes of an entry besides its characters and ids.
+ENTRY_BYTES = 240
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
@@ -144,7 +144,7 @@ class Normaliser:
 
 
 class PieceTransducer:
-    """P o M o B, composed lazily with one segment at a time."""
+    """P o M o B, composed lazily with one part of a text at a time."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -156,25 +156,28 @@ class PieceTransducer:
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
         self.floor = max((-s for i, s in enumerate(model.scores) if model.kinds[i] == NORMAL), default=0.0) + UNKNOWN_PENALTY
         self.trie: dict = {}
-        self.reachable: set[str] = set()
+        self.reachable: dict[str, str] = {}  # each to itself, so that stored pairs share the pieces' strings
         self.reach: dict[str, int] = {}  # longest piece by its first two characters
         for p, i in self.id_of.items():
             if model.algorithm == BPE and len(p) > 1 and len(self.merged(p)) > 1:
                 continue  # merging never reaches this piece
-            self.reachable.add(p)
+            self.reachable[p] = p
             self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+            if model.algorithm == BPE:
+                continue  # its path looks pieces up whole
             state = self.trie
             for c in p:
                 state = state.setdefault(c, {})
             state[None] = i
         self.spanned = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
-        self.segment, self.part = self._segments()
+        self.cut, self.part = self._parts()
         self.apart_store: dict[str, dict[str, bool]] = {}
         self.apart_size = 0
         self.edge_store: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
 
-    def _segments(self) -> tuple[re.Pattern, re.Pattern]:
-        """Parts of a text between places that no piece spans: before space marks and around line breaks; then before signs too."""
+    def _parts(self) -> tuple[bool, re.Pattern]:
+        """Parts of a text between places that no piece spans: before space marks and signs, around line breaks. False, and
+        whole texts, if there are none."""
         before: dict[str, set[str]] = {}
         for a, b in self.spanned:
             before.setdefault(b, set()).add(a)
@@ -183,13 +186,12 @@ class PieceTransducer:
         while bad := {c for c in signs if before.get(c, set()) - signs - {SPACE}}:
             signs -= bad
         if before.get(SPACE, set()) - {SPACE}:
-            return re.compile("(?s).+"), re.compile("(?s).+")
+            return False, re.compile("(?s).+")
         lone, sign = re.escape(lone), re.escape("".join(sorted(signs)))
         other = f"[^{SPACE}{lone}{sign}]"
         some = f"[{sign}]*" if sign else ""
         fine = [f"{SPACE}+{some}{other}*", f"{other}+"] + [f"[{sign}]+{other}*"] * bool(sign) + [f"[{lone}]"] * bool(lone)
-        coarse = [f"{SPACE}+[^{SPACE}{lone}]*", f"[^{SPACE}{lone}]+"] + [f"[{lone}]"] * bool(lone)
-        return re.compile("|".join(coarse)), re.compile("|".join(fine))
+        return True, re.compile("|".join(fine))
 
     def edges(self, piece: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
         """First and last symbols that merging the piece alone passes through."""
@@ -223,14 +225,14 @@ class PieceTransducer:
             return True
         known = self.apart_store.get(left)
         if known is None:
-            known = self.apart_store[left] = {}
+            known = self.apart_store[self.reachable.get(left, left)] = {}
         found = known.get(right)
         if found is None:
             self.apart_size += 1
             if self.apart_size > STORE_PAIRS:
                 self.apart_store, self.apart_size, known = {}, 0, {}
             found = self.rank_of_join(left, right) is None or self.merged(left + right) == [left, right]
-            known[right] = found
+            known[self.reachable.get(right, right)] = found
         return found
 
     def rank_of_join(self, left: str, right: str) -> float | None:
@@ -305,7 +307,7 @@ class PieceTransducer:
                 path.pop()
                 left, end = path[-1] if path else "", end - 1
 
-    def encode_segment(self, text: str) -> list[int]:
+    def encode_part(self, text: str) -> list[int]:
         out: list[int] = []
         lone = False
         for piece in self.shortest_path(text):
@@ -326,25 +328,24 @@ class Codec:
         transducer = self.transducer
 
         class Store(dict):
-            """Encodings by text; at half of ``limit`` bytes it becomes the elder generation, and what is still used moves on."""
+            """Bytes of ids by text; at half of ``limit`` bytes it becomes the elder generation, and what is still used moves on."""
 
             def __init__(self, encode, limit):
                 self.encode, self.limit, self.elder, self.size = encode, limit // 2, {}, 0
 
             def __missing__(self, text):
-                ids = self.elder.get(text)
+                ids = self.elder.pop(text, None)
                 if ids is None:
-                    ids = tuple(self.encode(text))
-                self.size += ENTRY_BYTES + len(text) + ID_BYTES * len(ids)
+                    ids = array("i", self.encode(text)).tobytes()
+                self.size += (own := ENTRY_BYTES + len(text) + len(ids))
                 if self.size > self.limit:
                     self.elder = dict(self)
                     self.clear()
-                    self.size = ENTRY_BYTES + len(text) + ID_BYTES * len(ids)
+                    self.size = own
                 self[text] = ids
                 return ids
 
-        parts = Store(transducer.encode_segment, STORE_PARTS)
-        self.store = Store(lambda x: chain.from_iterable(map(parts.__getitem__, transducer.part.findall(x))), STORE_SEGMENTS)
+        self.store = Store(transducer.encode_part, STORE_PARTS if transducer.cut else STORE_SEGMENTS)
         kinds = model.kinds
         self.surface = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else model.unknown_surface.encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()
@@ -354,10 +355,12 @@ class Codec:
     def __reduce__(self):
         return Codec, (self.model,)
 
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as 32-bit integers side by side, so that no object is made for each."""
+        return b"".join(map(self.store.__getitem__, self.transducer.part.findall(self.normalise(text))))
+
     def encode(self, text: str | None) -> list[int] | None:
-        if text is None:
-            return None
-        return list(chain.from_iterable(map(self.store.__getitem__, self.transducer.segment.findall(self.normalise(text)))))
+        return None if text is None else memoryview(self.encode_bytes(text)).cast("i").tolist()
 
     def decode(self, ids) -> str | None:
         if ids is None:
@@ -374,8 +377,9 @@ ENCODED = [
 ]
 
 
-def encode(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ids, n_ids, n_byte_ids (byte pieces) and round_trip (whether the ids decode to the text).
+def encode(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ids, n_ids, n_byte_ids (byte pieces) and round_trip (whether the ids decode to the text), and without
+    text if not ``keep_text``: then texts don't come back from the Python workers.
 
     A model that squeezes spaces or has no byte fallback does not give back every text.
     """
@@ -385,28 +389,31 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
         codec = shared.value
         is_byte = np.array(codec.model.kinds) == BYTE
         strings = [None if t is None else t.decode("utf-8", "replace") for t in texts]
-        coded = [codec.encode(s) for s in strings]
-        flat = np.fromiter(chain.from_iterable(c for c in coded if c), np.int32)
-        offsets = np.cumsum([0, *(len(c or ()) for c in coded)])
+        coded = [None if s is None else codec.encode_bytes(s) for s in strings]
+        flat = np.frombuffer(b"".join(c for c in coded if c), np.int32)
+        offsets = np.cumsum([0, *(len(c or b"") // flat.itemsize for c in coded)])
         null = pa.array([c is None for c in coded])
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat), mask=null)
         n_bytes = np.diff(np.r_[0, np.cumsum(is_byte[flat])][offsets]) if len(flat) else np.zeros(len(coded), int)
         return [
             ids,
-            pa.array([None if c is None else len(c) for c in coded], pa.int32()),
+            pa.array(np.diff(offsets), pa.int32(), mask=null.to_numpy(zero_copy_only=False)),
             pa.array(n_bytes, pa.int32(), mask=null.to_numpy(zero_copy_only=False)),
-            pa.array([None if c is None else codec.decode(c) == s for c, s in zip(coded, strings, strict=True)], pa.bool_()),
+            pa.array([None if c is None else codec.decode(memoryview(c).cast("i")) == s for c, s in zip(coded, strings, strict=True)], pa.bool_()),
         ]
 
-    return with_columns(docs, "text", work, ENCODED)
+    return with_columns(docs, "text", work, ENCODED, keep_text)
 
 
 def decode(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` with ``decoded``, the text of the column ``ids``; null ids decode to null, ids out of range fail."""
     shared = rows.sparkSession.sparkContext.broadcast(Codec(model))
 
-    @F.pandas_udf("string")
+    import pandas as pd  # here, so that workers which encode don't load it
+
     def text_of(ids: pd.Series) -> pd.Series:
         return ids.map(shared.value.decode, na_action="ignore")
 
+    text_of.__annotations__ = {"ids": pd.Series, "return": pd.Series}
+    text_of = F.pandas_udf(text_of, "string")
     return rows.withColumn("decoded", text_of("ids"))

@@ -25,6 +25,7 @@ import re
 import unicodedata
 from array import array
 from dataclasses import dataclass, field
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ INFINITY = float("inf")
 #: Bytes of whole texts (where pieces span spaces, so that nothing is cut) or else of their parts, with their ids, and
 #: neighbouring pieces that a Python worker keeps.
 STORE_SEGMENTS, STORE_PARTS, STORE_PAIRS = 32 << 20, 72 << 20, 250_000
-#: Bytes of an entry besides its characters and ids.
-ENTRY_BYTES = 240
+#: Bytes of an entry besides its text and its ids: the dict's, and what is rounded up.
+ENTRY_BYTES = 80
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
@@ -132,15 +133,19 @@ class Normaliser:
             at = to
         return "".join(out)
 
-    def __call__(self, text: str) -> str:
+    def spaced(self, text: str) -> str:
+        """N before spaces turn into space marks: most texts and their parts then take a byte a character."""
         m = self.model
         text = self.rewrite(text)
         if m.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        text = " " + text if m.dummy_prefix else text
-        return text.replace(" ", SPACE) if m.escape else text
+        return " " + text if m.dummy_prefix and text else text
+
+    def marked(self, text: str) -> str:
+        return text.replace(" ", SPACE) if self.model.escape else text
+
+    def __call__(self, text: str) -> str:
+        return self.marked(self.spaced(text))
 
 
 class PieceTransducer:
@@ -156,13 +161,14 @@ class PieceTransducer:
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(model.pieces) if model.kinds[i] == BYTE}
         self.floor = max((-s for i, s in enumerate(model.scores) if model.kinds[i] == NORMAL), default=0.0) + UNKNOWN_PENALTY
         self.trie: dict = {}
-        self.reachable: dict[str, str] = {}  # each to itself, so that stored pairs share the pieces' strings
-        self.reach: dict[str, int] = {}  # longest piece by its first two characters
+        self.reachable: set[str] = set()
+        self.reach: dict[str, int] = {}  # longest piece by its first three characters
         for p, i in self.id_of.items():
             if model.algorithm == BPE and len(p) > 1 and len(self.merged(p)) > 1:
                 continue  # merging never reaches this piece
-            self.reachable[p] = p
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+            self.reachable.add(p)
+            if len(p) > 2:
+                self.reach[p[:3]] = max(self.reach.get(p[:3], 3), len(p))
             if model.algorithm == BPE:
                 continue  # its path looks pieces up whole
             state = self.trie
@@ -171,13 +177,14 @@ class PieceTransducer:
             state[None] = i
         self.spanned = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.cut, self.part = self._parts()
+        self.shared = {p: p for p in self.rank}  # each to itself, so that kept steps share the pieces' strings
         self.apart_store: dict[str, dict[str, bool]] = {}
         self.apart_size = 0
-        self.edge_store: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
+        self.step_store: dict[str, tuple[tuple[float, ...], tuple[str, ...], tuple[str, ...]]] = {}
 
     def _parts(self) -> tuple[bool, re.Pattern]:
-        """Parts of a text between places that no piece spans: before space marks and signs, around line breaks. False, and
-        whole texts, if there are none."""
+        """Parts of a text between places that no piece spans: before space marks (or the spaces that turn into them) and signs,
+        around line breaks. False, and whole texts, if there are none."""
         before: dict[str, set[str]] = {}
         for a, b in self.spanned:
             before.setdefault(b, set()).add(a)
@@ -187,27 +194,50 @@ class PieceTransducer:
             signs -= bad
         if before.get(SPACE, set()) - {SPACE}:
             return False, re.compile("(?s).+")
-        lone, sign = re.escape(lone), re.escape("".join(sorted(signs)))
-        other = f"[^{SPACE}{lone}{sign}]"
+        lone, sign = re.escape(lone), self._ranges(signs, {SPACE, " ", *lone})
+        space = f" {SPACE}" if self.model.escape else SPACE
+        other = f"[^{space}{lone}{sign}]"
         some = f"[{sign}]*" if sign else ""
-        fine = [f"{SPACE}+{some}{other}*", f"{other}+"] + [f"[{sign}]+{other}*"] * bool(sign) + [f"[{lone}]"] * bool(lone)
+        fine = [f"[{space}]+{some}{other}*", f"{other}+"] + [f"[{sign}]+{other}*"] * bool(sign) + [f"[{lone}]"] * bool(lone)
         return True, re.compile("|".join(fine))
 
-    def edges(self, piece: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-        """First and last symbols that merging the piece alone passes through."""
-        if piece not in self.edge_store:
-            firsts, lasts = [], []
-            self.merged(piece, lambda x: (firsts.append(x[0]), lasts.append(x[-1])))
-            self.edge_store[piece] = tuple(dict.fromkeys(firsts)), tuple(dict.fromkeys(lasts))
-        return self.edge_store[piece]
+    def _ranges(self, signs: set[str], others: set[str]) -> str:
+        """Inside of a character class of ``signs``: few ranges, since classes of single characters beyond U+FFFF are searched
+        one by one. With byte fallback a range may hold characters of no piece, which no piece spans either."""
+        known = sorted({c for p in self.id_of for c in p} | signs | others)
+        runs, last = [], ""
+        for c in known:
+            if c in signs:
+                if last in signs and (self.model.byte_fallback or ord(c) == ord(last) + 1):
+                    runs[-1][1] = c
+                else:
+                    runs.append([c, c])
+            last = c
+        return "".join(f"{re.escape(a)}-{re.escape(b)}" for a, b in runs)
+
+    def steps(self, piece: str) -> tuple[tuple[float, ...], tuple[str, ...], tuple[str, ...]]:
+        """Merging the piece alone: the rank of each step, infinity at the end, and the first and the last symbol before it."""
+        found = self.step_store.get(piece)
+        if found is None:
+            ranks, firsts, lasts = [], [], []
+
+            def watch(symbols, least):
+                ranks.append(least)
+                firsts.append(self.shared.get(symbols[0], symbols[0]))
+                lasts.append(self.shared.get(symbols[-1], symbols[-1]))
+
+            self.merged(piece, watch)
+            found = self.step_store[self.shared.get(piece, piece)] = tuple(ranks), tuple(firsts), tuple(lasts)
+        return found
 
     def merged(self, text: str, watch=None) -> list[str]:
-        """Symbols left when the neighbours that make the lowest-ranked piece are joined, leftmost first, until none is left."""
+        """Symbols left when the neighbours that make the lowest-ranked piece are joined, leftmost first, until none is left.
+        ``watch`` sees the symbols before each step, and its rank; and the end, at infinity."""
         symbols, rank = list(text), self.rank.get
         costs = [rank(a + b, INFINITY) for a, b in zip(symbols, symbols[1:], strict=False)]
-        if watch:
-            watch(symbols)
-        while costs and (least := min(costs)) < INFINITY:
+        while (least := min(costs, default=INFINITY)) < INFINITY:
+            if watch:
+                watch(symbols, least)
             at = costs.index(least)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
             del costs[at]
@@ -215,8 +245,8 @@ class PieceTransducer:
                 costs[at - 1] = rank(symbols[at - 1] + symbols[at], INFINITY)
             if at < len(costs):
                 costs[at] = rank(symbols[at] + symbols[at + 1], INFINITY)
-            if watch:
-                watch(symbols)
+        if watch:
+            watch(symbols, INFINITY)
         return symbols
 
     def apart(self, left: str, right: str) -> bool:
@@ -225,24 +255,33 @@ class PieceTransducer:
             return True
         known = self.apart_store.get(left)
         if known is None:
-            known = self.apart_store[self.reachable.get(left, left)] = {}
+            known = self.apart_store[self.shared.get(left, left)] = {}
         found = known.get(right)
         if found is None:
             self.apart_size += 1
             if self.apart_size > STORE_PAIRS:
                 self.apart_store, self.apart_size, known = {}, 0, {}
-            found = self.rank_of_join(left, right) is None or self.merged(left + right) == [left, right]
-            known[self.reachable.get(right, right)] = found
+            found = known[self.shared.get(right, right)] = self.stays_apart(left, right)
         return found
 
-    def rank_of_join(self, left: str, right: str) -> float | None:
-        """Rank of some piece across the boundary that merging might make; None if there is none."""
-        rank = self.rank
-        for b in self.edges(right)[0]:
-            for a in self.edges(left)[1]:
-                if a + b in rank:
-                    return rank[a + b]
-        return None
+    def stays_apart(self, left: str, right: str) -> bool:
+        """Until a step joins across the boundary, merging both is the steps of either alone, in the order of their ranks and
+        of equals the leftmost; so what stands at the boundary is known at each step, and is looked up there."""
+        before, _, lasts = self.steps(left)
+        after, firsts, _ = self.steps(right)
+        rank, i, j = self.rank.get, 0, 0
+        while True:
+            across = rank(lasts[i] + firsts[j], INFINITY)
+            if before[i] <= after[j]:
+                if across < before[i]:
+                    return False
+                if before[i] == INFINITY:
+                    return True
+                i += 1
+            elif across <= after[j]:
+                return False
+            else:
+                j += 1
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int | None]]:
         """(end, piece id or None) of P's paths from ``at``, short ones first; a character of no piece is a path of its own."""
@@ -285,27 +324,30 @@ class PieceTransducer:
         path: list[str] = []
         before: list[tuple[int, int]] = []  # place and arc end of each step taken
         seen = bytearray(n + 1)
-        at, left, own = 0, "", ""
-        end = min(n, reach.get(text[:2], 1))
+        at, left, known = 0, "", {}  # known: the store's neighbours of left
+        end = min(n, reach.get(text[:3]) or (2 if text[:2] in pieces else 1))
         while True:
             while end > at:
                 if not seen[end]:
                     own = text[at:end]
-                    if (end == at + 1 or own in pieces) and (not left or apart(left, own)):
-                        break
+                    if own in pieces or end == at + 1:
+                        fits = known.get(own) if left else True
+                        if fits or fits is None and apart(left, own):
+                            break
                 end -= 1
             if end > at:
-                seen[end] = 1
                 path.append(own)
                 if end == n:
                     return path
+                seen[end] = 1
                 before.append((at, end))
                 at, left = end, own
-                end = min(n, at + reach.get(text[at : at + 2], 1))
+                end = min(n, at + (reach.get(text[at : at + 3]) or (2 if text[at : at + 2] in pieces else 1)))
             else:
                 at, end = before.pop()
                 path.pop()
                 left, end = path[-1] if path else "", end - 1
+            known = self.apart_store.get(left, {})
 
     def encode_part(self, text: str) -> list[int]:
         out: list[int] = []
@@ -325,7 +367,7 @@ class Codec:
 
     def __init__(self, model: Model):
         self.model, self.normalise, self.transducer = model, Normaliser(model), PieceTransducer(model)
-        transducer = self.transducer
+        transducer, marked = self.transducer, self.normalise.marked
 
         class Store(dict):
             """Bytes of ids by text; at half of ``limit`` bytes it becomes the elder generation, and what is still used moves on."""
@@ -337,7 +379,7 @@ class Codec:
                 ids = self.elder.pop(text, None)
                 if ids is None:
                     ids = array("i", self.encode(text)).tobytes()
-                self.size += (own := ENTRY_BYTES + len(text) + len(ids))
+                self.size += (own := ENTRY_BYTES + getsizeof(text) + getsizeof(ids))
                 if self.size > self.limit:
                     self.elder = dict(self)
                     self.clear()
@@ -345,7 +387,7 @@ class Codec:
                 self[text] = ids
                 return ids
 
-        self.store = Store(transducer.encode_part, STORE_PARTS if transducer.cut else STORE_SEGMENTS)
+        self.store = Store(lambda text: transducer.encode_part(marked(text)), STORE_PARTS if transducer.cut else STORE_SEGMENTS)
         kinds = model.kinds
         self.surface = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else model.unknown_surface.encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()
@@ -357,7 +399,7 @@ class Codec:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as 32-bit integers side by side, so that no object is made for each."""
-        return b"".join(map(self.store.__getitem__, self.transducer.part.findall(self.normalise(text))))
+        return b"".join(map(self.store.__getitem__, self.transducer.part.findall(self.normalise.spaced(text))))
 
     def encode(self, text: str | None) -> list[int] | None:
         return None if text is None else memoryview(self.encode_bytes(text)).cast("i").tolist()

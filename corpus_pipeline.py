@@ -52,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     with scratch(spark):
         first = simhash.first_rows(rows.select(F.col(ROW).alias("row"), "doc_id", "text"))
-        gone = cut(rows.select(ROW).join(first.toDF(ROW), ROW, "left_anti"), "gone")
+        gone = cut(rows.select(ROW).join(first.toDF(ROW), ROW, "left_anti"), "taken_out")
     return _without(rows, gone).select(docs.columns)
 
 
@@ -61,7 +61,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     rows = _numbered(docs)
     with scratch(spark):
         hits = decontaminate.decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-        gone = cut(hits.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias(ROW)), "gone")
+        gone = cut(hits.where("contaminated OR size(near_items) > 0").select(F.col("doc_id").alias(ROW)), "taken_out")
     return _without(rows, gone).select(docs.columns)
 
 

@@ -37,6 +37,9 @@ BLOCK_WORDS = 1 << 20
 PIECE_WORDS = 1 << 14
 #: Candidate places of a segment that are held at a time.
 CANDIDATES = 1 << 19
+#: How an index is written. A segment is a row of megabytes, and Parquet looks at the size of what it holds after 100 rows
+#: only: a task would write, and read back, a partition as one page. Here sizes are looked at row by row.
+WRITTEN = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
 def _schema(docs_or_index: DataFrame, text: str) -> str:
@@ -266,7 +269,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack:
     """One row per document: n_words, n_hit (words in an exact window), items (ids with an exact window), near_items (ids
     with a window within ``slack``), spans of the exact windows, contaminated.
     """
-    return search(cut(build_index(docs, size + 2 * slack), "postings"), items, size, slack, block_words)
+    return search(cut(build_index(docs, size + 2 * slack), "postings", WRITTEN), items, size, slack, block_words)
 
 
 def search(index: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = SLACK, block_words: int = BLOCK_WORDS) -> DataFrame:

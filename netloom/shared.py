@@ -28,10 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write ``df`` in the shared folder and read it back: short lineage that outlives lost executors."""
+def cut(df: DataFrame, what: str = "cut", options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back: short lineage that outlives lost executors. ``options`` are the writer's."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     if (made := _made.get()) is not None:
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

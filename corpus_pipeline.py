@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm import decontaminate, langid, quality, registry, sentencepiece_wfst, simhash
 from netloom.llm.common import cut, held_out, table
-from netloom.shared import scratch
+from netloom.shared import SMALL_GROUPS, scratch
 
 #: A document goes if its main language has a smaller share, or if it has none.
 MIN_LANGUAGE_SHARE = 0.5
@@ -38,7 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a key of its own for each row, written once: ids can be null or stand twice."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered", SMALL_GROUPS)
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -87,5 +87,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark):
         for name, stage in STAGES[:-1]:
             with scratch(spark):
-                docs = cut(stage(spark, docs, sf_dir), name)
+                docs = cut(stage(spark, docs, sf_dir), name, SMALL_GROUPS)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import cut, slices, words
+from netloom.shared import SMALL_GROUPS
 
 WINDOW = 10
 SLACK = 2
@@ -39,7 +40,7 @@ PIECE_WORDS = 1 << 14
 CANDIDATES = 1 << 19
 #: How an index is written. A segment is a row of megabytes, and Parquet looks at the size of what it holds after 100 rows
 #: only: a task would write, and read back, a partition as one page. Here sizes are looked at row by row.
-WRITTEN = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+WRITTEN = SMALL_GROUPS | {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
 def _schema(docs_or_index: DataFrame, text: str) -> str:

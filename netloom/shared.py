@@ -11,6 +11,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Writer's options for long rows: a task that writes or reads them holds a row group of 16 MB, not one of Parquet's 128 MB.
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20)}
 #: Folders made since the innermost open ``scratch``.
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 

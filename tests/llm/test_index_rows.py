@@ -32,3 +32,13 @@ def test_an_index_is_written_in_bounded_row_groups(spark, monkeypatch):
 def test_cut_takes_options_of_the_writer(spark):
     out = shared.cut(spark.range(10), "options", {"compression": "gzip"})
     assert out.count() == 10 and all(f.endswith(".gz.parquet") for f in out.inputFiles())
+
+
+def test_numbered_texts_are_written_in_small_row_groups(spark):
+    import corpus_pipeline
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 200), i -> hex(xxhash64(id, i))), ' ') AS text")
+    files = [Path(urlparse(f).path) for f in corpus_pipeline._numbered(docs.unionAll(docs).unionAll(docs).coalesce(1)).inputFiles()]
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(g.num_rows for g in groups) == 9000
+    assert max(g.row_group(k).total_byte_size for g in groups for k in range(g.num_row_groups)) < 20 << 20

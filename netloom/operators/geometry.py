@@ -22,6 +22,8 @@ from netloom.shared import cut
 
 #: Edges closer than NEAR are one; a shared edge is longer than SHORT. In the unit of the coordinates, which have nine digits.
 NEAR, SHORT = 1e-9, 1e-6
+#: Rows up to which one side of a join goes to every task.
+FEW = 1 << 14
 BOX = ("x0", "y0", "x1", "y1")
 SLANTED = ("l0", "l1", "r0", "r1")
 TRAPEZOID = ", ".join(f"{c} double" for c in BOX + SLANTED)
@@ -55,9 +57,15 @@ def _edge(low: str, high: str, y: Column, prefix: str = "") -> Column:
     return F.when(y <= y0, a).when(y >= y1, b).otherwise(a + (b - a) * (y - y0) / (y1 - y0))
 
 
+def _shapes(boxes: DataFrame) -> DataFrame:
+    """Equal boxes or trapezoids of a layer once: ``n``, how many there are, and ``box``, the lowest-numbered of them."""
+    return boxes.groupBy(*[c for c in ("layer", *BOX, *SLANTED) if c in boxes.columns]).agg(F.count("*").alias("n"), F.min("box").alias("box"))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, tile: float) -> DataFrame:
     """(point, box) for every point (point, x, y) in a closed box or trapezoid (columns of layer match if both sides have
-    one). Both sides meet on tiles: an equi-join, a box four times at most, a point once a level.
+    one). Both sides meet on tiles: an equi-join, a box four times at most, a point once a level. A side of up to FEW rows
+    goes to every task; if neither is that small, both are shuffled, whatever Spark makes of the size of compressed files.
     """
     keys = [k for k in ("layer",) if k in points.columns and k in boxes.columns]
     placed = points.select("*", F.explode(levels_of(boxes, tile)).alias("level"))
@@ -66,20 +74,35 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, tile: float) -> DataFra
     if "l0" in boxes.columns:
         inside &= F.col("x").between(_edge("l0", "l1", F.col("y")) - NEAR, _edge("r0", "r1", F.col("y")) + NEAR)
     spread = _covered(boxes.withColumn("level", _level(tile)), tile)
+    if boxes.count() <= FEW:
+        spread = F.broadcast(spread)
+    else:
+        placed = F.broadcast(placed) if points.count() <= FEW else placed.hint("merge")
     return placed.join(spread, ["level", "tx", "ty", *keys]).where(inside).drop("level", "tx", "ty")
 
 
+def counted(points: DataFrame, boxes: DataFrame, tile: float) -> DataFrame:
+    """``points`` with ``n``, how many boxes hold each, and ``box``, the lowest-numbered of them, null if none does.
+
+    Equal boxes and equal places meet once, so copies of them cost rows, not pairs.
+    """
+    at = [c for c in ("layer", "x", "y") if c in points.columns and (c != "layer" or c in boxes.columns)]
+    places = points.select(*at).distinct()
+    found = points_in_boxes(places, _shapes(boxes), tile).groupBy(*at).agg(F.sum("n").alias("n"), F.min("box").alias("box"))
+    told = points.join(F.broadcast(found), at, "left") if places.count() <= 2 * FEW else points.hint("merge").join(found, at, "left")
+    return told.select(*[F.col(c) for c in points.columns], F.coalesce("n", F.lit(0)).alias("n"), "box")
+
+
 def first_region(points: DataFrame, boxes: DataFrame, tile: float) -> DataFrame:
     """``points`` with the lowest-numbered box that holds each, null if none does."""
-    first = points_in_boxes(points, boxes, tile).groupBy("point").agg(F.min("box").alias("box"))
-    return points.join(first, "point", "left")
+    return counted(points, boxes, tile).drop("n")
 
 
 def stitched(cuts: DataFrame, low: DataFrame, high: DataFrame, tile: float) -> DataFrame:
     """(point, low_box, high_box): cuts whose centre lies in a region of both sheets."""
-    a = first_region(cuts, low, tile).where("box IS NOT NULL").select("point", F.col("box").alias("low_box"))
-    b = first_region(cuts, high, tile).where("box IS NOT NULL").select("point", F.col("box").alias("high_box"))
-    return a.join(b, "point")
+    a = first_region(cuts, low, tile).where("box IS NOT NULL").withColumnRenamed("box", "low_box")
+    b = first_region(a, high, tile).where("box IS NOT NULL")
+    return b.select("point", "low_box", F.col("box").alias("high_box"))
 
 
 def touching(boxes: DataFrame, tile: float) -> DataFrame:
@@ -99,6 +122,19 @@ def touching(boxes: DataFrame, tile: float) -> DataFrame:
     return met.select(F.least("a_box", "b_box").alias("u"), F.greatest("a_box", "b_box").alias("v")).distinct()
 
 
+def linked(boxes: DataFrame, tile: float) -> DataFrame:
+    """(u, v): fewer pairs than ``touching`` that make the same components. Equal boxes touch the same others, so only the
+    lowest-numbered of them looks for others; its equals are tied to it if they touch one another, as all but points do.
+    """
+    shapes = _shapes(boxes)
+    place = [c for c in shapes.columns if c not in ("n", "box")]
+    first = shapes.where("n > 1").select(*place, F.col("box").alias("least"))
+    itself = [F.col(c).alias(f"{s}_{c}") for s in "ab" for c in place if c != "layer"]
+    same = boxes.join(first, place).where("box <> least").select(F.col("box").alias("v"), F.col("least").alias("u"), *itself)
+    tied = same.where(_share_edges() if "l0" in place else _share_boxes()).select("u", "v")
+    return touching(shapes.drop("n"), tile).unionByName(tied)
+
+
 def _overlap(axis: str) -> Column:
     return F.least(f"a_{axis}1", f"b_{axis}1") - F.greatest(f"a_{axis}0", f"b_{axis}0")
 
@@ -263,9 +299,12 @@ def areas(pieces: DataFrame, tile: float) -> DataFrame:
 
 
 def rings_at(points: DataFrame, rings: DataFrame, tile: float) -> DataFrame:
-    """(point, ring) for every point (point, x, y) inside a ring (id, ring), even-odd; their boxes meet on tiles."""
+    """(point, ring) for every point (point, x, y) inside a ring (id, ring), even-odd; their boxes meet on tiles. Equal
+    places meet a ring once."""
     boxes = rings.select(F.col("id").alias("box"), "ring", *bounds(F.col("ring")))
-    return points_in_boxes(points, boxes, tile).where(in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("point", F.col("box").alias("id"))
+    inside = in_ring(F.col("x"), F.col("y"), F.col("ring"))
+    found = points_in_boxes(points.select("x", "y").distinct(), boxes, tile).where(inside).select("x", "y", F.col("box").alias("id"))
+    return points.select("point", "x", "y").hint("merge").join(found, ["x", "y"]).select("point", "id")
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:

@@ -205,8 +205,9 @@ def point_in_region(spark, sf_dir):
 SELECT (SELECT count(*) FROM part) AS total, count(*) AS stitched FROM hit WHERE low AND high""")
 def stitch_two_layers(spark, sf_dir):
     points, boxes = _points(spark, sf_dir), _boxes(spark, sf_dir)
-    both = geometry.stitched(points, boxes.where("layer = 0").drop("layer"), boxes.where("layer = 1").drop("layer"), 20)
-    return points.join(both.select("point", F.lit(True).alias("ok")), "point", "left").agg(F.count("*").alias("total"), F.count("ok").alias("stitched"))
+    for layer in (0, 1):
+        points = geometry.first_region(points, boxes.where(F.col("layer") == layer).drop("layer"), 20).withColumnRenamed("box", f"box{layer}")
+    return points.agg(F.count("*").alias("total"), F.count_if(F.col("box0").isNotNull() & F.col("box1").isNotNull()).alias("stitched"))
 
 
 @query("touching_regions", f"""WITH RECURSIVE b AS ({_BOXES}), t AS (SELECT a.box AS u, c.box AS v FROM b a JOIN b c ON a.layer = c.layer AND a.box <> c.box AND least(a.x1, c.x1) >= greatest(a.x0, c.x0) AND least(a.y1, c.y1) >= greatest(a.y0, c.y0)
@@ -214,7 +215,7 @@ def stitch_two_layers(spark, sf_dir):
 w AS (SELECT box AS node, box AS seen FROM b UNION SELECT w.node, t.v FROM w JOIN t ON w.seen = t.u) SELECT node AS box, min(seen) AS region FROM w GROUP BY node""")
 def touching_regions(spark, sf_dir):
     boxes = _boxes(spark, sf_dir)
-    merged = graph.connected_components(geometry.touching(boxes, 20))
+    merged = graph.connected_components(geometry.linked(boxes, 20))
     return boxes.select("box").join(merged, F.col("box") == F.col("node"), "left").select("box", F.coalesce("root", "box").alias("region"))
 
 
@@ -260,6 +261,4 @@ def boxes_of_every_size(spark, sf_dir):
     k = F.col("s_suppkey")
     wide, high = (F.call_function("shiftleft", F.lit(1), (e % 11).cast("int")) for e in (k, k * 7))
     boxes = load(spark, sf_dir, "supplier").select(k.alias("box"), (k % 45).alias("x0"), (k % 45 + F.floor(wide / 16)).alias("x1"), (900 + k % 180).alias("y0"), (900 + k % 180 + high).alias("y1"))
-    points = _points(spark, sf_dir)
-    found = geometry.points_in_boxes(points, boxes, 4.0).groupBy("point").agg(F.count("*").alias("n"), F.min("box").alias("box"))
-    return points.join(found, "point", "left").select("point", F.coalesce("n", F.lit(0)).alias("n"), "box")
+    return geometry.counted(_points(spark, sf_dir), boxes, 4.0).select("point", "n", "box")

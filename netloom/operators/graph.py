@@ -12,12 +12,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.shared import cut, cut_any
+from netloom.shared import cut, cut_any, cut_told
 
 #: Hops of a colour between two writes.
 HOPS = 3
 #: Hops of a walk between two writes, and rounds after which what was seen is written anew as one table.
 STRIDE, COMPACT = 2, 8
+#: Rows up to which a table may be sent to every task; Spark's guess from the size of compressed files is too low by tens.
+FEW = 1 << 17
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -55,23 +57,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def reach(arcs: DataFrame, starts: DataFrame, radius: int | None = None, through: DataFrame | None = None) -> DataFrame:
     """(root, node, hop) of nodes that ``starts`` (root, node) reach over ``arcs`` (src, dst), all roots at once.
 
-    ``through`` (node): only these nodes are passed on from, starts excepted; others are reached and end the walk.
+    ``through`` (node): only these nodes are passed on from, starts excepted; others are reached and end the walk. With more
+    than FEW arcs every hop is written, so the rows to go on from are counted: few go to the arcs, many are met by shuffle.
     """
-    seen = cut(starts.select("root", "node").distinct().withColumn("hop", F.lit(0)), "reach")
-    edge, hop, rounds = seen, 0, 0
+    seen, told = cut_told(starts.select("root", "node").distinct().withColumn("hop", F.lit(0)), "reach", rows=F.lit(True))
+    edge, hop, rounds, n_seen, n_edge = seen, 0, 0, told["rows"], told["rows"]
+    large = arcs.count() > FEW
+    if through is not None:
+        onward = arcs.join((through.hint("merge") if large else through).select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
+        onward = cut(onward, "arcs") if large else onward
     while radius is None or hop < radius:
-        last = hop + STRIDE if radius is None else min(hop + STRIDE, radius)
+        stride = 1 if large else STRIDE
+        last = hop + stride if radius is None else min(hop + stride, radius)
         step, steps = edge, []
         while hop < last:
             hop += 1
-            if through is not None and hop > 1:
-                step = step.join(through.select("node"), "node", "left_semi")
-            step = step.join(arcs, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+            over = arcs if through is None or hop == 1 else onward
+            if large:
+                step, over = (F.broadcast(step), over) if n_edge <= FEW else (step.hint("merge"), over.hint("merge"))
+            step = step.join(over, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
             steps.append(step.withColumn("hop", F.lit(hop)))
-        first = reduce(DataFrame.unionAll, steps).groupBy("root", "node").agg(F.min("hop").alias("hop"))
-        new, more = cut_any(first.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "reach", F.col("hop") == hop)
+        first = steps[0] if len(steps) == 1 else reduce(DataFrame.unionAll, steps).groupBy("root", "node").agg(F.min("hop").alias("hop"))
+        known = seen.select("root", "node")
+        left = first.join(known if n_seen <= FEW else known.hint("merge"), ["root", "node"], "left_anti")
+        new, told = cut_told(left, "reach", rows=F.lit(True), edge=F.col("hop") == hop)
         seen, edge, rounds = seen.unionByName(new), new.where(F.col("hop") == hop), rounds + 1
-        if not more:
+        n_seen, n_edge = n_seen + told["rows"], told["edge"]
+        if not n_edge:
             break
         if rounds % COMPACT == 0:
             seen = cut(seen, "reach")

@@ -39,11 +39,17 @@ def cut(df: DataFrame, what: str = "cut", options: dict[str, str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_any(df: DataFrame, what: str, wanted: Column) -> tuple[DataFrame, bool]:
-    """``cut``, and whether a row is ``wanted``, told by the write itself rather than by a second job."""
+def cut_told(df: DataFrame, what: str, **wanted: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut``, and how many rows are ``wanted``, told by the write itself rather than by a second job."""
     seen = Observation()
-    out = cut(df.observe(seen, F.count_if(wanted).alias("wanted")), what)
-    return out, seen.get.get("wanted", 0) > 0
+    out = cut(df.observe(seen, *[F.count_if(c).alias(k) for k, c in wanted.items()]), what)
+    return out, {k: seen.get.get(k, 0) for k in wanted}
+
+
+def cut_any(df: DataFrame, what: str, wanted: Column) -> tuple[DataFrame, bool]:
+    """``cut``, and whether a row is ``wanted``."""
+    out, told = cut_told(df, what, wanted=wanted)
+    return out, told["wanted"] > 0
 
 
 def delete(spark: SparkSession, path: str) -> None:

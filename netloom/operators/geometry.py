@@ -22,8 +22,8 @@ from netloom.shared import cut
 
 #: Edges closer than NEAR are one; a shared edge is longer than SHORT. In the unit of the coordinates, which have nine digits.
 NEAR, SHORT = 1e-9, 1e-6
-#: Rows up to which one side of a join goes to every task.
-FEW = 1 << 14
+#: Rows up to which one side of a join goes to every task, and pairs that a sweep holds in arrays at a time.
+FEW, BLOCK = 1 << 14, 1 << 18
 BOX = ("x0", "y0", "x1", "y1")
 SLANTED = ("l0", "l1", "r0", "r1")
 TRAPEZOID = ", ".join(f"{c} double" for c in BOX + SLANTED)
@@ -170,16 +170,30 @@ def _share_edges() -> Column:
 
 
 def _crossings(segments: np.ndarray) -> list[float]:
-    """Heights at which two of ``segments`` (x and y of the lower end, x and y of the upper end) cross inside both."""
+    """Heights at which two of ``segments`` (x and y of the lower end, x and y of the upper end) cross inside both, by blocks
+    of BLOCK pairs."""
     found, (x0, y0, x1, y1) = [], segments.T
     slope = (x1 - x0) / (y1 - y0)
-    for i in range(len(segments) - 1):
-        rest = slice(i + 1, None)
-        turn = slope[rest] - slope[i]
+    step = max(1, BLOCK // max(1, len(segments)))
+    for at in range(0, len(segments) - 1, step):
+        one, rest = (slice(at, at + step), None), slice(at + 1, None)
+        turn = slope[rest] - slope[one]
         with np.errstate(divide="ignore", invalid="ignore"):
-            y = (x0[i] - slope[i] * y0[i] - x0[rest] + slope[rest] * y0[rest]) / turn
-        low, high = np.maximum(y0[rest], y0[i]), np.minimum(y1[rest], y1[i])
-        found += y[(turn != 0) & (y > low + NEAR) & (y < high - NEAR)].tolist()
+            y = (x0[one] - slope[one] * y0[one] - x0[rest] + slope[rest] * y0[rest]) / turn
+        low, high = np.maximum(y0[rest], y0[one]), np.minimum(y1[rest], y1[one])
+        later = np.arange(len(turn))[:, None] <= np.arange(turn.shape[1])
+        found += y[later & (turn != 0) & (y > low + NEAR) & (y < high - NEAR)].tolist()
+    return found
+
+
+def _few_crossings(sides: list[tuple[float, ...]]) -> list[float]:
+    """``_crossings`` of a few segments without arrays, whose set-up costs more than their pairs."""
+    found = []
+    lines = [(x0, y0, y1, (x1 - x0) / (y1 - y0)) for x0, y0, x1, y1, *_ in sides]
+    for i, (x, y0, y1, slope) in enumerate(lines):
+        for u, v0, v1, other in lines[i + 1 :]:
+            if (turn := other - slope) != 0 and max(y0, v0) + NEAR < (y := (x - slope * y0 - u + other * v0) / turn) < min(y1, v1) - NEAR:
+                found.append(y)
     return found
 
 
@@ -195,7 +209,7 @@ def trapezoids(ring: list[tuple[float, float]]) -> list[tuple[float, ...]]:
     sides.sort(key=lambda e: e[1])
     heights = {y for e in sides for y in (e[1], e[3])}
     if any(e[0] != e[2] for e in sides):
-        heights.update(_crossings(np.array([e[:4] for e in sides])))
+        heights.update(_few_crossings(sides) if len(sides) <= 16 else _crossings(np.array([e[:4] for e in sides])))
     heights = sorted(heights)
 
     def place(i: int, y: float) -> float:
@@ -267,15 +281,17 @@ def _united(pieces: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> f
         heights.append(np.array(_crossings(slanted)))
     heights = np.unique(np.clip(np.concatenate(heights), y0, y1))
     total = 0.0
-    for low, high in zip(heights[:-1], heights[1:], strict=True):
-        y = (low + high) / 2
-        p = pieces[(pieces[:, 0] <= low) & (pieces[:, 1] >= high)]
-        share = ((y - p[:, 0]) / (p[:, 1] - p[:, 0])) if len(p) else p[:, 0]
-        left, right = np.clip(p[:, 2] + (p[:, 3] - p[:, 2]) * share, x0, x1), np.clip(p[:, 4] + (p[:, 5] - p[:, 4]) * share, x0, x1)
-        order = np.argsort(left)
-        reach = np.maximum.accumulate(right[order])
-        before = np.r_[x0, reach[:-1]] if len(p) else reach
-        total += (high - low) * float(np.maximum(reach - np.maximum(left[order], before), 0).sum())
+    step = max(1, BLOCK // max(1, len(pieces)))
+    for at in range(0, len(heights) - 1, step):
+        low, high = heights[:-1][at : at + step, None], heights[1:][at : at + step, None]
+        held = (pieces[:, 0] <= low) & (pieces[:, 1] >= high)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = ((low + high) / 2 - pieces[:, 0]) / (pieces[:, 1] - pieces[:, 0])
+            left, right = (np.where(held, np.clip(pieces[:, k] + (pieces[:, k + 1] - pieces[:, k]) * share, x0, x1), x0) for k in (2, 4))
+        order = np.argsort(left, axis=1)
+        left, reach = np.take_along_axis(left, order, 1), np.maximum.accumulate(np.take_along_axis(right, order, 1), axis=1)
+        before = np.concatenate([np.full((len(reach), 1), x0), reach[:, :-1]], axis=1)
+        total += float(((high - low)[:, 0] * np.maximum(reach - np.maximum(left, before), 0).sum(1)).sum())
     return total
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.shared import cut, cut_any, cut_told
+from netloom.shared import cut, cut_any, cut_seen, cut_told
 
 #: Hops of a colour between two writes.
 HOPS = 3
@@ -34,20 +34,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
-    return row[0], row[1] or 0
+def _marked(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """``edges``, written, and what tells whether a round has changed them."""
+    return cut_seen(edges, "components", n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("u", "v") % F.lit(1 << 31)))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (u, v), by alternating large-star and small-star rounds (Kiveris et al.,
     2014); root is the component's smallest node. Null ends and self-loops link nothing and are not listed.
     """
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "components")
-    mark = _mark(edges)
-    while mark[0]:
-        edges = cut(_star(_star(edges, True), False), "components")
-        before, mark = mark, _mark(edges)
+    edges, mark = _marked(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    while mark["n"]:
+        before = mark
+        edges, mark = _marked(_star(_star(edges, True), False))
         if mark == before:
             break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -39,11 +39,16 @@ def cut(df: DataFrame, what: str = "cut", options: dict[str, str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_told(df: DataFrame, what: str, **wanted: Column) -> tuple[DataFrame, dict[str, int]]:
-    """``cut``, and how many rows are ``wanted``, told by the write itself rather than by a second job."""
+def cut_seen(df: DataFrame, what: str, **told: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and the aggregates ``told`` of its rows, from the write itself rather than from a second job; 0 if there is no row."""
     seen = Observation()
-    out = cut(df.observe(seen, *[F.count_if(c).alias(k) for k, c in wanted.items()]), what)
-    return out, {k: seen.get.get(k, 0) for k in wanted}
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in told.items()]), what)
+    return out, {k: seen.get.get(k) or 0 for k in told}
+
+
+def cut_told(df: DataFrame, what: str, **wanted: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut``, and how many rows are ``wanted``."""
+    return cut_seen(df, what, **{k: F.count_if(c) for k, c in wanted.items()})
 
 
 def cut_any(df: DataFrame, what: str, wanted: Column) -> tuple[DataFrame, bool]:
